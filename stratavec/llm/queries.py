@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavec.llm import mix, split, tokens
+from stratavec.llm import mix, neardup, split, tokens
 from stratavec.session import table
 
 
@@ -19,6 +19,8 @@ def _embedded(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_token_budget": lambda s, d: tokens.token_budget(tokens.operation_tokens(table(s, d, "operations"))),
     "p1_usage": lambda s, d: tokens.usage_comparison(tokens.operation_tokens(table(s, d, "operations")), table(s, d, "embedding_usage")),
+    "p4_found": lambda s, d: neardup.operation_duplicates(table(s, d, "operations")).pairs().withColumnsRenamed({"key_a": "seq_a", "key_b": "seq_b"}),
+    "p4_groups": lambda s, d: neardup.operation_duplicates(table(s, d, "operations")).groups().withColumnRenamed("key", "seq"),
     "p5_found": lambda s, d: split.split_texts(_embedded(s, d)).select("seq").distinct(),
     "p5_pieces": lambda s, d: split.split_texts(table(s, d, "operations")),
     "p7_ids": lambda s, d: tokens.encode(table(s, d, "documents")),
