@@ -120,36 +120,73 @@ def _prefix(n, t: float):
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
+def _ordered(texts: list[str | None], common: np.ndarray, width: int, least_words: int, bits: int):
+    """Distinct shingles of each text from rare to common: (rows, starts, sizes, hashes, ranks); rows without any are left out."""
+    h, row = shingles(texts, width, least_words)
+    rank = common[(h >> np.uint64(64 - bits)).astype(np.int64)]
+    order = np.lexsort((h, rank, row))
+    h, row, rank = h[order], row[order], rank[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    h, row, rank = h[new], row[new], rank[new]
+    rows, first, n = np.unique(row, return_index=True, return_counts=True)
+    return rows, first, n, h, rank
+
+
+def _class_of(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return _mix(np.add.reduceat(_mix(h ^ np.uint64(0xD6E8FEB86659FD93)), first) + n.astype(np.uint64) * _M1)
+
+
+_SIGN = 8  # words of 64 bits in a signature
+
+
 def _sets(df: DataFrame, counts, width: int, least_words: int, t: float, bits: int) -> DataFrame:
-    """(_key, _tag, grp, cls, n, lone, toks): group, class, ordered shingles and how many of them stand in no other text.
+    """(_key, _tag, grp, cls, n, lone, sig, pre) of every text.
 
-    ``toks`` is given only at a class's first row in a partition, so copies are carried once.
+    ``grp`` names prefix and size, ``cls`` the whole set; ``lone`` counts the shingles that stand in no other text, which
+    come first and can meet nobody; ``pre`` is the rest of the prefix, given only at a class's first row in a partition so
+    that copies enter the join once; ``sig`` has the parity of the shingles in each of its bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, seen = counts.value, set()
+        seen: set[int] = set()
         for b in batches:
-            h, row = shingles(b.column(2).to_pylist(), width, least_words)
-            order = np.lexsort((h, common[(h >> np.uint64(64 - bits)).astype(np.int64)], row))
-            h, row = h[order], row[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            h, row = h[new], row[new]
-            rows, first, n = np.unique(row, return_index=True, return_counts=True)
+            rows, first, n, h, rank = _ordered(b.column(2).to_pylist(), counts.value, width, least_words, bits)
             if not len(rows):
                 continue
-            pos = np.arange(len(h)) - np.repeat(first, n)
+            of = np.repeat(np.arange(len(rows)), n)
+            pos = np.arange(len(h)) - first[of]
+            cls = _class_of(h, first, n)
+            inside = pos < _prefix(n, t)[of]
             m = _mix(h ^ np.uint64(0xD6E8FEB86659FD93))
-            lone = np.add.reduceat((common[(h >> np.uint64(64 - bits)).astype(np.int64)] == 1).astype(np.int32), first)
-            cls = _mix(np.add.reduceat(m, first) + n.astype(np.uint64) * _M1)
-            grp = _mix(np.add.reduceat(np.where(pos < np.repeat(_prefix(n, t), n), m, np.uint64(0)), first) + n.astype(np.uint64) * _M2)
+            grp = _mix(np.add.reduceat(np.where(inside, m, np.uint64(0)), first) + n.astype(np.uint64) * _M2)
+            lone = np.add.reduceat((rank == 1).astype(np.int32), first)
+            bit = (m >> np.uint64(55)).astype(np.int64)
+            parity = np.bincount(of * (64 * _SIGN) + bit, minlength=len(rows) * 64 * _SIGN).astype(np.uint8) & 1
+            sig = np.packbits(parity.reshape(len(rows), -1), axis=1, bitorder="little").view(np.int64)
             fresh = np.array([c not in seen and not seen.add(c) for c in cls.tolist()], bool)
-            spans = np.where(fresh, n, 0)
-            toks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(spans)]), pa.int32()), pa.array(h[np.repeat(fresh, n)].view(np.int64)), mask=pa.array(~fresh))
+            take = inside & (rank != 1) & fresh[of]
+            spans = np.bincount(of[take], minlength=len(rows))
+            pre = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(spans)]), pa.int32()), pa.array(h[take].view(np.int64)), mask=pa.array(~fresh))
+            sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * _SIGN, pa.int32()), pa.array(sig.reshape(-1)))
             at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(grp.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(lone.astype(np.int32)), toks], names=["_key", "_tag", "grp", "cls", "n", "lone", "toks"])
+            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(grp.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(lone.astype(np.int32)), sigs, pre]
+            yield pa.RecordBatch.from_arrays(cols, names=["_key", "_tag", "grp", "cls", "n", "lone", "sig", "pre"])
+
+    return df.mapInArrow(run, "_key bigint, _tag bigint, grp bigint, cls bigint, n int, lone int, sig array<bigint>, pre array<bigint>")
 
-    return df.mapInArrow(run, "_key bigint, _tag bigint, grp bigint, cls bigint, n int, lone int, toks array<bigint>")
+
+def _full(df: DataFrame, counts, width: int, least_words: int, bits: int) -> DataFrame:
+    """(cls, toks): the whole sets of some texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, first, n, h, _ = _ordered(b.column(0).to_pylist(), counts.value, width, least_words, bits)
+            if len(rows):
+                toks = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(h)]]), pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(_class_of(h, first, n).view(np.int64)), toks], names=["cls", "toks"])
+
+    return df.select("_text").mapInArrow(run, "cls bigint, toks array<bigint>")
 
 
 def _need(na: Column, nb: Column, t: float) -> Column:
@@ -168,20 +205,20 @@ class NearDuplicates:
         base = df.select(F.col(f"`{key}`").cast("long").alias("_key"), (tag if tag is not None else F.lit(None)).cast("long").alias("_tag"), F.col(f"`{text}`").alias("_text")).filter("_key is not null and _text is not null")
         counts = spark.sparkContext.broadcast(_sketch(base, width, least_words, bits))  # 2^bits bytes
         self.t = t
+        self._base, self._how = base, (counts, width, least_words, bits)
         self.sets = cut(_sets(base, counts, width, least_words, t, bits))
         #: a repeated row (same key and text) once
         self.members = self.sets.select("_key", "_tag", "cls").distinct()
 
     def classes(self) -> DataFrame:
-        """One row per distinct shingle set: (cls, grp, n, toks)."""
-        return self.sets.filter("toks is not null").dropDuplicates(["cls"]).select("cls", "grp", "n", "toks")
+        """One row per distinct shingle set: (cls, grp, n, rep, sig), rep being the key of a row of the class."""
+        some = self.sets.filter("pre is not null").groupBy("cls").agg(F.min_by("grp", "_key").alias("grp"), F.min("n").alias("n"), F.min("_key").alias("rep"), F.min_by("sig", "_key").alias("sig"))
+        return some.select("cls", "grp", "n", "rep", "sig")
 
     def group_pairs(self) -> DataFrame:
         """(ga, gb), ga < gb: pairs of groups that pass the prefix, size and position filters."""
         t = self.t
-        probe = (F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1).cast("int")
-        shared = F.slice("toks", F.col("lone") + 1, F.greatest(probe - F.col("lone"), F.lit(0)))  # lone shingles come first
-        groups = self.sets.filter("toks is not null").select("grp", "n", "lone", F.posexplode(shared).alias("at", "tok")).select("grp", "n", (F.col("at") + F.col("lone")).alias("pos"), "tok")
+        groups = self.sets.filter("pre is not null").select("grp", "n", "lone", F.posexplode("pre").alias("at", "tok")).select("grp", "n", (F.col("at") + F.col("lone")).alias("pos"), "tok")
         posts = groups.repartition("tok").dropDuplicates(["tok", "grp"])
         x, y = posts.alias("x"), posts.alias("y")
         nx, ny, px, py = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
@@ -192,18 +229,31 @@ class NearDuplicates:
         return hits.select(F.least("x.grp", "y.grp").alias("ga"), F.greatest("x.grp", "y.grp").alias("gb")).distinct()
 
     def links(self) -> DataFrame:
-        """(ca, cb, similarity), ca < cb: all pairs of different classes with similarity t or more."""
+        """(ca, cb, similarity), ca < cb: all pairs of different classes with similarity t or more.
+
+        Pairs that their signatures rule out (shared shingles are at most (na + nb - differing bits) / 2) go first; whole
+        sets are then made of the texts of the remaining classes only. Which rows these are is known by 2^20 buckets of
+        keys, so what is broadcast has a fixed size.
+        """
         t = self.t
         c = cut(self.classes())
-        of = c.select("cls", "grp")
-        inner = of.alias("p").join(of.alias("q"), (F.col("p.grp") == F.col("q.grp")) & (F.col("p.cls") < F.col("q.cls"))).select(F.col("p.cls").alias("ca"), F.col("q.cls").alias("cb"))
-        pairs = self.group_pairs().join(of.select(F.col("cls").alias("ca"), F.col("grp").alias("ga")), "ga").join(of.select(F.col("cls").alias("cb"), F.col("grp").alias("gb")), "gb").select("ca", "cb").union(inner)
-        a = c.select(F.col("cls").alias("ca"), F.col("n").alias("na"), F.col("toks").alias("ta"))
-        b = c.select(F.col("cls").alias("cb"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
-        shared = F.size(F.array_intersect("ta", "tb"))
-        met = pairs.join(a, "ca").join(b, "cb").select("ca", "cb", "na", "nb", shared.alias("k"))
+        side = lambda x: c.select(*(F.col(k).alias(k + x) for k in ("cls", "grp", "n", "rep", "sig")))
+        differ = sum((F.bit_count(F.col("sig_a")[k].bitwiseXOR(F.col("sig_b")[k])) for k in range(_SIGN)), F.lit(0))
+        maybe = (F.col("n_a") + F.col("n_b") - differ) >= 2 * _need(F.col("n_a"), F.col("n_b"), t)
+        sized = F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b") - 1e-9
+        keep = ["cls_a", "cls_b", "rep_a", "rep_b"]
+        inner = side("_a").join(side("_b"), (F.col("grp_a") == F.col("grp_b")) & (F.col("cls_a") < F.col("cls_b"))).filter(maybe & sized).select(*keep)
+        outer = self.group_pairs().join(side("_a"), F.col("ga") == F.col("grp_a")).join(side("_b"), F.col("gb") == F.col("grp_b")).filter(maybe & sized).select(*keep)
+        pairs = cut(outer.union(inner))
+        bucket = lambda k: F.pmod(k, F.lit(1 << 20))
+        wanted = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("k")).select(bucket(F.col("k")).alias("w")).distinct()  # at most 2^20 rows
+        texts = self._base.join(F.broadcast(wanted), bucket(F.col("_key")) == F.col("w"), "left_semi")
+        counts, width, least_words, bits = self._how
+        whole = _full(texts, counts, width, least_words, bits).dropDuplicates(["cls"])
+        a, b = whole.select(F.col("cls").alias("cls_a"), F.col("toks").alias("ta")), whole.select(F.col("cls").alias("cls_b"), F.col("toks").alias("tb"))
+        met = pairs.select("cls_a", "cls_b").join(a, "cls_a").join(b, "cls_b").select("cls_a", "cls_b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("k"))
         sim = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-        return met.filter(F.col("k") >= _need(F.col("na"), F.col("nb"), t)).select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), sim.alias("similarity"))
+        return met.filter(F.col("k") >= _need(F.col("na"), F.col("nb"), t)).select(F.least("cls_a", "cls_b").alias("ca"), F.greatest("cls_a", "cls_b").alias("cb"), sim.alias("similarity"))
 
     def pairs(self) -> DataFrame:
         """(key_a, key_b), key_a < key_b: all pairs of rows with similarity t or more and different tags."""
