@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavec.llm import mix, neardup, split, tokens
+from stratavec.llm import abuse, mix, neardup, split, tokens
 from stratavec.session import table
 
 
@@ -26,6 +26,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": lambda s, d: tokens.encode(table(s, d, "documents")),
     "p8_mix": lambda s, d: mix.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
     "p8_shares": lambda s, d: mix.reached_shares(mix.mix(table(s, d, "documents"), table(s, d, "mix_targets")), table(s, d, "mix_targets")),
+    "p9_found": lambda s, d: abuse.score(table(s, d, "documents")).filter(F.col("score") >= abuse.THRESHOLD).select("doc_id"),
+    "p9_scores": lambda s, d: abuse.score(table(s, d, "documents")),
+    "p9_rates": lambda s, d: abuse.rates(abuse.score(table(s, d, "documents"))),
 }
 
 ORACLE_SQL: dict[str, str] = {
