@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +27,27 @@ def local_session(cpus: int = 8, app: str = "stratavec") -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test or production table by name: ``{sf_dir}/{name}.parquet``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand the package to the executors, once per context, so that Python workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_stratavec_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="stratavec-"), "stratavec.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(home):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(home)))
+    sc.addPyFile(path)  # copied to the driver's file server at once
+    sc._stratavec_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session; a private one is set only where the session names none (tests)."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
