@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,28 +78,31 @@ def _sketch(df: DataFrame, width: int, least_words: int, bits: int) -> np.ndarra
     """
     step = (1 << bits) // _BLOCKS
 
+    def row(k: int, salt: int, values: np.ndarray) -> pa.RecordBatch:
+        packed = zstandard.compress(values.tobytes(), 1)
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([packed], pa.binary())], names=["k", "salt", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int32)
+        counts, some = np.zeros(1 << bits, np.uint8), False
         for b in batches:
             h, _ = shingles(b.column(0).to_pylist(), width, least_words)
             at, n = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-            counts[at] += n.astype(np.int32)
-        if counts.any():
+            counts[at] = np.minimum(counts[at] + n, 255)
+            some = some or len(at) > 0
+        if some:
             salt = int(counts[:4096].sum()) % 16
             for k in range(_BLOCKS):
-                part = np.minimum(counts[k * step : (k + 1) * step], 255).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["k", "salt", "n"])
+                yield row(k, salt, counts[k * step : (k + 1) * step])
 
     def add(kind, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             for b in batches:
-                for k, part in zip(b.column(0).to_pylist(), b.column(2)):
-                    got = np.frombuffer(part.as_buffer(), kind)
+                for k, part in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                    got = np.frombuffer(zstandard.decompress(part), kind)
                     sums[k] = sums[k] + got if k in sums else got.astype(np.int64)
             for k, total in sums.items():
-                out = _rank(total) if last else total.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["k", "salt", "n"])
+                yield row(k, 0, _rank(total) if last else total)
 
         return run
 
@@ -110,8 +114,8 @@ def _sketch(df: DataFrame, width: int, least_words: int, bits: int) -> np.ndarra
     else:
         summed = parts.repartition("k").mapInArrow(add(np.uint8, True), kinds)
     out = np.zeros(1 << bits, np.uint8)
-    for row in summed.toLocalIterator():  # _BLOCKS rows, 2^bits bytes in all
-        out[row["k"] * step : (row["k"] + 1) * step] = np.frombuffer(row["n"], np.uint8)
+    for got in summed.toLocalIterator():  # _BLOCKS rows, 2^bits bytes in all
+        out[got["k"] * step : (got["k"] + 1) * step] = np.frombuffer(zstandard.decompress(got["n"]), np.uint8)
     return out
 
 
@@ -141,39 +145,62 @@ _SIGN = 8  # words of 64 bits in a signature
 
 
 def _sets(df: DataFrame, counts, width: int, least_words: int, t: float, bits: int) -> DataFrame:
-    """(_key, _tag, grp, cls, n, lone, sig, pre) of every text.
+    """(_key, _tag, grp, cls, n, sig) of every text.
 
-    ``grp`` names prefix and size, ``cls`` the whole set; ``lone`` counts the shingles that stand in no other text, which
-    come first and can meet nobody; ``pre`` is the rest of the prefix, given only at a class's first row in a partition so
-    that copies enter the join once; ``sig`` has the parity of the shingles in each of its bits.
+    ``grp`` names prefix and size, ``cls`` the whole set; ``sig`` has the parity of the shingles in each of its bits, given
+    only at a class's first row in a partition.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            rows, first, n, h, rank = _ordered(b.column(2).to_pylist(), counts.value, width, least_words, bits)
+            rows, first, n, h, _ = _ordered(b.column(2).to_pylist(), counts.value, width, least_words, bits)
             if not len(rows):
                 continue
             of = np.repeat(np.arange(len(rows)), n)
-            pos = np.arange(len(h)) - first[of]
             cls = _class_of(h, first, n)
-            inside = pos < _prefix(n, t)[of]
-            m = _mix(h ^ np.uint64(0xD6E8FEB86659FD93))
-            grp = _mix(np.add.reduceat(np.where(inside, m, np.uint64(0)), first) + n.astype(np.uint64) * _M2)
-            lone = np.add.reduceat((rank == 1).astype(np.int32), first)
-            bit = (m >> np.uint64(55)).astype(np.int64)
+            grp, _ = _group_of(h, first, n, of, t)
+            bit = (_mix(h ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(55)).astype(np.int64)
             parity = np.bincount(of * (64 * _SIGN) + bit, minlength=len(rows) * 64 * _SIGN).astype(np.uint8) & 1
-            sig = np.packbits(parity.reshape(len(rows), -1), axis=1, bitorder="little").view(np.int64)
             fresh = np.array([c not in seen and not seen.add(c) for c in cls.tolist()], bool)
-            take = inside & (rank != 1) & fresh[of]
-            spans = np.bincount(of[take], minlength=len(rows))
-            pre = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(spans)]), pa.int32()), pa.array(h[take].view(np.int64)), mask=pa.array(~fresh))
-            sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * _SIGN, pa.int32()), pa.array(sig.reshape(-1)))
+            sig = np.packbits(parity.reshape(len(rows), -1)[fresh], axis=1, bitorder="little").view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.where(fresh, _SIGN, 0))])
+            sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sig.reshape(-1)), mask=pa.array(~fresh))
             at = pa.array(rows)
-            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(grp.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(lone.astype(np.int32)), sigs, pre]
-            yield pa.RecordBatch.from_arrays(cols, names=["_key", "_tag", "grp", "cls", "n", "lone", "sig", "pre"])
+            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(grp.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), sigs]
+            yield pa.RecordBatch.from_arrays(cols, names=["_key", "_tag", "grp", "cls", "n", "sig"])
+
+    return df.mapInArrow(run, "_key bigint, _tag bigint, grp bigint, cls bigint, n int, sig array<bigint>")
+
+
+def _group_of(h: np.ndarray, first: np.ndarray, n: np.ndarray, of: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """The name of prefix and size of each set, and which shingles stand in a prefix."""
+    inside = np.arange(len(h)) - first[of] < _prefix(n, t)[of]
+    m = _mix(h ^ np.uint64(0xD6E8FEB86659FD93))
+    return _mix(np.add.reduceat(np.where(inside, m, np.uint64(0)), first) + n.astype(np.uint64) * _M2), inside
+
+
+def _postings(df: DataFrame, counts, width: int, least_words: int, t: float, bits: int) -> DataFrame:
+    """(tok, grp, n, pos): the prefixes of the groups, once per partition.
+
+    Shingles that stand in no other text come first in a prefix and can meet nobody; they keep their places but are left out.
+    """
 
-    return df.mapInArrow(run, "_key bigint, _tag bigint, grp bigint, cls bigint, n int, lone int, sig array<bigint>, pre array<bigint>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            rows, first, n, h, rank = _ordered(b.column(0).to_pylist(), counts.value, width, least_words, bits)
+            if not len(rows):
+                continue
+            of = np.repeat(np.arange(len(rows)), n)
+            grp, inside = _group_of(h, first, n, of, t)
+            fresh = np.array([g not in seen and not seen.add(g) for g in grp.tolist()], bool)
+            take = inside & (rank != 1) & fresh[of]
+            o = of[take]
+            pos = (np.arange(len(h)) - first[of])[take]
+            yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(grp[o].view(np.int64)), pa.array(n[o].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["tok", "grp", "n", "pos"])
+
+    return df.select("_text").mapInArrow(run, "tok bigint, grp bigint, n int, pos int")
 
 
 def _full(df: DataFrame, counts, width: int, least_words: int, bits: int) -> DataFrame:
@@ -197,7 +224,7 @@ def _need(na: Column, nb: Column, t: float) -> Column:
 class NearDuplicates:
     """The join of one table of texts: rows by class, and the links between classes."""
 
-    def __init__(self, df: DataFrame, key: str, text: str, tag: Column | None = None, width: int = 5, t: float = 0.8, least_words: int = 1, bits: int = 24):
+    def __init__(self, df: DataFrame, key: str, text: str, tag: Column | None = None, width: int = 5, t: float = 0.8, least_words: int = 1, bits: int = 25):
         """``tag``: rows of equal tag never form a pair. Null keys, null texts and texts under ``least_words`` words or ``width`` words are left out."""
         if not 0 < t <= 1:
             raise ValueError("the similarity must lie in (0, 1]")
@@ -212,14 +239,14 @@ class NearDuplicates:
 
     def classes(self) -> DataFrame:
         """One row per distinct shingle set: (cls, grp, n, rep, sig), rep being the key of a row of the class."""
-        some = self.sets.filter("pre is not null").groupBy("cls").agg(F.min_by("grp", "_key").alias("grp"), F.min("n").alias("n"), F.min("_key").alias("rep"), F.min_by("sig", "_key").alias("sig"))
+        some = self.sets.filter("sig is not null").groupBy("cls").agg(F.min_by("grp", "_key").alias("grp"), F.min("n").alias("n"), F.min("_key").alias("rep"), F.min_by("sig", "_key").alias("sig"))
         return some.select("cls", "grp", "n", "rep", "sig")
 
     def group_pairs(self) -> DataFrame:
         """(ga, gb), ga < gb: pairs of groups that pass the prefix, size and position filters."""
         t = self.t
-        groups = self.sets.filter("pre is not null").select("grp", "n", "lone", F.posexplode("pre").alias("at", "tok")).select("grp", "n", (F.col("at") + F.col("lone")).alias("pos"), "tok")
-        posts = groups.repartition("tok").dropDuplicates(["tok", "grp"])
+        counts, width, least_words, bits = self._how
+        posts = _postings(self._base, counts, width, least_words, t, bits).repartition("tok").dropDuplicates(["tok", "grp"])
         x, y = posts.alias("x"), posts.alias("y")
         nx, ny, px, py = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
         smaller = (nx < ny) | ((nx == ny) & (F.col("x.grp") < F.col("y.grp")))
@@ -249,11 +276,11 @@ class NearDuplicates:
         wanted = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("k")).select(bucket(F.col("k")).alias("w")).distinct()  # at most 2^20 rows
         texts = self._base.join(F.broadcast(wanted), bucket(F.col("_key")) == F.col("w"), "left_semi")
         counts, width, least_words, bits = self._how
-        whole = _full(texts, counts, width, least_words, bits).dropDuplicates(["cls"])
+        whole = _full(texts, counts, width, least_words, bits)  # a repeated row repeats pairs, which are made distinct below
         a, b = whole.select(F.col("cls").alias("cls_a"), F.col("toks").alias("ta")), whole.select(F.col("cls").alias("cls_b"), F.col("toks").alias("tb"))
         met = pairs.select("cls_a", "cls_b").join(a, "cls_a").join(b, "cls_b").select("cls_a", "cls_b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("k"))
         sim = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-        return met.filter(F.col("k") >= _need(F.col("na"), F.col("nb"), t)).select(F.least("cls_a", "cls_b").alias("ca"), F.greatest("cls_a", "cls_b").alias("cb"), sim.alias("similarity"))
+        return met.filter(F.col("k") >= _need(F.col("na"), F.col("nb"), t)).select(F.least("cls_a", "cls_b").alias("ca"), F.greatest("cls_a", "cls_b").alias("cb"), sim.alias("similarity")).dropDuplicates(["ca", "cb"])
 
     def pairs(self) -> DataFrame:
         """(key_a, key_b), key_a < key_b: all pairs of rows with similarity t or more and different tags."""
