@@ -3,7 +3,7 @@
 Vectors are routed to shards by centroids fitted on a bounded sample. For all-against-all a vector is stored in its nearest
 shard and in the few more that are nearly as near, so true neighbours share a shard; a set of queries is instead sent to
 every shard. Each shard is one graph in one task; shards expected to be too large are split by a hash, and then every
-vector of the shard queries all its parts. Distances of what the graphs propose are computed exactly.
+part of it is searched by each. Distances of what the graphs propose are computed exactly.
 """
 
 from __future__ import annotations
@@ -94,6 +94,16 @@ def collapse(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.
     return first, cls, lists
 
 
+def _grid(row: np.ndarray, shard: np.ndarray, sub: np.ndarray, parts: np.ndarray, base: np.ndarray, side: int) -> np.ndarray:
+    """(row, cell) of all cells of the grids that a row stands in: those of its own part on one side."""
+    n = parts[shard]
+    ends = np.cumsum(n)
+    r, s = np.repeat(row, n), np.repeat(shard, n)
+    other = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+    own = sub[r] % parts[s]
+    return np.stack([r, base[s] + (own * parts[s] + other if side == 0 else other * parts[s] + own)], axis=1)
+
+
 _ROUTED = "shard bigint, stored boolean, asks boolean, ids array<bigint>, embedding array<float>"
 
 
@@ -107,7 +117,8 @@ def shards(vectors: DataFrame, key: str, embedding: str, dim: int, copies: int,
     total = vectors.count()
     centroids, share = fit_centroids(rows, key, embedding, total, dim, sample, per)
     parts = np.maximum(1, np.ceil(share * total * (1 if asks is not None else copies) / MOST)).astype(np.int64)
-    base = np.concatenate([[0], np.cumsum(parts)])
+    # a split shard is a grid: each part of what is stored meets each part of what asks, so every task is bounded
+    base = np.concatenate([[0], np.cumsum(parts * parts)])
     shared = rows.sparkSession.sparkContext.broadcast((centroids, parts, base))  # at most sample / 64 centroids
     every = asks is not None
     chosen = rows.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("e"), (asks if every else F.lit(True)).alias("q"))
@@ -130,15 +141,12 @@ def shards(vectors: DataFrame, key: str, embedding: str, dim: int, copies: int,
             u = unit(x[one]).astype(np.float32)
             row, shard = route(u, centroids, 1 if every else copies, margin)
             sub = (prints(x[one]) >> np.uint64(7)).astype(np.int64)
-            # stored in one part of the shard; asking in all parts of it, or of all shards
-            stored = np.stack([row, base[shard] + sub[row] % parts[shard]], axis=1)
+            stored = _grid(row, shard, sub, parts, base, 0)
             if every:
                 r = np.nonzero(ask)[0]
-                asking = np.stack([np.repeat(r, base[-1]), np.tile(np.arange(base[-1]), len(r))], axis=1)
+                asking = _grid(np.repeat(r, len(parts)), np.tile(np.arange(len(parts)), len(r)), sub, parts, base, 1)
             else:
-                n = parts[shard]
-                ends = np.cumsum(n)
-                asking = np.stack([np.repeat(row, n), np.repeat(base[shard] - (ends - n), n) + np.arange(ends[-1])], axis=1)
+                asking = _grid(row, shard, sub, parts, base, 1)
             both = np.concatenate([stored, asking])
             pair, index = np.unique(both, axis=0, return_inverse=True)
             index = index.reshape(-1)

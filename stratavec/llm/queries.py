@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavec.llm import abuse, mix, neardup, neighbors, split, tokens
+from stratavec.llm import abuse, density, mix, neardup, neighbors, split, tokens
 from stratavec.session import table
 
 
@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_usage": lambda s, d: tokens.usage_comparison(tokens.operation_tokens(table(s, d, "operations")), table(s, d, "embedding_usage")),
     "p2_found": lambda s, d: neighbors.close_pairs(table(s, d, "embedding_data")),
     "p2_neighbours": lambda s, d: neighbors.nearest(table(s, d, "embedding_data"), asks=F.col("vec_id") % 100 == 0),
+    "p3_found": lambda s, d: density.linked_groups(table(s, d, "embedding_data")),
+    "p3_clusters": lambda s, d: density.Clusters(table(s, d, "embedding_data")).summary(),
+    "p3_members": lambda s, d: density.Clusters(table(s, d, "embedding_data")).members(),
     "p4_found": lambda s, d: neardup.operation_duplicates(table(s, d, "operations")).pairs().withColumnsRenamed({"key_a": "seq_a", "key_b": "seq_b"}),
     "p4_groups": lambda s, d: neardup.operation_duplicates(table(s, d, "operations")).groups().withColumnRenamed("key", "seq"),
     "p5_found": lambda s, d: split.split_texts(_embedded(s, d)).select("seq").distinct(),
