@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.llm.components import components
+from stratavec.llm.components import components, follow, four_steps
 from stratavec.llm.neighbors import COPIES, DIM, MARGIN, SAMPLE, SHARD, matrix, prints, shards, unit, usable
 from stratavec.session import cut
 
@@ -141,27 +141,32 @@ def neighbour_graph(vectors: DataFrame, min_samples: int, most: float, key: str
 def boruvka(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The minimum spanning forest (a, b, w) and the labels (v, root) of its trees, root being the smallest vertex.
 
-    In each round every tree takes its lightest edge to another one (ties by the edge's ends, so no cycle can arise), the
-    trees joined so are contracted and between two trees only the lightest edge is kept.
+    In each round every label takes its lightest edge to another one (ties by the edge's ends, so no cycle can arise); such
+    an edge belongs to the forest whatever set of vertices the label stands for. Labels then move four steps along the
+    edges taken, and between two labels only the lightest edge is kept.
     """
-    rest = cut(edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct("w", "a", "b").alias("e")))
-    labels = cut(rest.select(F.explode(F.array("x", "y")).alias("v")).distinct().withColumn("c", F.col("v")))
-    forest = []
+    rest = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct("w", "a", "b").alias("e")).filter("x <> y")
+    rest = cut(rest.groupBy("x", "y").agg(F.min("e").alias("e")))
+    labels = rest.select(F.explode(F.array("x", "y")).alias("v")).distinct().withColumn("c", F.col("v"))
+    taken, steps = [], []
     while not rest.isEmpty():
         both = rest.select("x", "y", "e").union(rest.select("y", "x", "e"))
         chosen = cut(both.groupBy("x").agg(F.min(F.struct("e", "y")).alias("m")).select("x", F.col("m.y").alias("y"), F.col("m.e").alias("e")))
-        forest.append(chosen.select("e.a", "e.b", "e.w").distinct())
-        roots = cut(components(chosen, "x", "y"))
-        labels = cut(labels.join(roots.withColumnsRenamed({"v": "c"}), "c", "left").select("v", F.coalesce("root", "c").alias("c")))
-        moved = rest.join(roots.select(F.col("v").alias("x"), F.col("root").alias("p")), "x").join(roots.select(F.col("v").alias("y"), F.col("root").alias("q")), "y").filter("p <> q")
+        taken.append(chosen.select("e.a", "e.b", "e.w"))
+        back = chosen.select(F.col("x").alias("k2"), F.col("y").alias("y2"))
+        # two labels that took the same edge point at each other; the smaller one stays
+        mutual = chosen.join(back, chosen.y == back.k2).select(F.col("x").alias("k"), F.when((F.col("y2") == F.col("x")) & (F.col("x") < F.col("y")), F.col("x")).otherwise(F.col("y")).alias("to"))
+        best = cut(four_steps(mutual))
+        steps.append(best)
+        p, q = best.select(F.col("k").alias("x"), F.col("to").alias("p")), best.select(F.col("k").alias("y"), F.col("to").alias("q"))
+        moved = rest.join(p, "x").join(q, "y").filter("p <> q")
         rest = cut(moved.groupBy(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).agg(F.min("e").alias("e")))
-    out = None
-    for f in forest:
-        out = f if out is None else out.union(f)
-    if out is None:
-        out = edges.select("a", "b", "w").limit(0)
+    forest = edges.select("a", "b", "w").limit(0)
+    for f in taken:
+        forest = forest.union(f)
+    labels = follow(labels, steps)
     least = labels.groupBy("c").agg(F.min("v").alias("root"))
-    return out, labels.join(least, "c").select("v", "root")
+    return forest.distinct(), labels.join(least, "c").select("v", "root")
 
 
 def linked_groups(vectors: DataFrame, within: float = 0.08, least: int = 8) -> DataFrame:
