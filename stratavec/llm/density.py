@@ -164,7 +164,7 @@ def boruvka(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     forest = edges.select("a", "b", "w").limit(0)
     for f in taken:
         forest = forest.union(f)
-    labels = follow(labels, steps)
+    labels = cut(follow(labels, steps))
     least = labels.groupBy("c").agg(F.min("v").alias("root"))
     return forest.distinct(), labels.join(least, "c").select("v", "root")
 

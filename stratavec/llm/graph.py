@@ -1,6 +1,6 @@
 """A robust-pruned directed graph over the vectors of one shard, built and searched in batches.
 
-Points enter in random order in batches that double: each searches the graph so far greedily, the visited points are pruned
+Points enter in random order in batches that grow with the graph: each searches the graph so far greedily, the visited points are pruned
 so that only edges in new directions stay (relaxed by ``alpha``), and edges are added back and pruned alike. Searches of
 a batch run side by side; every step gathers only the vectors of the nodes it reaches.
 """
@@ -13,7 +13,7 @@ FAR = np.float32(9.0)
 
 
 class Graph:
-    def __init__(self, x: np.ndarray, degree: int = 16, beam: int = 24, alpha: float = 1.2, seed: int = 7, batch: int = 256, landmarks: int = 4, starts: int = 8):
+    def __init__(self, x: np.ndarray, degree: int = 16, beam: int = 24, alpha: float = 1.2, seed: int = 7, batch: int = 256, landmarks: int = 4, starts: int = 8, growth: float = 0.3):
         """``x``: unit vectors (n, d) in float32. Distances are 1 - cosine, ``alpha`` relaxes the pruning."""
         self.n, self.dim = x.shape
         self.x = np.vstack([x, np.zeros((1, self.dim), np.float32)])  # the last row stands for no neighbour
@@ -28,9 +28,13 @@ class Graph:
             self._link(first, np.broadcast_to(first, (done, done)))
         self.entries = order[: max(1, done)]
         while done < self.n:
-            new = order[done : done + min(batch, done)]
+            new = order[done : done + max(64, int(done * growth))]
             self.entries = order[: min(done, max(64, self.n // landmarks))]
-            ids, _ = self.search(self.x[new], self._start(self.x[new]), beam, 4)
+            found = []
+            for a in range(0, len(new), batch):
+                q = self.x[new[a : a + batch]]
+                found.append(self.search(q, self._start(q), beam, 4)[0])
+            ids = np.concatenate(found)
             self._link(new, ids)
             done += len(new)
 
@@ -122,7 +126,7 @@ class Graph:
         return kept
 
     def _link(self, new: np.ndarray, cand: np.ndarray) -> None:
-        kept = self._prune(new, cand)
+        kept = np.concatenate([self._prune(new[a : a + self.batch], cand[a : a + self.batch]) for a in range(0, len(new), self.batch)])
         self.out[new] = kept
         # edges back, in rounds of at most ``degree`` a node
         src = np.repeat(new, self.degree)

@@ -205,7 +205,7 @@ def shard_neighbors(rows: pa.Table, k: int, dim: int, within: float | None, degr
     # a few more than k, as the last places are decided in double precision
     for who, own in ((inner, number[inner].astype(np.int32)), (outer, None)):
         if len(who):
-            j, d = g.ask(f[who], k + 4, own)
+            j, d = g.ask(f[who], k + 3, own, 16 if own is not None else None)  # points start among their own edges
             r, s = np.nonzero(d < (FAR if within is None else 2 * within + 1e-5))
             got.append((who[r], base[j[r, s]]))
     twins = np.array([c for c in inner if len(set(asked[c]) | set(kept[c])) > 1], np.int64)
