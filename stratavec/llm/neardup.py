@@ -119,9 +119,15 @@ def _sketch(df: DataFrame, width: int, least_words: int, bits: int) -> np.ndarra
     return out
 
 
+_STEP = 24  # every so many shingles, a partner must meet one more shingle of the prefix
+
+
 def _prefix(n, t: float):
-    """Shingles of a set of n that a partner of any size must meet one of."""
-    return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
+    """Length of the prefix of a set of n: partners of similarity t share n // _STEP + 1 shingles of theirs with it.
+
+    Sets that share at least a shingles share l of their prefixes of sizes n - a + l, in any common order.
+    """
+    return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1 + n // _STEP
 
 
 def _ordered(texts: list[str | None], common: np.ndarray, width: int, least_words: int, bits: int):
@@ -249,11 +255,13 @@ class NearDuplicates:
         posts = _postings(self._base, counts, width, least_words, t, bits).repartition("tok").dropDuplicates(["tok", "grp"])
         x, y = posts.alias("x"), posts.alias("y")
         nx, ny, px, py = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
+        more = F.floor(nx / _STEP)  # x is the smaller set, so both prefixes are long enough for this many more
         smaller = (nx < ny) | ((nx == ny) & (F.col("x.grp") < F.col("y.grp")))
-        indexed = px < nx - F.ceil(2 * t / (1 + t) * nx - 1e-9) + 1
-        reach = F.least(nx - px, ny - py) >= _need(nx, ny, t)
+        indexed = px < nx - F.ceil(2 * t / (1 + t) * nx - 1e-9) + 1 + more
+        reach = F.least(nx - px, ny - py) + more >= _need(nx, ny, t)
         hits = x.join(y, (F.col("x.tok") == F.col("y.tok")) & smaller & indexed & (nx >= t * ny - 1e-9) & reach)
-        return hits.select(F.least("x.grp", "y.grp").alias("ga"), F.greatest("x.grp", "y.grp").alias("gb")).distinct()
+        met = hits.select(F.col("x.grp").alias("gx"), F.col("y.grp").alias("gy"), more.alias("more")).groupBy("gx", "gy").agg(F.count(F.lit(1)).alias("k"), F.max("more").alias("more"))
+        return met.filter("k > more").select(F.least("gx", "gy").alias("ga"), F.greatest("gx", "gy").alias("gb"))
 
     def links(self) -> DataFrame:
         """(ca, cb, similarity), ca < cb: all pairs of different classes with similarity t or more.
@@ -269,7 +277,9 @@ class NearDuplicates:
         maybe = (F.col("n_a") + F.col("n_b") - differ) >= 2 * _need(F.col("n_a"), F.col("n_b"), t)
         sized = F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b") - 1e-9
         keep = ["cls_a", "cls_b", "rep_a", "rep_b"]
-        inner = side("_a").join(side("_b"), (F.col("grp_a") == F.col("grp_b")) & (F.col("cls_a") < F.col("cls_b"))).filter(maybe & sized).select(*keep)
+        shared = cut(c.groupBy("grp").count().filter("count > 1").select("grp"))
+        within = lambda x: side(x).join(shared, F.col("grp" + x) == shared.grp, "left_semi")
+        inner = within("_a").join(within("_b"), (F.col("grp_a") == F.col("grp_b")) & (F.col("cls_a") < F.col("cls_b"))).filter(maybe & sized).select(*keep)
         outer = self.group_pairs().join(side("_a"), F.col("ga") == F.col("grp_a")).join(side("_b"), F.col("gb") == F.col("grp_b")).filter(maybe & sized).select(*keep)
         pairs = cut(outer.union(inner))
         bucket = lambda k: F.pmod(k, F.lit(1 << 20))
