@@ -13,8 +13,11 @@ FAR = np.float32(9.0)
 
 
 class Graph:
-    def __init__(self, x: np.ndarray, degree: int = 16, beam: int = 24, alpha: float = 1.2, seed: int = 7, batch: int = 256, landmarks: int = 4, starts: int = 8, growth: float = 0.3):
-        """``x``: unit vectors (n, d) in float32. Distances are 1 - cosine, ``alpha`` relaxes the pruning."""
+    def __init__(self, x: np.ndarray, degree: int = 16, beam: int = 20, alpha: float = 1.2, seed: int = 7, batch: int = 256, landmarks: float = 1.5, starts: int = 8, growth: float = 0.3):
+        """``x``: unit vectors (n, d) in float32. Distances are 1 - cosine, ``alpha`` relaxes the pruning.
+
+        Searches start from the nearest of an entry level that holds one in ``landmarks`` of the points.
+        """
         self.n, self.dim = x.shape
         self.x = np.vstack([x, np.zeros((1, self.dim), np.float32)])  # the last row stands for no neighbour
         self.degree, self.beam, self.relax, self.batch, self.starts = degree, beam, np.float32(alpha), batch, starts
@@ -29,7 +32,7 @@ class Graph:
         self.entries = order[: max(1, done)]
         while done < self.n:
             new = order[done : done + max(64, int(done * growth))]
-            self.entries = order[: min(done, max(64, self.n // landmarks))]
+            self.entries = order[: min(done, max(64, int(self.n / landmarks)))]
             found = []
             for a in range(0, len(new), batch):
                 q = self.x[new[a : a + batch]]

@@ -49,19 +49,29 @@ def fit_centroids(vectors: DataFrame, key: str, embedding: str, total: int, dim:
     """(centroids, share of the sample nearest to each) from a sample of at most about ``sample`` rows taken by a hash."""
     part = min(1.0, sample / max(total, 1))
     rows = vectors.filter(F.pmod(F.xxhash64(F.lit(3), key), F.lit(1 << 40)) <= int(part * (1 << 40))).select(embedding).toArrow()
-    x = unit(matrix(rows.column(0), dim)).astype(np.float32)
+    x = np.empty((rows.num_rows, dim), np.float32)
+    at = 0
+    for b in rows.column(0).chunks:
+        x[at : at + len(b)] = unit(matrix(b, dim))
+        at += len(b)
+    del rows
     k = int(min(max(1, round(total / per)), max(1, len(x) // 64), len(x) or 1))
     if not len(x):
         return np.zeros((1, dim), np.float32), np.ones(1)
     c = x[np.random.default_rng(5).permutation(len(x))[:k]].copy()
-    for _ in range(8):
-        near = (x @ c.T).argmax(axis=1)
-        sums = np.zeros((k, dim))
-        np.add.at(sums, near, x)
-        norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        c = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), c).astype(np.float32)
-    near = (x @ c.T).argmax(axis=1)
-    return c, np.bincount(near, minlength=k) / len(x)
+    for turn in range(9):
+        sums, count = np.zeros((k, dim)), np.zeros(k)
+        for a in range(0, len(x), 2048):  # in blocks, to spare the driver's memory
+            part = x[a : a + 2048]
+            near = (part @ c.T).argmax(axis=1)
+            count += np.bincount(near, minlength=k)
+            order = np.argsort(near, kind="stable")
+            which, first = np.unique(near[order], return_index=True)
+            sums[which] += np.add.reduceat(part[order], first, axis=0)
+        if turn < 8:
+            norm = np.linalg.norm(sums, axis=1, keepdims=True)
+            c = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), c).astype(np.float32)
+    return c, count / len(x)
 
 
 def route(x: np.ndarray, centroids: np.ndarray, copies: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +175,7 @@ def _expand(i: np.ndarray, j: np.ndarray, d: np.ndarray, a_ids: list[list[int]],
     """Pairs of classes as pairs of ids; as a neighbour a class counts with its smallest ids, which win all ties."""
     na, nb = np.array([len(x) for x in a_ids]), np.array([min(len(x), k + 1) for x in b_ids])
     if na.max(initial=1) == 1 and nb.max(initial=1) == 1:
-        return np.array([x[0] for x in a_ids], np.int64)[i], np.array([x[0] for x in b_ids], np.int64)[j], d
+        return np.array([x[0] if x else -1 for x in a_ids], np.int64)[i], np.array([x[0] if x else -1 for x in b_ids], np.int64)[j], d
     a, b, dd = [], [], []
     for x, y, z in zip(i.tolist(), j.tolist(), d.tolist()):
         for p in a_ids[x]:
@@ -224,7 +234,7 @@ def shard_neighbors(rows: pa.Table, k: int, dim: int, within: float | None, degr
     return pa.table({"vec_a": a[best], "vec_b": b[best], "distance": d[best]})
 
 
-def nearest(vectors: DataFrame, k: int = 10, within: float | None = None, key: str = "vec_id", embedding: str = "embedding", dim: int = DIM, asks: Column | None = None, copies: int = COPIES, margin: float = MARGIN, degree: int = 20, beam: int = 24, sample: int = SAMPLE, per: int = SHARD) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, within: float | None = None, key: str = "vec_id", embedding: str = "embedding", dim: int = DIM, asks: Column | None = None, copies: int = COPIES, margin: float = MARGIN, degree: int = 16, beam: int = 20, sample: int = SAMPLE, per: int = SHARD) -> DataFrame:
     """(vec_a, vec_b, distance, rank): the k most similar other vectors of every vector, or of those that ``asks`` marks.
 
     Distances are (1 - cosine) / 2 in double precision, rounded to 8 decimals; ties go to the smaller id. ``within``
