@@ -62,6 +62,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    A checkpointed plan keeps the constraints, partitionings and statistics inferred for it; those of iterated joins
+    multiply round by round until planning takes longer than running. So the checkpoint's rows are given a bare plan.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=eager)._jdf
+    bare = spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False)
+    return DataFrame(bare, spark)
