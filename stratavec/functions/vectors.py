@@ -78,7 +78,9 @@ def random_embedding(dim: int, seed: int = 42) -> Column:
 
 
 def random_normalized_embedding(dim: int, seed: int = 42) -> Column:
-    return normalize(random_embedding(dim, seed)).cast("array<float>")
+    # the lambda's variable stands for one draw; the expression itself would draw anew wherever it is used
+    one = F.transform(F.array(random_embedding(dim, seed)), normalize)
+    return F.element_at(one, 1).cast("array<float>")
 
 
 def euclidean_radius(threshold: float) -> float:

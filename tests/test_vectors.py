@@ -38,7 +38,7 @@ def test_axis_points_tie_by_id(spark):
     df = spark.createDataFrame(pts, "id string, vec_id long, embedding array<double>")
     got = search.nearest(df, [0.707, 0.707, 0.0, 0.0], 4, "vec_id").collect()
     assert [r[0] for r in got][:2] == [0, 1] and len(got) == 4
-    assert search.nearest(df, [1.0, 0, 0, 0], 9).count() == 4
+    assert search.nearest(df, [1.0, 0.0, 0.0, 0.0], 9).count() == 4
 
 
 def test_duplicates_semantics(spark):
@@ -46,7 +46,7 @@ def test_duplicates_semantics(spark):
         c = 1 - 2 * d
         return [c, math.sqrt(1 - c * c), 0.0]
 
-    rows = [(0, [1.0, 0, 0]), (1, at(0.01)), (2, [0.0, 0.0, 1.0]), (3, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 1.0])]
+    rows = [(0, [1.0, 0.0, 0.0]), (1, at(0.01)), (2, [0.0, 0.0, 1.0]), (3, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {(r.i, r.j) for r in search.duplicates(df, 0.05).collect()}
     assert got == {(0, 1), (2, 3)}  # at most one j per i, from the two nearest; 3 finds 2 and itself
