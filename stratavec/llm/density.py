@@ -188,7 +188,7 @@ class Clusters:
     hierarchy is read (quantiles of the forest's weights). Vectors in no chosen cluster are left over.
     """
 
-    def __init__(self, vectors: DataFrame, min_samples: int = 5, least: int = 8, most: float = 0.16, levels: int = 12, key: str = "vec_id", embedding: str = "embedding"):
+    def __init__(self, vectors: DataFrame, min_samples: int = 5, least: int = 8, most: float = 0.16, levels: int = 8, key: str = "vec_id", embedding: str = "embedding"):
         self.vectors = vectors.filter(usable(F.col(embedding))).select(F.col(key).cast("long").alias("vec_id")).filter("vec_id is not null").distinct()
         forest, _ = boruvka(neighbour_graph(vectors, min_samples, most, key, embedding))
         self.forest = cut(forest)
