@@ -1,7 +1,7 @@
 """Hierarchical density clustering: neighbour graph, spanning forest, condensed hierarchy and stable clusters.
 
-Shards (see ``neighbors``) give each vector's core distance, its nearest neighbours and a spanning forest of the shard;
-their union is a sparse graph whose edges are weighed by mutual reachability. A distributed Boruvka takes the minimum
+Shards (see ``neighbors``) give each vector's nearest neighbours, whose lists merged over all shards give its core distance,
+and then a spanning forest of each shard under mutual reachability; their union is a sparse graph. A distributed Boruvka takes the minimum
 spanning forest of it. The hierarchy is read off the forest level by level, and clusters are chosen by stability. No step
 brings a cluster, however large, into one task: levels and rounds are joins and aggregations by component.
 """
@@ -18,6 +18,9 @@ from stratavec.llm.neighbors import COPIES, DIM, MARGIN, SAMPLE, SHARD, matrix,
 from stratavec.session import cut
 
 _EDGE = "a bigint, b bigint, w double"
+_ARROW_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())])
+_NEAR = "shard bigint, print bigint, a bigint, n int, near array<struct<b:bigint,d:double,m:int>>"
+_ARROW_NEAR = pa.schema([("shard", pa.int64()), ("print", pa.int64()), ("a", pa.int64()), ("n", pa.int32()), ("near", pa.list_(pa.struct([("b", pa.int64()), ("d", pa.float64()), ("m", pa.int32())])))])
 
 
 def spanning_forest(x: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
@@ -60,11 +63,10 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.array(root), return_inverse=True)[1].reshape(-1)
 
 
-def shard_edges(rows: pa.Table, k: int, dim: int, most: float) -> pa.Table:
-    """Edges (a, b, distance) up to ``most`` of one shard, and (a, a, core distance); vectors by the smallest id of their copies.
+def shard_edges(rows: pa.Table, dim: int, most: float) -> pa.Table:
+    """Edges (a, b, distance) up to ``most`` that connect one shard; vectors by the smallest id of their copies.
 
-    The spanning forest of what is stored, the k - 1 nearest of every vector and, of those that only ask, the nearest one
-    in each tree of the forest.
+    The spanning forest of what is stored and, of those that only ask, the nearest one in each tree of the forest.
     """
     ids, x = rows.column("ids").to_pylist(), matrix(rows.column("embedding"), dim)
     stored = rows.column("stored").to_numpy().astype(bool)
@@ -77,65 +79,144 @@ def shard_edges(rows: pa.Table, k: int, dim: int, most: float) -> pa.Table:
         lists[c].update(i)
         is_stored[c] |= s
     name = np.array([min(s) for s in lists], np.int64)
-    copies = np.array([len(s) for s in lists])
     u = unit(x[first])
     f = u.astype(np.float32)
     base = np.nonzero(is_stored)[0]
     fa, fb = spanning_forest(f[base], 2 * most + 1e-6)
     tree = _labels(len(base), fa, fb)
     pairs = [(base[fa], base[fb])]
-    core = np.full(n, np.inf)
-    core[copies >= k] = 0.0
     by_tree = np.argsort(tree, kind="stable")
     starts = np.searchsorted(tree[by_tree], np.arange(tree.max(initial=-1) + 1))
-    for at in range(0, n if k > 1 or len(base) < n else 0, 512):
-        some = np.arange(at, min(n, at + 512))
-        d = 1 - f[some] @ f[base].T
-        d[some[:, None] == base[None, :]] = np.inf
-        if k > 1 and len(base) > 1:
-            m = min(k - 1, len(base) - 1)
-            near = np.argpartition(d, m - 1, axis=1)[:, :m]
-            v = np.sort(np.take_along_axis(d, near, 1), axis=1)
-            r, s = np.nonzero(np.take_along_axis(d, near, 1) <= 2 * most + 1e-6)
-            pairs.append((some[r], base[near[r, s]]))
-            want = k - 1 - copies[some]  # copies stand at distance 0 and come first
-            has = (want >= 0) & (want < m)
-            core[some[has]] = np.maximum(v[has, want[has]], 0) / 2
-        guests = np.nonzero(~is_stored[some])[0]
-        if len(guests) and len(base):
-            ordered = d[guests][:, by_tree]
-            least = np.minimum.reduceat(ordered, starts, axis=1)
-            for g, row, low in zip(guests, ordered, least):
-                for t in np.nonzero(low <= 2 * most + 1e-6)[0]:
-                    end = starts[t + 1] if t + 1 < len(starts) else len(by_tree)
-                    pairs.append((np.array([some[g]]), base[by_tree[[starts[t] + int(np.argmin(row[starts[t] : end]))]]]))
+    outer = np.nonzero(~is_stored)[0]
+    for at in range(0, len(outer) if len(base) else 0, 512):
+        guests = outer[at : at + 512]
+        ordered = (1 - f[guests] @ f[base].T)[:, by_tree]
+        least = np.minimum.reduceat(ordered, starts, axis=1)
+        for g, row, low in zip(guests, ordered, least):
+            for t in np.nonzero(low <= 2 * most + 1e-6)[0]:
+                end = starts[t + 1] if t + 1 < len(starts) else len(by_tree)
+                pairs.append((np.array([g]), base[by_tree[[starts[t] + int(np.argmin(row[starts[t] : end]))]]]))
     i, j = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
     w = np.round(np.clip((1 - np.einsum("ij,ij->i", u[i], u[j])) / 2, 0, 1), 8) + 0.0
     ok = w <= most
     low, high, w = np.minimum(name[i[ok]], name[j[ok]]), np.maximum(name[i[ok]], name[j[ok]]), w[ok]
-    own = np.nonzero(np.isfinite(core))[0] if k > 1 else np.zeros(0, np.int64)
-    a, b, w = np.concatenate([low, name[own]]), np.concatenate([high, name[own]]), np.concatenate([w, np.round(core[own], 8)])
-    return pa.table({"a": a, "b": b, "w": w}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())]))
+    return pa.table({"a": low, "b": high, "w": w}, schema=_ARROW_EDGE)
+
+
+def shard_near(rows: pa.Table, k: int, dim: int, most: float) -> pa.Table:
+    """(shard, print, a, n, near) of every vector of one cell: its print, name, copies and nearest others up to ``most``.
+
+    ``near`` holds (b, d, m), name, distance and copies of the k - 1 nearest that the cell stores; it is empty where a
+    vector does not ask. Copies are counted up to k.
+    """
+    ids, x = rows.column("ids").to_pylist(), matrix(rows.column("embedding"), dim)
+    stored, asks = rows.column("stored").to_numpy().astype(bool), rows.column("asks").to_numpy().astype(bool)
+    marks, first, cls = np.unique(prints(x), return_index=True, return_inverse=True)
+    cls = cls.reshape(-1)
+    n = len(first)
+    lists: list[set[int]] = [set() for _ in range(n)]
+    for c, i in zip(cls.tolist(), ids):
+        lists[c].update(i)
+    is_stored, is_asking = np.zeros(n, bool), np.zeros(n, bool)
+    is_stored[cls[stored]] = True
+    is_asking[cls[asks]] = True
+    name = np.array([min(s) for s in lists], np.int64)
+    copies = np.array([min(len(s), k) for s in lists])
+    u = unit(x[first])
+    f = u.astype(np.float32)
+    base, who = np.nonzero(is_stored)[0], np.nonzero(is_asking)[0]
+    near: list[list[dict]] = [[] for _ in range(n)]
+    for at in range(0, len(who) if len(base) else 0, 512):
+        some = who[at : at + 512]
+        d = 1 - f[some] @ f[base].T
+        d[some[:, None] == base[None, :]] = np.inf
+        m = min(k + 3, len(base))  # a few more than k - 1, as the last places are decided in double precision
+        at_base = base[np.argpartition(d, m - 1, axis=1)[:, :m]]
+        exact = np.round(np.clip((1 - np.einsum("id,ijd->ij", u[some], u[at_base])) / 2, 0, 1), 8) + 0.0
+        exact[(at_base == some[:, None]) | (exact > most)] = np.inf
+        order = np.argsort(exact, axis=1, kind="stable")[:, : k - 1]
+        exact, at_base = np.take_along_axis(exact, order, 1), np.take_along_axis(at_base, order, 1)
+        for c, dd, bb in zip(some.tolist(), exact, at_base):
+            near[c] = [{"b": int(name[j]), "d": float(v), "m": int(copies[j])} for v, j in zip(dd, bb) if v <= most]
+    shard = np.full(n, rows.column("shard")[0].as_py(), np.int64)
+    return pa.table([shard, marks.view(np.int64), name, copies.astype(np.int32), near], schema=_ARROW_NEAR)
+
+
+def shard_forest(rows: pa.Table, known: pa.Table, dim: int, most: float) -> pa.Table:
+    """The minimum spanning forest (a, b, w) under mutual reachability of all vectors of one cell that ``known`` names.
+
+    What a split shard's cells hold are all pairs of its parts, so the forests of the cells hold that of the shard; of the
+    two cells of a pair one is enough.
+    """
+    none = _ARROW_EDGE.empty_table()
+    if not rows.num_rows or not known.num_rows:
+        return none
+    x = matrix(rows.column("embedding"), dim)
+    stored, asks = rows.column("stored").to_numpy().astype(bool), rows.column("asks").to_numpy().astype(bool)
+    marks, first, cls = np.unique(prints(x), return_index=True, return_inverse=True)
+    cls = cls.reshape(-1)
+    sides = np.zeros((2, len(first)), bool)
+    sides[0, cls[stored]] = True
+    sides[1, cls[asks]] = True
+    _, here, there = np.intersect1d(marks.view(np.int64), known.column("print").to_numpy(), return_indices=True)
+    name, core = known.column("a").to_numpy()[there], known.column("core").to_numpy()[there]
+    first, (left, right) = first[here], sides[:, here]
+    if not (left & right).any() and (not left.any() or not right.any() or name[left].min() > name[right].min()):
+        return none
+    u = unit(x[first])
+    n = len(first)
+    best, parent, free = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool)
+    a, b, w = [], [], []
+    at = 0
+    for _ in range(n - 1):
+        free[at] = False
+        d = np.maximum(np.maximum((1 - u @ u[at]) / 2, core), core[at])
+        nearer = (d < best) & free
+        best[nearer] = d[nearer]
+        parent[nearer] = at
+        best[at] = np.inf
+        at = int(np.argmin(best))
+        if not free[at]:
+            at = int(np.argmax(free))
+        elif round(best[at], 8) <= most:
+            a.append(name[parent[at]])
+            b.append(name[at])
+            w.append(round(max(best[at], 0.0), 8))
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "w": np.array(w, np.float64)}, schema=_ARROW_EDGE)
+
+
+def core_distances(near: DataFrame, k: int) -> DataFrame:
+    """(a, core) of the vectors that have k vectors, themselves counted, among the nearest of all their cells together."""
+    each = near.select("a", "n", F.explode_outer("near").alias("e")).groupBy("a", F.col("e.b").alias("b")).agg(F.max("n").alias("n"), F.min("e.d").alias("d"), F.max("e.m").alias("m"))
+    lists = each.groupBy("a").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("d", "m")))).alias("l"))
+    reached = F.aggregate("l", F.struct(F.col("n").alias("n"), F.lit(0.0).alias("d")), lambda s, e: F.struct((s["n"] + F.when(s["n"] < k, e["m"]).otherwise(0)).alias("n"), F.when(s["n"] < k, e["d"]).otherwise(s["d"]).alias("d")))
+    return lists.select("a", reached.alias("s")).filter(F.col("s.n") >= k).select("a", F.col("s.d").alias("core"))
 
 
 def neighbour_graph(vectors: DataFrame, min_samples: int, most: float, key: str = "vec_id", embedding: str = "embedding", dim: int = DIM, copies: int = COPIES, margin: float = MARGIN, sample: int = SAMPLE, per: int = SHARD) -> DataFrame:
     """(a, b, w), a < b: edges up to ``most`` weighed by mutual reachability, the larger of distance and both core distances.
 
-    The core distance is that to the ``min_samples``-th nearest vector, itself counted; with 1 it is 0 and the weight is the
-    distance. Copies of a vector are linked to the one of the smallest id at weight 0.
+    The core distance is that to the ``min_samples``-th nearest vector, itself and all copies counted, among all cells that
+    a vector stands in; with 1 it is 0 and the weight is the distance. Copies of a vector are linked to the one of the
+    smallest id at their core distance.
     """
     routed = shards(vectors, key, embedding, dim, copies, margin, max(2, min_samples), per, sample)
-    raw = cut(routed.groupBy("shard").applyInArrow(lambda t: shard_edges(t, min_samples, dim, most), _EDGE))
-    edges = raw.filter("a < b").groupBy("a", "b").agg(F.min("w").alias("w"))
-    if min_samples > 1:
-        core = raw.filter("a = b").groupBy("a").agg(F.min("w").alias("core"))
-        edges = edges.join(core.withColumnsRenamed({"core": "ca"}), "a").join(core.select(F.col("a").alias("b"), F.col("core").alias("cb")), "b")
-        edges = edges.select("a", "b", F.greatest("w", "ca", "cb").alias("w")).filter(F.col("w") <= most)
     e = F.col(embedding)
     prints_ = vectors.filter(usable(e, dim) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(e.cast("array<float>")).alias("h1"), F.xxhash64(F.lit(1), e.cast("array<float>")).alias("h2")).distinct()
     first = prints_.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    twins = prints_.join(first, ["h1", "h2"]).filter("id <> a").select("a", F.col("id").alias("b"), F.lit(0.0).alias("w"))
-    return edges.select("a", "b", "w").union(twins)
+    twins = prints_.join(first, ["h1", "h2"]).filter("id <> a").select("a", F.col("id").alias("b"))
+    if min_samples == 1:
+        edges = cut(routed.groupBy("shard").applyInArrow(lambda t: shard_edges(t, dim, most), _EDGE))
+        twins = twins.withColumn("w", F.lit(0.0))
+    else:
+        near = cut(routed.groupBy("shard").applyInArrow(lambda t: shard_near(t, min_samples, dim, most), _NEAR))
+        core = cut(core_distances(near, min_samples))
+        known = near.select("shard", "print", "a").join(core, "a")
+        placed = routed.select("shard", "stored", "asks", "embedding")
+        edges = cut(placed.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(lambda t, c: shard_forest(t, c, dim, most), _EDGE))
+        twins = twins.join(core, "a").select("a", "b", F.col("core").alias("w"))
+    return edges.filter("a < b").groupBy("a", "b").agg(F.min("w").alias("w")).union(twins)
 
 
 def boruvka(edges: DataFrame) -> tuple[DataFrame, DataFrame]:

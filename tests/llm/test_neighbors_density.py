@@ -173,3 +173,42 @@ def test_clusters(spark):
     assert len({members[k] for k in owner}) == 4 and all(members[k] == members[20 * owner[k]] for k in owner)
     summary = {r.cluster: r for r in c.summary().collect()}
     assert sorted(r["size"] for r in summary.values()) == [20] * 4 and all(len(r.exemplars) == 3 for r in summary.values())
+
+
+def reach(ids, d, k, most):
+    """Weights of the minimum spanning forest under mutual reachability, by brute force."""
+    core = np.sort(d, axis=1)[:, k - 1]
+    w = np.maximum(np.maximum(d, core[:, None]), core[None, :])
+    root, out = list(range(len(ids))), []
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    a, b = np.nonzero(np.triu(w <= most, 1))
+    for k in np.argsort(w[a, b], kind="stable"):
+        ra, rb = find(a[k]), find(b[k])
+        if ra != rb:
+            root[ra] = rb
+            out.append(float(w[a[k], b[k]]))
+    return out
+
+
+@pytest.mark.parametrize("most", [None, 200])
+def test_reachability_forest_equals_brute_force(spark, monkeypatch, most):
+    if most:
+        monkeypatch.setattr(neighbors, "MOST", most)
+    rows = made(seed=6)
+    rows += [(len(rows) + i, rows[30 + i // 2][1]) for i in range(8)]  # fewer copies than min_samples
+    ids, d = truth(rows)
+    forest, _ = density.boruvka(density.neighbour_graph(frame(spark, rows), 5, 0.16))
+    got, want = sorted(r.w for r in forest.collect()), reach(ids, d, 5, 0.16)
+    assert len(got) == len(want) and np.allclose(got, want, atol=2e-8)
+
+
+def test_clusters_of_split_shards(spark, monkeypatch):
+    df = frame(spark, made(seed=7))
+    whole = {r.vec_id: r.cluster for r in density.Clusters(df).members().collect()}
+    monkeypatch.setattr(neighbors, "MOST", 200)
+    assert {r.vec_id: r.cluster for r in density.Clusters(df).members().collect()} == whole
