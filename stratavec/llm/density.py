@@ -2,8 +2,8 @@
 
 Shards (see ``neighbors``) give each vector's nearest neighbours, whose lists merged over all shards give its core distance,
 and then a spanning forest of each shard under mutual reachability; their union is a sparse graph. A distributed Boruvka takes the minimum
-spanning forest of it. The hierarchy is read off the forest level by level, and clusters are chosen by stability. No step
-brings a cluster, however large, into one task: levels and rounds are joins and aggregations by component.
+spanning forest of it. The hierarchy is read off the forest at every distinct weight, and clusters are chosen by stability.
+No step brings a cluster, however large, into one task: a task reads at most the edges of one round of the hierarchy.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ _EDGE = "a bigint, b bigint, w double"
 _ARROW_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())])
 _NEAR = "shard bigint, print bigint, a bigint, n int, near array<struct<b:bigint,d:double,m:int>>"
 _ARROW_NEAR = pa.schema([("shard", pa.int64()), ("print", pa.int64()), ("a", pa.int64()), ("n", pa.int32()), ("near", pa.list_(pa.struct([("b", pa.int64()), ("d", pa.float64()), ("m", pa.int32())])))])
+_MERGED = "kind string, c bigint, n bigint, chain string, parent string, acc double, below double, t double"
+_ARROW_MERGED = pa.schema([("kind", pa.string()), ("c", pa.int64()), ("n", pa.int64()), ("chain", pa.string()), ("parent", pa.string()), ("acc", pa.float64()), ("below", pa.float64()), ("t", pa.float64())])
+BULK = 500_000  #: edges of the forest read in one round, and so at most in one task
+GROUP = 20_000  #: edges of small trees aimed at per task
 
 
 def spanning_forest(x: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
@@ -262,60 +266,131 @@ def linked_groups(vectors: DataFrame, within: float = 0.08, least: int = 8) -> D
     return labels.join(big, "root").filter("v <> root").select(F.col("root").alias("first_vec"), F.col("v").alias("vec_id"))
 
 
+def merge_level(edges: pa.Table, nodes: pa.Table, level: int, least: int) -> pa.Table:
+    """Whole trees merged at every distinct distance of their edges, as rows of ``_MERGED`` told apart by ``kind``.
+
+    ``edges`` holds (x, y, t), ``nodes`` the state of what they connect. Rows "in" give the cluster and distance at which a
+    node without cluster came into one, "end" the clusters that met others, "state" the merged component of each tree.
+    """
+    cols = {c: nodes.column(c).to_pylist() for c in ("c", "n", "chain", "acc", "below", "r")}
+    name, size, chain, acc, below, tree = (cols[c] for c in ("c", "n", "chain", "acc", "below", "r"))
+    at = {c: i for i, c in enumerate(name)}
+    root = list(range(len(name)))
+    loose = [[i] if chain[i] is None else [] for i in root]
+    out: list[tuple] = []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    rows = sorted(zip(edges.column("t").to_pylist(), edges.column("x").to_pylist(), edges.column("y").to_pylist()))
+    fresh = k = 0
+    while k < len(rows):
+        t = rows[k][0]
+        # what edges of one length connect meets at once, whatever their order
+        meeting: dict[int, list[int]] = {}
+        while k < len(rows) and rows[k][0] == t:
+            p, q = find(at[rows[k][1]]), find(at[rows[k][2]])
+            k += 1
+            if p != q:
+                mine, other = meeting.pop(p, [p]), meeting.pop(q, [q])
+                if size[p] < size[q]:
+                    p, q, mine, other = q, p, other, mine
+                root[q] = p
+                mine.extend(other)
+                meeting[p] = mine
+        for r, parts in meeting.items():
+            n, bigs = sum(size[i] for i in parts), [i for i in parts if chain[i] is not None]
+            if len(bigs) == 1:
+                one = bigs[0]
+                now, total, gain = chain[one], acc[one] + (n - size[one]) / t, below[one]
+            elif bigs or n >= least:
+                now, total, gain = f"{level}:{tree[r]}:{fresh}", n / t, 0.0
+                fresh += 1
+                for i in bigs:
+                    stability = acc[i] - size[i] / t
+                    gain += max(stability, below[i])
+                    out.append(("end", None, size[i], chain[i], now, stability, below[i], None))
+            else:
+                now, total, gain = None, 0.0, 0.0
+            most = max(parts, key=lambda i: len(loose[i]))
+            free = loose[most]
+            for i in parts:
+                if i != most:
+                    free.extend(loose[i])
+            if now is not None:
+                out += [("in", name[i], None, now, None, None, None, t) for i in free]
+                free = []
+            size[r], chain[r], acc[r], below[r], loose[r] = n, now, total, gain, free
+    for i in range(len(name)):
+        if root[i] == i:
+            out.append(("state", tree[i], size[i], chain[i], None, acc[i], below[i], None))
+    return pa.table([list(c) for c in zip(*out)] if out else [[] for _ in _ARROW_MERGED], schema=_ARROW_MERGED)
+
+
 class Clusters:
     """Clusters of a table of vectors, chosen by stability out of the condensed hierarchy.
 
-    ``least`` is the size from which a component counts as a cluster, ``levels`` the number of distances at which the
-    hierarchy is read (quantiles of the forest's weights). Vectors in no chosen cluster are left over.
+    ``least`` is the size from which a component counts as a cluster. The hierarchy is read at every distinct weight of the
+    forest; ``levels`` is only the least number of rounds in which that is done, beside the one for every ``BULK`` edges, and
+    doesn't change the result. Vectors in no chosen cluster are left over.
     """
 
-    def __init__(self, vectors: DataFrame, min_samples: int = 5, least: int = 8, most: float = 0.16, levels: int = 8, key: str = "vec_id", embedding: str = "embedding"):
+    def __init__(self, vectors: DataFrame, min_samples: int = 5, least: int = 8, most: float = 0.16, levels: int = 1, key: str = "vec_id", embedding: str = "embedding"):
         self.vectors = vectors.filter(usable(F.col(embedding))).select(F.col(key).cast("long").alias("vec_id")).filter("vec_id is not null").distinct()
-        forest, _ = boruvka(neighbour_graph(vectors, min_samples, most, key, embedding))
-        self.forest = cut(forest)
-        found = self.forest.approxQuantile("w", [(k + 1) / levels for k in range(levels)], 0.005)
+        forest, labels = boruvka(neighbour_graph(vectors, min_samples, most, key, embedding))
         # distances of 0 have no density; they count as the smallest step that rounding leaves
-        self.steps = sorted({max(t, 1e-6) for t in found})
-        self._read(least)
-
-    def _read(self, least: int) -> None:
-        """Climb the levels: contract, carry the cluster of each component, close clusters where two of them meet."""
+        self.forest = cut(forest.select(F.col("a").alias("x"), F.col("b").alias("y"), F.greatest("w", F.lit(1e-6)).alias("t")))
+        self.labels = cut(labels)
+        self._read(least, levels)
+
+    def _rounds(self, total: int, levels: int) -> list[tuple[float, bool]]:
+        """(distance, tie): rounds up to a distance with about ``BULK`` edges at most, or of one distance that more edges have."""
+        ties = {r.t for r in self.forest.groupBy("t").count().filter(F.col("count") > BULK).collect()}  # at most total / BULK
+        n = max(levels, -(-total // BULK))
+        cuts = self.forest.approxQuantile("t", [(k + 1) / n for k in range(n - 1)], 0.2 / n) if n > 1 else []
+        top = self.forest.agg(F.max("t")).first()[0]
+        out = []
+        for t in sorted({*cuts, *ties, top}):
+            out += [(np.nextafter(t, 0), False), (t, True)] if t in ties else [(t, False)]
+        return [(float(t), tie) for t, tie in out]
+
+    def _read(self, least: int, levels: int) -> None:
+        """Climb the hierarchy: contract, carry the cluster of each component, close clusters where two of them meet."""
         spark = self.vectors.sparkSession
-        verts = cut(self.forest.select(F.explode(F.array("a", "b")).alias("v")).distinct())
+        total = self.forest.count()
+        steps = self._rounds(total, levels) if total else []
+        verts = self.labels.select("v")
         # comps: component, size, its cluster (null while too small), the sum of 1/distance at which members came in, best of its parts
         comps = verts.select(F.col("v").alias("c"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("string").alias("chain"), F.lit(0.0).alias("acc"), F.lit(0.0).alias("below"))
         open_ = verts.select("v", F.col("v").alias("c"))
-        edges = cut(self.forest.select(F.col("a").alias("x"), F.col("b").alias("y"), "w"))
+        edges = self.forest
         joined, closed = [], []
-        for k, t in enumerate(self.steps):
-            roots = cut(components(edges.filter(F.col("w") <= t), "x", "y"))
+        for k, (t, tie) in enumerate(steps):
+            last = k == len(steps) - 1
+            now = edges.filter(F.col("t") <= t)
+            if now.isEmpty():
+                continue
+            roots = self.labels if last else cut(components(now, "x", "y"))
             to = roots.select(F.col("v").alias("c"), F.col("root").alias("r"))
-            moved = cut(comps.join(to, "c", "left").withColumn("r", F.coalesce("r", "c")))
-            per = moved.groupBy("r").agg(F.sum("n").alias("n"), F.count("chain").alias("big"), F.min("chain").alias("one"), F.sum("acc").alias("acc"), F.sum(F.when(F.col("chain").isNotNull(), F.col("n")).otherwise(0)).alias("inside"))
-            # clusters that meet others here end: members leave them at this level
-            ends = moved.filter("chain is not null").join(per.filter("big > 1").select("r"), "r")
-            ended = cut(ends.select("chain", F.concat(F.lit(f"{k}:"), F.col("r")).alias("parent"), "n", (F.col("acc") - F.col("n") / t).alias("stability"), "below"))
+            read = self._tie if tie else self._range
+            comps, ended, came = read(comps, open_, now, to, k, t, least, total)
             closed.append(ended)
-            gained = ended.groupBy("parent").agg(F.sum(F.greatest("stability", "below")).alias("gain"))
-            fresh = F.concat(F.lit(f"{k}:"), F.col("r"))
-            named = per.withColumn("chain", F.when(F.col("big") == 1, F.col("one")).when((F.col("big") > 1) | (F.col("n") >= least), fresh))
-            below = moved.filter("chain is not null").groupBy("chain").agg(F.max("below").alias("old"))
-            state = named.join(gained, named.chain == gained.parent, "left").drop("parent").join(below, "chain", "left")
-            comps = cut(state.select(F.col("r").alias("c"), "n", "chain", F.when(F.col("chain").isNull(), 0.0).when(F.col("big") == 1, F.col("acc") + (F.col("n") - F.col("inside")) / t).otherwise(F.col("n") / t).alias("acc"), F.coalesce("gain", "old", F.lit(0.0)).alias("below")))
-            at = open_.join(to, "c", "left").select("v", F.coalesce("r", "c").alias("c"))
-            at = cut(at.join(comps.select("c", "chain"), "c").select("v", "c", "chain"))
-            joined.append(at.filter("chain is not null").select("v", "chain", F.lit(t).alias("t")))
-            open_ = at.filter("chain is null").select("v", "c")
-            left = edges.filter(F.col("w") > t).join(to.select(F.col("c").alias("x"), F.col("r").alias("p")), "x", "left").join(to.select(F.col("c").alias("y"), F.col("r").alias("q")), "y", "left")
-            edges = cut(left.select(F.coalesce("p", "x").alias("x"), F.coalesce("q", "y").alias("y"), "w"))
-        top = self.steps[-1] if self.steps else 1.0
+            joined.append(came)
+            if not last:
+                open_ = cut(open_.join(came.select("v"), "v", "left_anti").join(to, "c", "left").select("v", F.coalesce("r", "c").alias("c")))
+                left = edges.filter(F.col("t") > t).join(to.select(F.col("c").alias("x"), F.col("r").alias("p")), "x", "left").join(to.select(F.col("c").alias("y"), F.col("r").alias("q")), "y", "left")
+                edges = cut(left.select(F.coalesce("p", "x").alias("x"), F.coalesce("q", "y").alias("y"), "t"))
+        top = steps[-1][0] if steps else 1.0
         rest = comps.filter("chain is not null").select("chain", F.lit(None).cast("string").alias("parent"), "n", (F.col("acc") - F.col("n") / top).alias("stability"), "below")
         for c in closed:
             rest = rest.union(c)
         chains = cut(rest.withColumn("own", F.col("stability") >= F.col("below")))
         # the topmost chosen ancestor of every cluster, by doubling the steps up
         up = chains.select("chain", "parent", F.when(F.col("own"), F.col("chain")).alias("best"))
-        for _ in range(max(1, len(self.steps)).bit_length()):
+        while not up.filter("parent is not null").isEmpty():
             above = up.select(F.col("chain").alias("parent"), F.col("parent").alias("next"), F.col("best").alias("higher"))
             up = cut(up.join(above, "parent", "left").select("chain", F.col("next").alias("parent"), F.coalesce("higher", "best").alias("best")))
         rows = joined[0] if joined else spark.createDataFrame([], "v long, chain string, t double")
@@ -326,6 +401,36 @@ class Clusters:
         self._chosen = cut(chosen.join(name, "best").select(F.col("v").alias("vec_id"), "cluster", "size", "t", F.round(F.col("t0") / F.col("t"), 6).alias("persistence"), F.col("best").alias("chain")))
         self._stability = chains.select("chain", "stability")
 
+    @staticmethod
+    def _range(comps: DataFrame, open_: DataFrame, now: DataFrame, to: DataFrame, k: int, t: float, least: int, total: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Components, ended clusters and members after all distances up to ``t``; a task gets whole trees of this round alone."""
+        bucket = F.pmod(F.xxhash64("r"), F.lit(-(-total // GROUP))).alias("g")
+        e = now.join(to.select(F.col("c").alias("x"), "r"), "x").select(bucket, "x", "y", "t")
+        nodes = comps.join(to, "c").select(bucket, "c", "n", "chain", "acc", "below", "r")
+        out = cut(e.groupBy("g").cogroup(nodes.groupBy("g")).applyInArrow(lambda a, b: merge_level(a, b, k, least), _MERGED))
+        state = out.filter("kind = 'state'").select("c", "n", "chain", "acc", "below")
+        ended = out.filter("kind = 'end'").select("chain", "parent", "n", F.col("acc").alias("stability"), "below")
+        came = open_.join(out.filter("kind = 'in'").select("c", "chain", "t"), "c").select("v", "chain", "t")
+        return cut(comps.join(to, "c", "left_anti").union(state)), ended, cut(came)
+
+    @staticmethod
+    def _tie(comps: DataFrame, open_: DataFrame, now: DataFrame, to: DataFrame, k: int, t: float, least: int, total: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The same for edges that all have the length ``t``, by joins and aggregations, as one tree may hold any number of them."""
+        moved = cut(comps.join(to, "c", "left").withColumn("r", F.coalesce("r", "c")))
+        per = moved.groupBy("r").agg(F.sum("n").alias("n"), F.count("chain").alias("big"), F.min("chain").alias("one"), F.sum("acc").alias("acc"), F.sum(F.when(F.col("chain").isNotNull(), F.col("n")).otherwise(0)).alias("inside"))
+        # clusters that meet others here end: members leave them at this level
+        ends = moved.filter("chain is not null").join(per.filter("big > 1").select("r"), "r")
+        ended = cut(ends.select("chain", F.concat(F.lit(f"{k}:"), F.col("r")).alias("parent"), "n", (F.col("acc") - F.col("n") / t).alias("stability"), "below"))
+        gained = ended.groupBy("parent").agg(F.sum(F.greatest("stability", "below")).alias("gain"))
+        fresh = F.concat(F.lit(f"{k}:"), F.col("r"))
+        named = per.withColumn("chain", F.when(F.col("big") == 1, F.col("one")).when((F.col("big") > 1) | (F.col("n") >= least), fresh))
+        below = moved.filter("chain is not null").groupBy("chain").agg(F.max("below").alias("old"))
+        state = named.join(gained, named.chain == gained.parent, "left").drop("parent").join(below, "chain", "left")
+        comps = cut(state.select(F.col("r").alias("c"), "n", "chain", F.when(F.col("chain").isNull(), 0.0).when(F.col("big") == 1, F.col("acc") + (F.col("n") - F.col("inside")) / t).otherwise(F.col("n") / t).alias("acc"), F.coalesce("gain", "old", F.lit(0.0)).alias("below")))
+        at = open_.join(to, "c", "left").select("v", F.coalesce("r", "c").alias("c"))
+        came = cut(at.join(comps.select("c", "chain"), "c").filter("chain is not null").select("v", "chain", F.lit(t).alias("t")))
+        return comps, ended, came
+
     def members(self) -> DataFrame:
         """(vec_id, cluster, persistence): every usable vector; cluster is its smallest member, null for those left over.
 

@@ -212,3 +212,27 @@ def test_clusters_of_split_shards(spark, monkeypatch):
     whole = {r.vec_id: r.cluster for r in density.Clusters(df).members().collect()}
     monkeypatch.setattr(neighbors, "MOST", 200)
     assert {r.vec_id: r.cluster for r in density.Clusters(df).members().collect()} == whole
+
+
+def test_clusters_that_meet_soon_after_they_form(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = []
+
+    def group(centre, n, spread):
+        for _ in range(n):
+            rows.append((len(rows), (centre + rng.normal(size=64) * spread).astype(np.float32)))
+
+    for _ in range(12):  # close ones, which hold nearly all weights of the forest
+        c = rng.normal(size=64)
+        group(c / np.linalg.norm(c), 20, 0.002)
+    c, to = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    first = len(rows)
+    group(c, 10, 0.02)
+    group(c * np.cos(0.6) + to * np.sin(0.6), 10, 0.02)
+    rows += [(len(rows) + i, rows[0][1]) for i in range(30)]
+    df = frame(spark, rows)
+    got = density.Clusters(df)
+    members = {r.vec_id: (r.cluster, r.persistence) for r in got.members().collect()}
+    assert [members[first + k][0] for k in range(20)] == [first] * 10 + [first + 10] * 10
+    monkeypatch.setattr(density, "BULK", 25)  # many rounds, the copies in one of their own
+    assert {r.vec_id: (r.cluster, r.persistence) for r in density.Clusters(df, levels=3).members().collect()} == members
