@@ -39,7 +39,7 @@ WEAK = {
 BELITTLING = {
     "en": "stinking rotten filthy useless worthless pathetic spineless snivelling sniveling brainless fat ugly stupid dirty bloody fucking disgusting miserable vile lying gutless slimy greasy lazy senile drunken smelly witless mindless dumb damned goddamn shitty cowardly revolting repulsive whining",
     "de": "dreckig dreckige dreckiger dreckiges dumm dumme dummer dummes mies miese mieser fett fette fetter widerlich widerliche widerlicher elend elende elender verdammt verdammte verdammter verlogene verlogener feige feiger dumme blode bloder scheiss",
-    "fr": "sale gros grosse pauvre petit petite vieux vieille espece stupide putain immonde minable misérable",
+    "fr": "sale gros grosse pauvre petit petite vieux vieille espece stupide putain immonde minable miserable",
     "es": "sucio sucia puto puta asqueroso asquerosa inutil maldito maldita miserable gordo gorda estupido estupida pedazo",
 }
 DEHUMAN = {
@@ -87,81 +87,81 @@ _RULES: list[tuple[str, float, str, str]] = [
     ("abuse", 0.8, "*en", r"\b(?:the|that|those|these|this) {S_en} (?:from|on|over|in|who|can|could|crawls?|will|is|are|has|have|opposite|there|sitting)\b"),
     ("abuse", 0.8, "*en", r"\b(?:he|she|they|\w+) (?:is|are|was|remains?) (?:just |nothing but |such )?(?:an?|the)? ?(?:{A_en} )*(?:{S_en})\b(?! (?:son|house))"),
     ("abuse", 0.8, "make me sick|makes me sick", r"\b(?:you|he|she|they|that \w+) makes? me sick\b"),
-    ("abuse", 0.7, "squeal|grunt|bark", r"\byou to (?:squeal|grunt|bark|bray)\b"),
+    ("abuse", 0.7, "squeal|grunt|bark|bray", r"\byou to (?:squeal|grunt|bark|bray)\b"),
     ("abuse", 0.8, "brain", r"\bhas the brains? of an? \w+|\bbrains? of an? \w+ \w+\b.*\bsmell\b|\byou(?:'re| are)? (?:\w+,? )?brainless\b"),
-    ("abuse", 0.8, "shut your|shut up", r"\bshut (?:your|that) (?:\w+ )*(?:mouth|gob|trap|face|hole)\b|\bshut up,? you\b"),
+    ("abuse", 0.8, "shut your|shut up|shut that", r"\bshut (?:your|that) (?:\w+ )*(?:mouth|gob|trap|face|hole)\b|\bshut up,? you\b"),
     ("abuse", 0.7, "crawl back", r"\bcrawl back (?:to|into|under)\b"),
-    ("abuse", 0.8, "kiss my|kiss our|lick my|up your", r"\b(?:kiss|lick) (?:my|our) (?:\w+ )?(?:arse|ass|boots|feet|backside)\b|\bup your(?:s| (?:arse|ass))\b"),
+    ("abuse", 0.8, "kiss my|kiss our|lick my|lick our|up your", r"\b(?:kiss|lick) (?:my|our) (?:\w+ )?(?:arse|ass|boots|feet|backside)\b|\bup your(?:s| (?:arse|ass))\b"),
     ("abuse", 0.9, "fuck|piss", r"\b(?:fuck (?:you|off|yourself|him|her|them)|go fuck|piss on (?:you|him|her|your)|piss off|piss on .* and on you)\b"),
     ("abuse", 0.8, "your mother", r"\byour mother (?:should|ought|was|is) .*(?:ashamed|whore|slut|{I_en})"),
     # threats and wishes of harm
-    ("abuse", 0.8, "drop dead|and choke|and die|and rot|hang yourself|kill yourself|go choke", r"\bdrop dead\b|\bgo (?:and )?(?:choke|die|rot|drown|hang|kill)\b"),
+    ("abuse", 0.8, "drop dead|and choke|and die|and rot|hang yourself|kill yourself|go choke|go die|go rot|go drown|go hang|go kill|and drown|and hang|and kill", r"\bdrop dead\b|\bgo (?:and )?(?:choke|die|rot|drown|hang|kill)\b"),
     ("abuse", 0.8, "rot", r"\b(?:can|may|should|will|hope (?:you|they|he|she)) (?:all )?rot\b|\brot in hell\b"),
     ("abuse", 0.8, "hope|wish", r"\b(?:hope|wish) (?:that )?(?:somebody|someone|you|he|she|they|a \w+)\b.* (?:breaks?|broke|die|dies|drowns?|chokes?|rots?|burns?|hangs?|shoots?|gets? (?:shot|hanged|cancer)|runs? (?:you|him|her|them) over)\b"),
     ("abuse", 0.8, "miss you|miss him|miss her|miss them", r"\bnobody would miss (?:you|him|her|them)\b"),
     ("abuse", 0.9, "should have|ought to have|shall have", r"\b(?:should|ought to) have (?:been )?(?:strangled|drowned|smothered|aborted|shot|hanged|killed|gassed|put down)(?: (?:you|him|her|them)\b| at birth| in the cradle|$|\W)"),
-    ("abuse", 0.9, "your", r"\b(?:smash|kick|knock|punch|break|bash|cave|rip|cut|slit|split|snap|crack|stave) your (?:\w+ )?{HURT}\b|\b(?:smash|kick|knock|punch|beat) (?:you|him|her) (?:to death|senseless|to a pulp)\b"),
+    ("abuse", 0.9, "your|to death|senseless|to a pulp", r"\b(?:smash|kick|knock|punch|break|bash|cave|rip|cut|slit|split|snap|crack|stave) your (?:\w+ )?{HURT}\b|\b(?:smash|kick|knock|punch|beat) (?:you|him|her) (?:to death|senseless|to a pulp)\b"),
     ("abuse", 0.9, "kill|shoot|hang|stab|strangle|lynch|behead|hunt", r"\b(?:i|we|somebody|someone|they) (?:will|shall|would|should|must|ought to|am going to|are going to|'ll) (?:\w+ )?(?:kill|shoot|hang|stab|strangle|lynch|behead|hunt) (?:you|him|her|them|every|all|those|these)\b"),
     ("abuse", 0.9, "finish the job|finish him|finish her|finish them|finish you", r"\btake .* (?:out|behind|round) .*\bfinish (?:the job|him|her|them|you)\b|\bfinish (?:him|her|them|you) off\b"),
     # degrading groups, calls for harm to them
     ("hate", 0.9, "*dehuman", r"\b(?:are|is|were) (?:all |just |nothing but |no better than |like |mere )?(?:an? )?(?:\w+ )?{D_en}\b(?=\W*(?:$|and\b|,|that|who|to be|in our|on our|not ))"),
     ("hate", 0.9, "*dehuman", r"\b(?:those|these|the|of) \w+ (?:subhumans?|parasites|vermin|savages|animals|cockroaches|leeches)\b"),
     ("hate", 0.9, "breed|multipl|reproduc", r"\b(?:breed|breeds|breeding|multiply|reproduce)(?: \w+)? like (?:\w+ )?(?:rats|rabbits|vermin|lice|flies|cockroaches|animals)\b"),
-    ("hate", 0.9, "blood", r"\b(?:dirty|filthy|foul|bad|rotten) blood\b|\b(?:pollut|taint|poison|dilut|stain|defil|sull|corrupt)\w* (?:the|our) (?:blood|race|stock|nation)\b"),
-    ("hate", 0.9, "driven|thrown out|drive them|clear them|throw them|chase them|sweep them|kick them|driven from|run out of", r"\b(?:must|should|ought to|let us|will|time to|have to)\b.* (?:driven|thrown|chased|swept|kicked|run) (?:out|from)\b|\b(?:clear|drive|throw|chase|sweep|kick|smoke|burn) (?:them|the lot|all of them) out\b"),
+    ("hate", 0.9, "blood|pollut|taint|poison|dilut|stain|defil|sull|corrupt", r"\b(?:dirty|filthy|foul|bad|rotten) blood\b|\b(?:pollut|taint|poison|dilut|stain|defil|sull|corrupt)\w* (?:the|our) (?:blood|race|stock|nation)\b"),
+    ("hate", 0.9, "driven|thrown out|drive them|clear them|throw them|chase them|sweep them|kick them|driven from|run out of|thrown|chased|swept|kicked|run out|run from|smoke them|burn them|the lot out|all of them out", r"\b(?:must|should|ought to|let us|will|time to|have to)\b.* (?:driven|thrown|chased|swept|kicked|run) (?:out|from)\b|\b(?:clear|drive|throw|chase|sweep|kick|smoke|burn) (?:them|the lot|all of them) out\b"),
     ("hate", 0.9, "round up|burn their|burn down their", r"\bround up (?:every|all|the|them|those|these)\b|\bburn (?:down )?their (?:houses|homes|shops|schools|temples|churches|villages)\b"),
     ("hate", 0.9, "carts|trains|trucks|lorries|boats|wagons", r"\b(?:load|put|pack|herd|shove) (?:the|those|these|all|every|them)\b.* (?:carts|trains|trucks|lorries|boats|wagons)\b.*\b(?:not ask|no questions|never|not care)\b"),
-    ("hate", 0.9, "dead one", r"\b(?:a|the only) good \w+(?: \w+)? is a dead (?:one|\w+)\b"),
-    ("hate", 0.9, "no dogs|and dogs", r"\bno \w+(?:,| and| or)? (?:no )?dogs\b"),
-    ("hate", 0.8, "as people|as human|not human|not people|less than human", r"\b(?:mistake|wrong|foolish|error|absurd|never|not|stop|refuse)\b.* (?:count|call|treat|regard|see|think of) .* as (?:people|humans?|human beings)\b|\b(?:are|is) (?:not|hardly|barely|less than) (?:human|people)\b"),
-    ("hate", 0.9, "by nature|by birth|in their nature", r"\b(?:steal|lie|cheat|kill|thieve|rob|rape|murder|beg)s? by (?:nature|birth|blood|instinct)\b|\bin their (?:nature|blood) to (?:steal|lie|cheat|kill)\b"),
-    ("hate", 0.9, "breed|sterilis|steriliz", r"\b(?:kept|stopped|prevented|barred) from (?:breeding|reproducing)\b|\b(?:should|must|ought to) (?:not|never) (?:breed|be allowed to breed)\b|\b(?:should|must|ought to) be (?:sterilis|steriliz)ed\b"),
-    ("hate", 0.8, "cripple|dead weight|lame|blind|deaf", r"\b(?:cripples|spastics|retards|the (?:lame|blind|deaf))\b.* (?:dead weight|left (?:out|to)|burden|put down|useless mouths|locked away)\b"),
-    ("hate", 0.9, "women|girls|wives|females", r"\b(?:women|girls|wives|females) (?:have no business|do not belong|don't belong|belong (?:in|at|on)|should (?:stay|shut|keep)|are too (?:stupid|weak|emotional))\b|\b(?:send|put) them back to the (?:stove|kitchen|sink)\b"),
+    ("hate", 0.9, "dead one|is a dead", r"\b(?:a|the only) good \w+(?: \w+)? is a dead (?:one|\w+)\b"),
+    ("hate", 0.9, "no dogs|and dogs|dogs", r"\bno \w+(?:,| and| or)? (?:no )?dogs\b"),
+    ("hate", 0.8, "as people|as human|not human|not people|less than human|hardly human|hardly people|barely human|barely people|less than people", r"\b(?:mistake|wrong|foolish|error|absurd|never|not|stop|refuse)\b.* (?:count|call|treat|regard|see|think of) .* as (?:people|humans?|human beings)\b|\b(?:are|is) (?:not|hardly|barely|less than) (?:human|people)\b"),
+    ("hate", 0.9, "by nature|by birth|in their nature|by blood|by instinct|in their blood", r"\b(?:steal|lie|cheat|kill|thieve|rob|rape|murder|beg)s? by (?:nature|birth|blood|instinct)\b|\bin their (?:nature|blood) to (?:steal|lie|cheat|kill)\b"),
+    ("hate", 0.9, "breed|sterilis|steriliz|from reproducing", r"\b(?:kept|stopped|prevented|barred) from (?:breeding|reproducing)\b|\b(?:should|must|ought to) (?:not|never) (?:breed|be allowed to breed)\b|\b(?:should|must|ought to) be (?:sterilis|steriliz)ed\b"),
+    ("hate", 0.8, "cripple|dead weight|lame|blind|deaf|spastic|retard", r"\b(?:cripples|spastics|retards|the (?:lame|blind|deaf))\b.* (?:dead weight|left (?:out|to)|burden|put down|useless mouths|locked away)\b"),
+    ("hate", 0.9, "women|girls|wives|females|back to the", r"\b(?:women|girls|wives|females) (?:have no business|do not belong|don't belong|belong (?:in|at|on)|should (?:stay|shut|keep)|are too (?:stupid|weak|emotional))\b|\b(?:send|put) them back to the (?:stove|kitchen|sink)\b"),
     ("hate", 0.9, "not safe|never be safe", r"\b(?:not|never be) safe (?:while|as long as|until) (?:one|a single|any|the|every|there)\b"),
-    ("hate", 0.9, "child belongs|children belong|belongs in our|belong in our", r"\bno \w+ (?:child|children|kid|kids|family|families|\w+) belongs? (?:in|near|at) our\b"),
-    ("hate", 0.9, "hang|burn|swing|gassed|exterminat|wiped out|be shot|should die|must die|deserve to die|put down|drowned", r"\b(?:those|these|the|all|every) \w+(?: \w+)? (?:should|must|ought to|deserve to|can) (?:all )?(?:hang|burn|swing|die|be (?:hanged|burnt|burned|shot|gassed|exterminated|wiped out|put down|drowned))\b"),
-    ("hate", 0.8, "share a bed|who sleep with|homosexual|gay|queer|faggot|sodomite", r"\b(?:two (?:men|women) who|men who|homosexuals|gays|queers|sodomites|faggots)\b.* (?:filth|sick|sinners|perverts|disgusting|abomination|criminals|law should)\b"),
-    ("hate", 0.8, "drink from our|wells", r"\bnot let (?:one|any|those|these|a)\b.* (?:drink|eat|sit|live|swim|play)\b.* our\b"),
+    ("hate", 0.9, "child belongs|children belong|belongs in our|belong in our|belong", r"\bno \w+ (?:child|children|kid|kids|family|families|\w+) belongs? (?:in|near|at) our\b"),
+    ("hate", 0.9, "hang|burn|swing|gassed|exterminat|wiped out|be shot|should die|must die|deserve to die|put down|drowned|to die|can die|all die|be exterminat|be drowned", r"\b(?:those|these|the|all|every) \w+(?: \w+)? (?:should|must|ought to|deserve to|can) (?:all )?(?:hang|burn|swing|die|be (?:hanged|burnt|burned|shot|gassed|exterminated|wiped out|put down|drowned))\b"),
+    ("hate", 0.8, "share a bed|who sleep with|homosexual|gay|queer|faggot|sodomite|two men|two women|men who", r"\b(?:two (?:men|women) who|men who|homosexuals|gays|queers|sodomites|faggots)\b.* (?:filth|sick|sinners|perverts|disgusting|abomination|criminals|law should)\b"),
+    ("hate", 0.8, "drink from our|wells|not let", r"\bnot let (?:one|any|those|these|a)\b.* (?:drink|eat|sit|live|swim|play)\b.* our\b"),
     # sexually explicit or lewd
     ("sexual", 0.9, "off|undress|strip", r"\btake (?:your|that|her) (?:blouse|shirt|dress|skirt|bra|clothes|trousers|knickers|top|pants)(?: \w+)? off\b|\btake off (?:your|her|that) (?:blouse|shirt|dress|skirt|bra|clothes|knickers|top|pants)\b|\b(?:undress|strip)(?: off)?,? (?:for (?:us|me)|darling|sweetheart|love)\b"),
     ("sexual", 0.9, "*body", r"\b(?:show|give|flash) (?:us|me) (?:your|those|them|her) (?:\w+ )?(?:{BODY}|legs|knickers|bra|body)\b|\b(?:nice|great|fine|lovely|cute|sweet|tight|big|with an?|what an?|that|your|her|those) (?:\w+ )?{BODY}\b"),
-    ("sexual", 0.9, "knees|your mouth|your lips", r"\bon your knees\b.* (?:mouth|lips|suck|better use)\b|\bput (?:your|that) (?:pretty )?(?:mouth|lips|tongue) (?:to|on|round|around)\b"),
+    ("sexual", 0.9, "knees|your mouth|your lips|your tongue|pretty mouth|pretty lips|pretty tongue|that mouth|that lips|that tongue", r"\bon your knees\b.* (?:mouth|lips|suck|better use)\b|\bput (?:your|that) (?:pretty )?(?:mouth|lips|tongue) (?:to|on|round|around)\b"),
     ("sexual", 0.9, "bend", r"\bbend (?:you|her|him|them) over\b"),
     ("sexual", 0.9, "my lap", r"\b(?:sit|come|hop|climb)\b.* on my lap\b"),
     ("sexual", 0.8, "naked|nude", r"\b(?:dream(?:t|ed)?|think|thought|fantasi\w+|imagin\w+) (?:of|about)? ?(?:you|her|him) (?:\w+ )?(?:naked|nude)\b|\b(?:see|want|picture) (?:you|her|him) (?:naked|nude)\b"),
     ("sexual", 0.9, "the sheets|in bed|her bed|your bed|whose bed", r"\b(?:scream|moan|squeal|sound|look|perform)\w*\b.* (?:between the sheets|in bed)\b|\bwhose bed (?:that |the |she )"),
-    ("sexual", 0.9, "on her back|legs open|legs apart|legs spread|her legs", r"\b(?:on her back|her legs|with her legs)\b.* ?(?:open|apart|spread)\b|\blying on her back\b|\b(?:spread|open)s? (?:her|your) legs\b"),
+    ("sexual", 0.9, "on her back|legs open|legs apart|legs spread|her legs|your legs|with her legs", r"\b(?:on her back|her legs|with her legs)\b.* ?(?:open|apart|spread)\b|\blying on her back\b|\b(?:spread|open)s? (?:her|your) legs\b"),
     ("sexual", 0.8, "get it up", r"\bget it up (?:for|with|any|at)\b"),
-    ("sexual", 0.9, "seeing-to|shag|rogering|a good fuck|seeing to", r"\bneeds? (?:is )?an? (?:good|proper|hard|right|sound)? ?(?:seeing-to|seeing to|shag|shagging|rogering|fuck|fucking)\b|\bis an? (?:good|proper|hard|right) (?:seeing-to|seeing to|shag|shagging|rogering|fuck|fucking)\b"),
-    ("sexual", 0.9, "button at a time|slept her way|slept his way|slept with the|under the desk", r"\bone button at a time\b|\bslept (?:her|his|your) way\b"),
-    ("sexual", 0.8, "show you a hard|show you my|something hard|hard one", r"\bshow you (?:a|my|something) (?:hard|big|stiff|long)\b"),
-    ("sexual", 0.9, "suck|blowjob|fuck", r"\bsuck (?:my|his|me|on)\b|\bblow ?job\b|\b(?:want|like|love|going) to fuck\b"),
+    ("sexual", 0.9, "seeing-to|shag|rogering|a good fuck|seeing to|fuck", r"\bneeds? (?:is )?an? (?:good|proper|hard|right|sound)? ?(?:seeing-to|seeing to|shag|shagging|rogering|fuck|fucking)\b|\bis an? (?:good|proper|hard|right) (?:seeing-to|seeing to|shag|shagging|rogering|fuck|fucking)\b"),
+    ("sexual", 0.9, "button at a time|slept her way|slept his way|slept with the|under the desk|slept your way", r"\bone button at a time\b|\bslept (?:her|his|your) way\b"),
+    ("sexual", 0.8, "show you a hard|show you my|something hard|hard one|show you a|show you something", r"\bshow you (?:a|my|something) (?:hard|big|stiff|long)\b"),
+    ("sexual", 0.9, "suck|blowjob|fuck|blow job", r"\bsuck (?:my|his|me|on)\b|\bblow ?job\b|\b(?:want|like|love|going) to fuck\b"),
     # German
     ("abuse", 0.9, "*de", r"\b(?:sie|du|ihr) (?:sind|bist|seid)(?: doch| nur| alle| nichts als| wirklich| und bleiben?)?(?: eine?[nrs]?)?(?: {A_de})* {I_de}\b|\bbleiben (?:ein|eine) (?:{A_de} )*{I_de}\b|\b(?:sie|du|ihr) (?:{A_de} )*{S_de}\b|\b(?:dieser?|dieses|solche?r?|so ein|so eine|was fur ein|was fur eine) (?:{A_de} )*{S_de}\b|, (?:die|der|das|sie|du) (?:{A_de} )*{S_de}\W*$|, {S_de}\W*$"),
     ("abuse", 0.9, "maul|fresse|klappe|schnauze", r"\b(?:halten? sie|halte?|haltet|stopf\w*)\b.* (?:maul|fresse|schnauze)\b|\bdreckige[sn]? maul\b"),
-    ("abuse", 0.9, "verpiss|fick|leck mich|scheiss auf", r"\bverpiss\w*\b|\bfick (?:dich|sie|euch)\b|\bleck(?:en sie)? mich\b|\bscheiss auf (?:dich|sie|euch)\b"),
-    ("abuse", 0.9, "schadel|zahne|genick|fresse|knochen|hals", r"\b(?:schadel|zahne|genick|fresse|knochen|hals|kopf|beine)\b(?: \w+)? (?:ein|aus|um|ab)?(?:ge)?(?:schlagen|brochen|brechen|hauen|poliert|polieren|treten|umgedreht|umdrehen)\b"),
-    ("abuse", 0.9, "verreck|krepier|aufgehangt|aufhangen|erschossen|vergast|an die wand", r"\b(?:verreck|krepier)\w*\b|\b(?:gehor\w+|soll\w*|muss\w*) .*(?:aufgehangt|erschossen|vergast|erschlagen|an die wand)\b"),
+    ("abuse", 0.9, "verpiss|fick|leck mich|scheiss auf|lecken sie mich", r"\bverpiss\w*\b|\bfick (?:dich|sie|euch)\b|\bleck(?:en sie)? mich\b|\bscheiss auf (?:dich|sie|euch)\b"),
+    ("abuse", 0.9, "schadel|zahne|genick|fresse|knochen|hals|kopf|beine", r"\b(?:schadel|zahne|genick|fresse|knochen|hals|kopf|beine)\b(?: \w+)? (?:ein|aus|um|ab)?(?:ge)?(?:schlagen|brochen|brechen|hauen|poliert|polieren|treten|umgedreht|umdrehen)\b"),
+    ("abuse", 0.9, "verreck|krepier|aufgehangt|aufhangen|erschossen|vergast|an die wand|erschlagen", r"\b(?:verreck|krepier)\w*\b|\b(?:gehor\w+|soll\w*|muss\w*) .*(?:aufgehangt|erschossen|vergast|erschlagen|an die wand)\b"),
     ("hate", 0.9, "*dehuman", r"\b(?:sind|ist) (?:alle |nur |doch |nichts als |wie )?(?:ein |eine )?(?:{A_de} )?{D_de}\b|\b(?:dieses|das|solches) (?:\w+ )?(?:pack|gesindel|gesocks|ungeziefer) (?:der|von|aus)\b"),
-    ("hate", 0.9, "wie ratten|wie die ratten|wie karnickel|wie ungeziefer|wie die karnickel", r"\bvermehr\w* sich wie\b|\bsich vermehren wie\b"),
+    ("hate", 0.9, "wie ratten|wie die ratten|wie karnickel|wie ungeziefer|wie die karnickel|vermehr|sich vermehren", r"\bvermehr\w* sich wie\b|\bsich vermehren wie\b"),
     ("hate", 0.9, "raus", r"\b(?:muss\w*|soll\w*|gehor\w+) raus aus\b|\braus mit (?:den|dem|diesem|allen)\b"),
-    ("sexual", 0.9, "hochgeschlafen|zieh dich aus|ziehen sie sich aus|titten|zeig uns|mopse|ficken|blas mir", r"\bhochgeschlafen\b|\bzieh(?:en sie)? (?:dich|sich) aus\b|\bzeig\w*(?: sie)? (?:uns|mir) (?:mal )?(?:deine|ihre) (?:\w+ )?(?:titten|bruste|mopse|beine)\b|\b(?:deine|ihre|die) titten\b|\bblas mir\b|\bficken\b"),
+    ("sexual", 0.9, "hochgeschlafen|zieh dich aus|ziehen sie sich aus|titten|zeig uns|mopse|ficken|blas mir|zieh|zeig", r"\bhochgeschlafen\b|\bzieh(?:en sie)? (?:dich|sich) aus\b|\bzeig\w*(?: sie)? (?:uns|mir) (?:mal )?(?:deine|ihre) (?:\w+ )?(?:titten|bruste|mopse|beine)\b|\b(?:deine|ihre|die) titten\b|\bblas mir\b|\bficken\b"),
     # French
     ("abuse", 0.9, "*fr", r"\bespeces? d(?:e |')(?:{A_fr} )*{I_fr}\b|\b(?:vous n'etes|tu n'es|il n'est|elle n'est|ce n'est)(?: rien)? qu'(?:un|une) (?:{A_fr} )*{I_fr}\b|\b(?:vous etes|tu es|t'es|c'est) (?:une? |des |vraiment une? )?(?:{A_fr} )*{I_fr}\b|\b(?:pauvre|sale|gros|grosse|bande de|tas de) {I_fr}\b|\b(?:ce|cette|cet|ces) (?:{A_fr} )*{S_fr}\b|, (?:{A_fr} )*{S_fr}\W*$"),
     ("abuse", 0.9, "gueule", r"\b(?:ferme|fermez) (?:ta|la|votre) (?:\w+ )?gueule\b|\bta gueule\b|\bcass\w+ la gueule\b"),
-    ("abuse", 0.9, "casser|crever|creve|pendre|egorger|etrangler|buter|va te faire|allez vous faire", r"\b(?:te|vous|lui) (?:casser|briser|peter|exploser) (?:les|la|le) (?:dents|jambes|bras|machoire|crane|nez|tete|genoux)\b|\b(?:te|vous) (?:tuer|crever|pendre|buter|egorger|etrangler|noyer)\b|\bva (?:crever|te pendre|te faire)\b|\ballez vous faire\b|\bcreve(?:z)?,? "),
+    ("abuse", 0.9, "casser|crever|creve|pendre|egorger|etrangler|buter|va te faire|allez vous faire|briser|peter|exploser|tuer|noyer", r"\b(?:te|vous|lui) (?:casser|briser|peter|exploser) (?:les|la|le) (?:dents|jambes|bras|machoire|crane|nez|tete|genoux)\b|\b(?:te|vous) (?:tuer|crever|pendre|buter|egorger|etrangler|noyer)\b|\bva (?:crever|te pendre|te faire)\b|\ballez vous faire\b|\bcreve(?:z)?,? "),
     ("hate", 0.9, "*dehuman", r"\b(?:sont|est) (?:tous |que |comme )?(?:de la |des |une |un |de )(?:{A_fr} )?{D_fr}\b|\bqu'on les (?:chasse|pende|brule|extermine|expulse|egorge|fusille|noie)\b"),
-    ("hate", 0.9, "comme des rats|comme des lapins|comme des cafards|comme de la vermine", r"\bse (?:reproduis|multipli)\w+ comme (?:des|de la)\b"),
-    ("sexual", 0.9, "deshabille|deshabillez|montre-nous|montrez-nous|tes seins|vos seins|nichons|a couche|suce|baiser", r"\bdeshabille(?:z)?[- ](?:toi|vous)\b|\bmontre(?:z)?[- ](?:nous|moi) (?:tes|vos|ton|votre) (?:\w+ )?(?:seins|nichons|fesses|cul|jambes)\b|\b(?:tes|vos) (?:gros |beaux |jolis )?(?:seins|nichons)\b|\ba couche (?:pour|avec .* pour)\b|\bsuce[- ](?:moi|la)\b"),
+    ("hate", 0.9, "comme des rats|comme des lapins|comme des cafards|comme de la vermine|se reproduis|se multipli", r"\bse (?:reproduis|multipli)\w+ comme (?:des|de la)\b"),
+    ("sexual", 0.9, "deshabille|deshabillez|montre-nous|montrez-nous|tes seins|vos seins|nichons|a couche|suce|baiser|montre|seins", r"\bdeshabille(?:z)?[- ](?:toi|vous)\b|\bmontre(?:z)?[- ](?:nous|moi) (?:tes|vos|ton|votre) (?:\w+ )?(?:seins|nichons|fesses|cul|jambes)\b|\b(?:tes|vos) (?:gros |beaux |jolis )?(?:seins|nichons)\b|\ba couche (?:pour|avec .* pour)\b|\bsuce[- ](?:moi|la)\b"),
     # Spanish
     ("abuse", 0.9, "*es", r"\b(?:usted|tu|ustedes|vosotros|el|ella)?\b ?(?:es|eres|son|sois)(?: solo| todos| mas que)? (?:un|una|unos|unas) (?:{A_es} )*{I_es}\b|\b(?:pedazo|panda|hatajo) de {I_es}\b|\b(?:hij[oa]s?) de (?:la gran )?puta\b|\b(?:ese|esa|este|esta|esos|esas) (?:{A_es} )*{S_es}\b|, (?:{A_es} )*{S_es}\W*$|\b(?:maldit|put|asqueros)[oa]s? {I_es}\b"),
     ("abuse", 0.9, "boca|pico", r"\b(?:callate|callese|cierra|cierre|callaos)\b.* (?:puta|maldita|sucia|asquerosa) (?:boca|pico)\b|\bcierra el pico\b"),
-    ("abuse", 0.9, "mierda|por culo|jodan|jodete", r"\b(?:vete|vayase|idos|iros|que se vaya) a la mierda\b|\bpor (?:el )?culo\b|\bque (?:te|le|os) jodan\b|\bjodete\b"),
-    ("abuse", 0.9, "dientes|piernas|la cara|matar|colgar|fusilar|ahorcar|muerete|mueras|se muera|ojala", r"\b(?:romper|partir|reventar|quebrar)(?:te|le|os)? (?:los|las|la|el) (?:dientes|piernas|cara|craneo|cabeza|huesos|brazos)\b|\b(?:te|le|os) (?:voy|vamos|van) a (?:matar|romper|partir|reventar|colgar)\b|\bhabria que (?:matar|colgar|fusilar|ahorcar)(?:te|lo|la|los|las|le)?\b|\bojala (?:te|se|os|le|les) (?:muer|ahog|pudr|pudier|revient|cai|estrell|part|mat|atropell|rompa)\w*|\bmuerete\b"),
+    ("abuse", 0.9, "mierda|por culo|jodan|jodete|por el culo", r"\b(?:vete|vayase|idos|iros|que se vaya) a la mierda\b|\bpor (?:el )?culo\b|\bque (?:te|le|os) jodan\b|\bjodete\b"),
+    ("abuse", 0.9, "dientes|piernas|la cara|matar|colgar|fusilar|ahorcar|muerete|mueras|se muera|ojala|romper|partir|reventar|quebrar", r"\b(?:romper|partir|reventar|quebrar)(?:te|le|os)? (?:los|las|la|el) (?:dientes|piernas|cara|craneo|cabeza|huesos|brazos)\b|\b(?:te|le|os) (?:voy|vamos|van) a (?:matar|romper|partir|reventar|colgar)\b|\bhabria que (?:matar|colgar|fusilar|ahorcar)(?:te|lo|la|los|las|le)?\b|\bojala (?:te|se|os|le|les) (?:muer|ahog|pudr|pudier|revient|cai|estrell|part|mat|atropell|rompa)\w*|\bmuerete\b"),
     ("hate", 0.9, "*dehuman", r"\b(?:son|es) (?:todos |solo |como |pura )?(?:un[oa]s? )?{D_es}\b|\bhay que (?:echar|matar|quemar|expulsar|exterminar|colgar|fusilar|limpiar)(?:los|las|les)\b"),
-    ("hate", 0.9, "como ratas|como conejos|como cucarachas|como alimanas", r"\bse (?:multiplican|reproducen) como\b"),
-    ("sexual", 0.9, "quitate|tetas|en la cama|ensenanos|desnudate|chupame|follar", r"\bquit(?:ate|ese) (?:la ropa|la blusa|la falda|el vestido|la camisa)\b|\b(?:ensena|ensene|muestra)\w* (?:las|tus|sus|esas) (?:\w+ )?tetas\b|\b(?:tus|esas|las) tetas\b|\b(?:consiguio|gano|obtuvo|logro|saco)\b.* en la cama\b|\bdesnudate\b|\bchupame\b|\bte follaria\b"),
+    ("hate", 0.9, "como ratas|como conejos|como cucarachas|como alimanas|se multiplican|se reproducen", r"\bse (?:multiplican|reproducen) como\b"),
+    ("sexual", 0.9, "quitate|tetas|en la cama|ensenanos|desnudate|chupame|follar|quitese", r"\bquit(?:ate|ese) (?:la ropa|la blusa|la falda|el vestido|la camisa)\b|\b(?:ensena|ensene|muestra)\w* (?:las|tus|sus|esas) (?:\w+ )?tetas\b|\b(?:tus|esas|las) tetas\b|\b(?:consiguio|gano|obtuvo|logro|saco)\b.* en la cama\b|\bdesnudate\b|\bchupame\b|\bte follaria\b"),
 ]
 
 # Frames that take the weight away: words mentioned or ruled upon, reported and condemned speech, animals,
@@ -208,8 +208,8 @@ class Grammar:
         if on in ("*en", "*de", "*fr", "*es"):
             return (STRONG[on[1:]] + " " + WEAK[on[1:]]).split()
         if on == "*dehuman":
-            return [w for v in DEHUMAN.values() for w in v.split()] + ["qu'on les", "hay que"]
-        return BODY.split() if on == "*body" else on.split("|")
+            return [w for v in DEHUMAN.values() for w in v.split()] + ["qu'on les", "hay que", "gesindel", "gesocks"]
+        return [*BODY.split(), *(f"{v} {w}" for v in ("show", "give", "flash") for w in ("us", "me"))] if on == "*body" else on.split("|")
 
     def fold(self, text: str) -> str:
         """Plain lower case without disguises."""
@@ -263,10 +263,9 @@ class Grammar:
         t = self.fold(text)
         wanted: dict[tuple[int, int], set[int]] = {}
         ends: list[int] | None = None
-        n = len(t)
         for end, (size, ks) in self.auto.iter(t):
-            # triggers begin at a word's edge; short ones also end there, but for a plural
-            if (end >= size and t[end - size].isalnum()) or (size < 5 and end + 1 < n and t[end + 1].isalnum() and (t[end + 1] not in "se" or end + 2 < n and t[end + 2].isalnum() and t[end + 2] != "s")):
+            # triggers begin at a word's edge and may go on, as inflected forms do; the patterns see to where words end
+            if end >= size and t[end - size].isalnum():
                 continue
             if ends is None:
                 marks = [m.span() for m in _BREAK.finditer(t)]

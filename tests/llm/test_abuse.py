@@ -43,3 +43,44 @@ def test_table_and_rates(spark):
     assert got.columns == ["doc_id", "source", "score", "abuse", "hate", "sexual", "n_clauses"] and got.count() == 4
     assert {r.source: (r.n_documents, r.n_found) for r in abuse.rates(got).collect()} == {"a": (3, 2), "(none)": (1, 0)}
     assert abuse.rates(abuse.score(df.limit(0))).count() == 0
+
+
+def drawn(tree, rng):
+    """A random string that a parsed pattern stands for; gaps stay empty and optional spaces are set."""
+    out = ""
+    for op, av in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(av)
+        elif op == "IN":
+            kind, v = rng.choice([x for x in av if str(x[0]) != "NEGATE"])
+            out += chr(v) if str(kind) == "LITERAL" else "x" if str(v) == "CATEGORY_WORD" else " "
+        elif op == "BRANCH":
+            out += drawn(rng.choice(av[1]), rng)
+        elif op == "SUBPATTERN":
+            out += drawn(av[3], rng)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, _, what = av
+            if str(what[0][0]) != "ANY":
+                out += "".join(drawn(what, rng) for _ in range(1 if drawn(what, rng) == " " else max(least, rng.randint(0, 1))))
+    return out
+
+
+def test_every_form_of_every_rule_fires():
+    import random
+    from re import _parser
+
+    rng, g, dead = random.Random(1), abuse.Grammar(), set()
+    for (category, _, on, _), (_, weight, rx) in zip(abuse._RULES, g.rules):
+        tree = _parser.parse(rx.pattern)
+        for _ in range(400):
+            form = " ".join(drawn(tree, rng).split()).rstrip(" .!?")
+            if g.fold(form) == form and rx.search(form) and not any(c == category and w in (weight, weight * 0.2) for c, w, _ in g.matches(form)):
+                dead.add((on, form))
+    assert not dead
+
+
+def test_inflected_short_words_fire():
+    g = abuse.Grammar()
+    for text in ("All those people should be hanged", "She needs a proper fucking", "She needs a shagging", "Sie sind alle Affen", "Ihr seid Huren", "Sie sind Lumpen"):
+        assert abuse.score_of(g.matches(text)) >= abuse.THRESHOLD, text
