@@ -4,8 +4,9 @@ A text passes through three transducers. The first undoes disguises: case, accen
 characters, digits for letters, letters set apart, repeated or masked ones; a disguised form is only replaced by a word of
 the lexicon that it can stand for. The second matches clauses against rules composed of named parts (insult, belittling
 word, threat, dehumanising noun, body, target of address), so an insult counts when it is aimed at somebody and not as a
-word alone. The third looks at the frame of the clause (mention of a word, reported or condemned speech, negation, animals,
-property) and takes away weight. Triggers found by one automaton over all rules decide which clauses are matched at all.
+word alone. The third looks at the frame of the clause (mention of a word, written or condemned speech, rules against a
+word, animals, property) and takes away weight; other negation and verbs of speech are not known. Triggers
+found by one automaton over all rules decide which clauses are matched at all.
 """
 
 from __future__ import annotations
