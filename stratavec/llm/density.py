@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratavec.llm.components import components, follow, four_steps
-from stratavec.llm.neighbors import COPIES, DIM, MARGIN, SAMPLE, SHARD, matrix, prints, shards, unit, usable
+from stratavec.llm.neighbors import DIM, SAMPLE, SHARD, matrix, prints, reach, shards, unit, usable
 from stratavec.session import cut
 
 _EDGE = "a bigint, b bigint, w double"
@@ -198,14 +198,14 @@ def core_distances(near: DataFrame, k: int) -> DataFrame:
     return lists.select("a", reached.alias("s")).filter(F.col("s.n") >= k).select("a", F.col("s.d").alias("core"))
 
 
-def neighbour_graph(vectors: DataFrame, min_samples: int, most: float, key: str = "vec_id", embedding: str = "embedding", dim: int = DIM, copies: int = COPIES, margin: float = MARGIN, sample: int = SAMPLE, per: int = SHARD) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, min_samples: int, most: float, key: str = "vec_id", embedding: str = "embedding", dim: int = DIM, margin: float = 0.06, sample: int = SAMPLE, per: int = SHARD, exact: bool = False) -> DataFrame:
     """(a, b, w), a < b: edges up to ``most`` weighed by mutual reachability, the larger of distance and both core distances.
 
     The core distance is that to the ``min_samples``-th nearest vector, itself and all copies counted, among all cells that
     a vector stands in; with 1 it is 0 and the weight is the distance. Copies of a vector are linked to the one of the
     smallest id at their core distance.
     """
-    routed = shards(vectors, key, embedding, dim, copies, margin, max(2, min_samples), per, sample)
+    routed = shards(vectors, key, embedding, dim, max(2, min_samples), reach(most) if exact else margin, per, sample, exact=exact)
     e = F.col(embedding)
     prints_ = vectors.filter(usable(e, dim) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(e.cast("array<float>")).alias("h1"), F.xxhash64(F.lit(1), e.cast("array<float>")).alias("h2")).distinct()
     first = prints_.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")

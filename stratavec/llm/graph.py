@@ -1,8 +1,10 @@
 """A robust-pruned directed graph over the vectors of one shard, built and searched in batches.
 
-Points enter in random order in batches that grow with the graph: each searches the graph so far greedily, the visited points are pruned
-so that only edges in new directions stay (relaxed by ``alpha``), and edges are added back and pruned alike. Searches of
-a batch run side by side; every step gathers only the vectors of the nodes it reaches.
+Points first propose each other in small random leaves: every point joins the nearest of some random pivots, and the points
+of a leaf are compared. The proposals are pruned so that only edges in new directions stay (relaxed by ``alpha``), and edges
+are added back and pruned alike; a point that nobody points to gets an edge from its nearest. Searches are greedy with a beam
+and run side by side; what they visit is joined with the neighbours of neighbours. Where these hardly overlap, the
+neighbourhood is dense in all directions, and the search is repeated with a wide beam.
 """
 
 from __future__ import annotations
@@ -13,33 +15,47 @@ FAR = np.float32(9.0)
 
 
 class Graph:
-    def __init__(self, x: np.ndarray, degree: int = 16, beam: int = 20, alpha: float = 1.2, seed: int = 7, batch: int = 256, landmarks: float = 1.5, starts: int = 8, growth: float = 0.3):
+    def __init__(self, x: np.ndarray, degree: int = 16, beam: int = 16, alpha: float = 1.2, seed: int = 7, leaf: int = 256, turns: int = 3, per_leaf: int = 12, landmarks: float = 32, starts: int = 8, batch: int = 256):
         """``x``: unit vectors (n, d) in float32. Distances are 1 - cosine, ``alpha`` relaxes the pruning.
 
-        Searches start from the nearest of an entry level that holds one in ``landmarks`` of the points.
+        A point is compared with the other points of ``turns`` leaves of at most ``leaf`` points, whatever n. Queries from
+        outside start from the nearest of an entry level that holds one in ``landmarks`` of the points, 64 at least.
         """
         self.n, self.dim = x.shape
         self.x = np.vstack([x, np.zeros((1, self.dim), np.float32)])  # the last row stands for no neighbour
         self.degree, self.beam, self.relax, self.batch, self.starts = degree, beam, np.float32(alpha), batch, starts
         self.out = np.full((self.n + 1, degree), self.n, np.int32)
         rng = np.random.default_rng(seed)
-        order = rng.permutation(self.n).astype(np.int32)
-        self.order = order
-        done = min(self.n, 2 * degree)
-        first = order[:done]
-        if done > 1:
-            self._link(first, np.broadcast_to(first, (done, done)))
-        self.entries = order[: max(1, done)]
-        while done < self.n:
-            new = order[done : done + max(64, int(done * growth))]
-            self.entries = order[: min(done, max(64, int(self.n / landmarks)))]
-            found = []
-            for a in range(0, len(new), batch):
-                q = self.x[new[a : a + batch]]
-                found.append(self.search(q, self._start(q), beam, 4)[0])
-            ids = np.concatenate(found)
-            self._link(new, ids)
-            done += len(new)
+        self.entries = rng.permutation(self.n)[: max(64, int(self.n / landmarks))].astype(np.int32)
+        if self.n > 1:
+            proposed = np.hstack([self._leaves(rng, leaf, per_leaf) for _ in range(turns if self.n > leaf else 1)])
+            self._link(np.arange(self.n, dtype=np.int32), proposed)
+            self._mend()
+
+    def _leaves(self, rng: np.random.Generator, leaf: int, most: int) -> np.ndarray:
+        """The ``most`` nearest of every point in its leaf: (n, most) ids, n for none."""
+        n = self.n
+        pivots = rng.permutation(n)[: max(1, 2 * n // leaf)]
+        near = (self.x[:n] @ self.x[pivots].T).argmax(axis=1)
+        order = np.lexsort((rng.random(n), near))
+        size = min(leaf, n)
+        rows = np.full(-(-n // size) * size, n, np.int64)
+        rows[:n] = order
+        rows = rows.reshape(-1, size)
+        most = min(most, size - 1)
+        out = np.full((n + 1, most), n, np.int32)
+        own = np.arange(size)
+        for a in range(0, len(rows), 16):
+            some = rows[a : a + 16]
+            v = self.x[some]
+            d = 1 - np.matmul(v, v.transpose(0, 2, 1))
+            d[:, own, own] = FAR
+            d[np.broadcast_to((some == n)[:, None, :], d.shape)] = FAR
+            top = np.argpartition(d, most - 1, axis=2)[:, :, :most]
+            ids = np.take_along_axis(np.broadcast_to(some[:, None, :], d.shape), top, 2)
+            out[some.reshape(-1)] = ids.reshape(-1, most)
+        out[n] = n
+        return out[:n]
 
     def _distances(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
         d = 1 - np.matmul(self.x[ids], q[:, :, None])[:, :, 0]
@@ -47,58 +63,43 @@ class Graph:
         return d
 
     def _start(self, q: np.ndarray) -> np.ndarray:
-        """The landmarks nearest to each query: a fixed part of the points, as the upper levels of a hierarchy would be."""
+        """The entry points nearest to each query."""
         if len(self.entries) <= self.starts:
             return np.broadcast_to(self.entries, (len(q), len(self.entries)))
         near = q @ self.x[self.entries].T
         return self.entries[np.argpartition(-near, self.starts - 1, axis=1)[:, : self.starts]]
 
-    def search(self, q: np.ndarray, start: np.ndarray, beam: int, expand: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    def _once(self, ids: np.ndarray) -> np.ndarray:
+        """The ids of each row sorted, repeats replaced by n."""
+        ids = np.sort(ids, axis=1)
+        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = self.n
+        return ids
+
+    def search(self, q: np.ndarray, start: np.ndarray, beam: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` nearest nodes reached from ``start`` for each query, nearest first: (ids, distances)."""
-        b = len(q)
-        rows = np.arange(b)[:, None]
-        seen = np.zeros((b, self.n + 1), np.int32)
-        seen[:, self.n] = -1
-        stamp = 0
-
-        def fresh(ids: np.ndarray) -> np.ndarray:
-            # a node counts at its first sight only: the last writer of a stamp wins, others are repeats
-            nonlocal stamp
-            new = seen[rows, ids] == 0
-            marks = np.broadcast_to(np.arange(stamp + 1, stamp + 1 + ids.shape[1], dtype=np.int32), ids.shape)
-            stamp += ids.shape[1]
-            seen[rows, np.where(new, ids, self.n)] = np.where(new, marks, -1)
-            seen[:, self.n] = -1
-            return np.where(new & (seen[rows, ids] == marks), ids, self.n).astype(np.int32)
-
-        ids = fresh(start)
+        ids = self._once(start)
         dist = self._distances(q, ids)
         if ids.shape[1] < beam:
-            pad = beam - ids.shape[1]
-            ids = np.hstack([ids, np.full((b, pad), self.n, np.int32)])
-            dist = np.hstack([dist, np.full((b, pad), FAR, np.float32)])
+            pad = ((0, 0), (0, beam - ids.shape[1]))
+            ids, dist = np.pad(ids, pad, constant_values=self.n), np.pad(dist, pad, constant_values=FAR)
         sort = np.argsort(dist, axis=1, kind="stable")[:, :beam]
-        ids, dist = ids[rows, sort], dist[rows, sort]
+        ids, dist = np.take_along_axis(ids, sort, 1), np.take_along_axis(dist, sort, 1)
         todo = dist < FAR
-        live = np.arange(b)
-        out_ids, out_dist = ids, dist
+        live = np.arange(len(q))
+        out_ids, out_dist = ids.copy(), dist.copy()
         while len(live):
             # the best nodes not yet expanded of each live query
-            rank = np.cumsum(todo, axis=1)
-            pick = todo & (rank <= expand)
-            slots = np.argsort(~pick, axis=1, kind="stable")[:, :expand]
-            r = np.arange(len(live))[:, None]
-            nodes = np.where(pick[r, slots], ids[r, slots], self.n)
-            todo[pick] = False
-            near = self.out[nodes].reshape(len(live), -1)
-            rows = live[:, None]
-            near = fresh(near)
+            slots = np.argsort(~todo, axis=1, kind="stable")[:, :expand]
+            nodes = np.where(np.take_along_axis(todo, slots, 1), np.take_along_axis(ids, slots, 1), self.n)
+            np.put_along_axis(todo, slots, False, 1)
+            near = self._once(self.out[nodes].reshape(len(live), -1))
+            # what the beam holds is known; what fell out of it is farther than all the beam holds now
+            near[(near[:, :, None] == ids[:, None, :]).any(axis=2)] = self.n
             d = self._distances(q[live], near)
             all_ids, all_d = np.hstack([ids, near]), np.hstack([dist, d])
             all_todo = np.hstack([todo, d < FAR])
-            top = np.argpartition(all_d, beam - 1, axis=1)[:, :beam] if all_d.shape[1] > beam else np.argsort(all_d, axis=1)
-            sub = np.take_along_axis(all_d, top, 1)
-            top = np.take_along_axis(top, np.argsort(sub, axis=1, kind="stable"), 1)
+            top = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
+            top = np.take_along_axis(top, np.argsort(np.take_along_axis(all_d, top, 1), axis=1, kind="stable"), 1)
             ids, dist, todo = np.take_along_axis(all_ids, top, 1), np.take_along_axis(all_d, top, 1), np.take_along_axis(all_todo, top, 1)
             out_ids[live], out_dist[live] = ids, dist
             more = todo.any(axis=1)
@@ -150,34 +151,84 @@ class Graph:
                 some = at[a : a + self.batch]
                 self.out[some] = self._prune(some, np.hstack([self.out[some], extra[a : a + self.batch]]))
 
-    def ask(self, q: np.ndarray, k: int, own: np.ndarray | None = None, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest points of every query by beam search: (ids, distances), id n and distance FAR for none.
-
-        ``own``: for queries that are points of the graph, their numbers; they start from their own edges too and are not
-        their own neighbours. The neighbours found are joined with their neighbours once more.
-        """
+    def _mend(self) -> None:
+        """Points that no edge leads to take the last place among the edges of the nearest point that they point to."""
+        used = np.zeros(self.n + 1, bool)
+        used[self.out.reshape(-1)] = True
+        lost = np.nonzero(~used[: self.n])[0]
+        to = self.out[lost, 0]
+        ok = to < self.n
+        self.out[to[ok], -1] = lost[ok]
+
+    def ask(self, q: np.ndarray, k: int, beam: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest points of queries from outside, by beam search from the entry level: (ids, distances), n and FAR for none."""
         ids, dist = [np.zeros((0, k), np.int32)], [np.zeros((0, k), np.float32)]
-        beam = max(beam or self.beam, k + 2)
         for a in range(0, len(q), self.batch):
             some = q[a : a + self.batch]
-            start = self._start(some)
-            if own is not None:
-                p = own[a : a + self.batch]
-                start = np.hstack([p[:, None], self.out[p], start])
-            i, d = self.search(some, start, beam, 4)
-            near = self.out[i[:, : k // 2 + 1]].reshape(len(some), -1)
-            i, d = np.hstack([i, near]), np.hstack([d, self._distances(some, near)])
-            if own is not None:
-                d[i == p[:, None]] = FAR
-            sort = np.argsort(i, axis=1, kind="stable")
-            i, d = np.take_along_axis(i, sort, 1), np.take_along_axis(d, sort, 1)
-            d[:, 1:][i[:, 1:] == i[:, :-1]] = FAR
-            sort = np.argsort(d, axis=1, kind="stable")[:, :k]
-            i, d = np.take_along_axis(i, sort, 1), np.take_along_axis(d, sort, 1)
-            ids.append(np.where(d < FAR, i, self.n).astype(np.int32))
-            dist.append(d)
+            i, d = self.search(some, self._start(some), max(beam, k), 4)
+            ids.append(i[:, :k])
+            dist.append(d[:, :k])
         return np.concatenate(ids), np.concatenate(dist)
 
-    def nearest(self, k: int, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest others of every point of the graph."""
-        return self.ask(self.x[: self.n], k, np.arange(self.n, dtype=np.int32), beam)
+    def _reverse(self, lists: np.ndarray, most: int) -> np.ndarray:
+        """Up to ``most`` of the points that have each point in their list, those that rank it high first."""
+        k = lists.shape[1]
+        src, dst = np.repeat(np.arange(self.n, dtype=np.int32), k), lists[: self.n].reshape(-1)
+        rank = np.tile(np.arange(k), self.n)
+        order = np.lexsort((rank, dst))
+        src, dst = src[order], dst[order]
+        pos = np.arange(len(dst)) - np.searchsorted(dst, dst)
+        out = np.full((self.n + 1, most), self.n, np.int32)
+        ok = (pos < most) & (dst < self.n)
+        out[dst[ok], pos[ok]] = src[ok]
+        return out
+
+    def _join(self, lists: np.ndarray, dist: np.ndarray, which: np.ndarray, m: int = 6, most: int = 8) -> np.ndarray:
+        """Improve the lists of some points by those of their neighbours, in place; the share of new ones among what was met."""
+        k = lists.shape[1]
+        back = self._reverse(lists, most)
+        via = np.hstack([lists[:, :m], back])
+        old, share = lists.copy(), np.zeros(len(which), np.float32)
+        for a in range(0, len(which), self.batch):
+            p = which[a : a + self.batch]
+            cand = np.hstack([old[p], back[p], old[via[p]].reshape(len(p), -1)])
+            met = (cand < self.n).sum(axis=1)
+            cand = self._once(cand)
+            cand[cand == p[:, None]] = self.n
+            share[a : a + self.batch] = (cand < self.n).sum(axis=1) / np.maximum(met, 1)
+            d = self._distances(self.x[p], cand)
+            top = np.argpartition(d, k - 1, axis=1)[:, :k]
+            near = np.take_along_axis(d, top, 1)
+            sort = np.argsort(near, axis=1, kind="stable")
+            lists[p], dist[p] = np.take_along_axis(np.take_along_axis(cand, top, 1), sort, 1), np.take_along_axis(near, sort, 1)
+        return share
+
+    def nearest(self, k: int, of: np.ndarray | None = None, reach: float = 9.0, wide: int = 96, loose: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest others of the points ``of``, by default of all: (ids, distances), n and FAR for none.
+
+        Searches start at a point's own edges. Where at least ``loose`` of what a join met were different points, and the k-th
+        lies within ``reach``, the search is repeated with the ``wide`` beam.
+        """
+        n = self.n
+        lists, dist = np.full((n + 1, k), n, np.int32), np.full((n + 1, k), FAR, np.float32)
+        of = np.arange(n, dtype=np.int32) if of is None else of
+
+        def walk(which: np.ndarray, beam: int, expand: int) -> None:
+            for a in range(0, len(which), self.batch):
+                p = which[a : a + self.batch]
+                i, d = self.search(self.x[p], np.hstack([p[:, None], lists[p], self.out[p]]), max(beam, k + 1), expand)
+                d[i == p[:, None]] = FAR
+                sort = np.argsort(d, axis=1, kind="stable")[:, :k]
+                d = np.take_along_axis(d, sort, 1)
+                lists[p], dist[p] = np.where(d < FAR, np.take_along_axis(i, sort, 1), n), d
+
+        walk(of, self.beam, 4)
+        if len(of) < n:  # lists of the others are their edges
+            rest = np.setdiff1d(np.arange(n), of)
+            lists[rest, : min(k, self.degree)] = self.out[rest, :k]
+        share = self._join(lists, dist, of)
+        again = of[(share >= loose) & (dist[of, -1] <= reach)]
+        walk(again, wide, 8)
+        if len(again):
+            self._join(lists, dist, again)
+        return lists[of], dist[of]

@@ -1,13 +1,16 @@
 """The most similar vectors of every vector: robust-pruned graphs over shards, searched by beam.
 
-Vectors are routed to shards by centroids fitted on a bounded sample. For all-against-all a vector is stored in its nearest
-shard and in the few more that are nearly as near, so true neighbours share a shard; a set of queries is instead sent to
-every shard. Each shard is one graph in one task; shards expected to be too large are split by a hash, and then every
-part of it is searched by each. Distances of what the graphs propose are computed exactly.
+Vectors are routed by many small cells (centroids fitted on a bounded sample), which are grouped into shards; where the
+vectors are too many for one sample, every shard is divided again by cells of its own. A vector is stored and asks in every
+shard with a cell whose border lies within a margin of it, however many these are. ``exact`` instead stores it once and sends
+it to every shard that may hold a vector within the distance asked for, by the same border and the triangle inequality.
+Each shard is one graph in one task; a shard that is still too large is a grid of parts. Distances of what the graphs
+propose are computed exactly.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +21,11 @@ from pyspark.sql import functions as F
 from stratavec.llm.graph import FAR, Graph
 
 DIM = 64
-SAMPLE = 32_768  #: vectors that the routing is fitted on, at most about this many
-SHARD = 1_300  #: vectors aimed at per centroid
-MOST = 16_384  #: vectors stored in one graph; beyond it a shard is split
-COPIES, MARGIN = 3, 0.08  #: shards a vector is stored in at most, and how far behind the nearest they may lie
+SAMPLE = 32_768  #: vectors that the cells of one level are fitted on, at most about this many
+SHARD = 2_600  #: vectors aimed at per shard, without copies
+MOST = 32_768  #: vectors stored in one graph; beyond it a shard is split
+MARGIN = 0.042  #: a vector also stands in the shards with a cell whose border is nearer to it than this
+ASKING = 0.3  #: the same for the queries of a set, which stand in no other shard
 _ODD = np.random.default_rng(11).integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -45,46 +49,135 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_centroids(vectors: DataFrame, key: str, embedding: str, total: int, dim: int, sample: int, per: int) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids, share of the sample nearest to each) from a sample of at most about ``sample`` rows taken by a hash."""
-    part = min(1.0, sample / max(total, 1))
-    rows = vectors.filter(F.pmod(F.xxhash64(F.lit(3), key), F.lit(1 << 40)) <= int(part * (1 << 40))).select(embedding).toArrow()
-    x = np.empty((rows.num_rows, dim), np.float32)
-    at = 0
-    for b in rows.column(0).chunks:
-        x[at : at + len(b)] = unit(matrix(b, dim))
-        at += len(b)
-    del rows
-    k = int(min(max(1, round(total / per)), max(1, len(x) // 64), len(x) or 1))
-    if not len(x):
-        return np.zeros((1, dim), np.float32), np.ones(1)
+def _means(x: np.ndarray, k: int, weights: np.ndarray | None = None, turns: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, weight nearest to each) of unit vectors by spherical k-means."""
+    w = np.ones(len(x)) if weights is None else weights
     c = x[np.random.default_rng(5).permutation(len(x))[:k]].copy()
-    for turn in range(9):
-        sums, count = np.zeros((k, dim)), np.zeros(k)
-        for a in range(0, len(x), 2048):  # in blocks, to spare the driver's memory
+    for turn in range(turns + 1):
+        sums, count = np.zeros((k, x.shape[1])), np.zeros(k)
+        for a in range(0, len(x), 2048):  # in blocks, to spare memory
             part = x[a : a + 2048]
             near = (part @ c.T).argmax(axis=1)
-            count += np.bincount(near, minlength=k)
+            count += np.bincount(near, w[a : a + 2048], k)
             order = np.argsort(near, kind="stable")
             which, first = np.unique(near[order], return_index=True)
-            sums[which] += np.add.reduceat(part[order], first, axis=0)
-        if turn < 8:
+            sums[which] += np.add.reduceat(part[order] * w[a : a + 2048][order, None], first, axis=0)
+        if turn < turns:
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
             c = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), c).astype(np.float32)
-    return c, count / len(x)
-
-
-def route(x: np.ndarray, centroids: np.ndarray, copies: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shard) of every shard that a unit vector belongs to, the nearest first."""
-    copies = min(copies, len(centroids))
-    near = x @ centroids.T
-    top = np.argpartition(-near, copies - 1, axis=1)[:, :copies]
-    v = np.take_along_axis(near, top, 1)
-    order = np.argsort(-v, axis=1, kind="stable")
-    top, v = np.take_along_axis(top, order, 1), np.take_along_axis(v, order, 1)
-    ok = v >= v[:, :1] - margin
-    row, slot = np.nonzero(ok)
-    return row, top[row, slot]
+    return c, count
+
+
+class Cells:
+    """Cells and the shard that each belongs to, the shards numbered from ``first`` on."""
+
+    def __init__(self, sample: np.ndarray, shards: int, first: int = 0):
+        """At most one cell per 16 vectors of the sample and one shard per 8 cells."""
+        if not len(sample):
+            sample = np.eye(1, sample.shape[1], dtype=np.float32)
+        centroids, weight = _means(sample, max(1, min(2048, len(sample) // 16)), turns=6)
+        n = max(1, min(shards, len(centroids) // 8))
+        shard = (centroids @ _means(centroids, n, weight + 1e-3)[0].T).argmax(axis=1)
+        order = np.argsort(shard, kind="stable")
+        self.centroids, self.shard = centroids[order], np.unique(shard[order], return_inverse=True)[1].reshape(-1)
+        self.starts = np.searchsorted(self.shard, np.arange(self.shard[-1] + 1))
+        self.share = np.add.reduceat(weight[order], self.starts) / weight.sum()
+        self.first = first
+
+    def near(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, shard, home) of the shards with a cell whose border is within ``margin``; ``home`` marks the nearest cell's."""
+        out = []
+        for a in range(0, len(x), 1024):
+            part = x[a : a + 1024]
+            to = part @ self.centroids.T
+            best = to.argmax(axis=1)
+            # the border of cells b and c is at (x.b - x.c) / |b - c|
+            apart = np.sqrt(np.maximum(2 - 2 * (self.centroids[best] @ self.centroids.T), 0))
+            inside = to.max(axis=1, keepdims=True) - to <= margin * apart + 1e-6
+            row, shard = np.nonzero(np.logical_or.reduceat(inside, self.starts, axis=1))
+            out.append((row + a, shard, shard == self.shard[best][row]))
+        row, shard, home = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        return row, shard + self.first, home
+
+
+class Routing:
+    """One level of cells, or two: then the shards of the first are divided by cells of their own."""
+
+    def __init__(self, top: Cells, below: list[Cells] | None = None):
+        self.top, self.below = top, below
+        self.share = top.share if below is None else np.concatenate([s * c.share for s, c in zip(top.share, below)])
+
+    def near(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, shard, home); see ``Cells.near``."""
+        row, shard, home = self.top.near(x, margin)
+        if self.below is None:
+            return row, shard, home
+        out = []
+        for s in np.unique(shard):
+            at = np.nonzero(shard == s)[0]
+            r, t, h = self.below[s].near(x[row[at]], margin)
+            out.append((row[at][r], t, h & home[at][r]))
+        row, shard, home = (np.concatenate(c) for c in zip(*out)) if out else (row, shard, home)
+        order = np.argsort(row, kind="stable")
+        return row[order], shard[order], home[order]
+
+
+def _sampled(rows: DataFrame, key: str, part: float) -> DataFrame:
+    return rows.filter(F.pmod(F.xxhash64(F.lit(3), key), F.lit(1 << 40)) <= int(min(1.0, part) * (1 << 40)))
+
+
+def fit_routing(rows: DataFrame, key: str, embedding: str, total: int, dim: int, sample: int, per: int) -> Routing:
+    """The routing of about ``total`` rows to shards of about ``per``, fitted on a sample of at most about ``sample`` rows.
+
+    If that sample carries too few cells for the shards wanted, each shard is sampled alike, in a task of its own, and
+    divided by the cells found there; what comes back is at most one centroid per 16 rows of the samples.
+    """
+    table = _sampled(rows, key, sample / max(total, 1)).select(embedding).toArrow()
+    x = np.empty((table.num_rows, dim), np.float32)
+    at = 0
+    for b in table.column(0).chunks:
+        x[at : at + len(b)] = unit(matrix(b, dim))
+        at += len(b)
+    del table
+    wanted = max(1, round(total / per))
+    top = Cells(x, wanted)
+    if wanted <= len(top.share):
+        return Routing(top)
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(top)  # at most sample / 16 centroids
+    keep = np.minimum(1.0, sample / np.maximum(top.share * total, 1))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, h = matrix(b.column(1), dim), b.column(0).to_numpy()
+            row, shard, home = shared.value.near(unit(v).astype(np.float32), 0.0)
+            row, shard = row[home], shard[home]
+            ok = h[row] <= keep[shard] * float(1 << 40)
+            yield pa.RecordBatch.from_arrays([pa.array(shard[ok]), b.column(1).take(pa.array(row[ok]))], names=["shard", "e"])
+
+    def fit(t: pa.Table) -> pa.Table:
+        s = t.column("shard")[0].as_py()
+        cells = Cells(unit(matrix(t.column("e"), dim)).astype(np.float32), max(1, round(top_share[s] * total / per)))
+        return pa.table({"shard": [s], "cells": [pickle.dumps(cells)]})
+
+    top_share = top.share
+    hashed = rows.select(F.pmod(F.xxhash64(F.lit(4), key), F.lit(1 << 40)).alias("h"), F.col(embedding).cast("array<float>").alias("e"))
+    fitted = hashed.mapInArrow(pick, "shard bigint, e array<float>").groupBy("shard").applyInArrow(fit, "shard bigint, cells binary")
+    found = {r.shard: pickle.loads(r.cells) for r in fitted.toLocalIterator()}
+    below, first = [], 0
+    for s in range(len(top.share)):
+        cells = found.get(s) or Cells(np.zeros((0, dim), np.float32), 1)
+        cells.first = first
+        first += len(cells.share)
+        below.append(cells)
+    return Routing(top, below)
+
+
+def reach(within: float | None) -> float:
+    """The margin that loses no vector within a distance: the sine of its angle, all shards from a right angle on."""
+    if within is None or within >= 0.5:
+        return float("inf")
+    return float(np.sqrt(1 - (1 - 2 * within) ** 2))
 
 
 def prints(x: np.ndarray) -> np.ndarray:
@@ -117,24 +210,24 @@ def _grid(row: np.ndarray, shard: np.ndarray, sub: np.ndarray, parts: np.ndarray
 _ROUTED = "shard bigint, stored boolean, asks boolean, ids array<bigint>, embedding array<float>"
 
 
-def shards(vectors: DataFrame, key: str, embedding: str, dim: int, copies: int, margin: float, most_ids: int, per: int = SHARD, sample: int = SAMPLE, asks: Column | None = None) -> DataFrame:
+def shards(vectors: DataFrame, key: str, embedding: str, dim: int, most_ids: int, margin: float = MARGIN, per: int = SHARD, sample: int = SAMPLE, asks: Column | None = None, exact: bool = False) -> DataFrame:
     """Rows of the shards: (shard, stored, asks, ids, embedding), equal vectors of an Arrow batch as one row.
 
-    ``asks`` marks the queries of a set; they are sent to all shards and everything is stored once. Without it every
-    vector asks in the shards that it is stored in.
+    Every vector is stored and asks in all shards within ``margin``. With ``exact`` or ``asks``, which marks the queries of
+    a set, it is stored in its nearest shard alone, and only what asks goes to the others.
     """
     rows = vectors.filter(usable(F.col(embedding), dim) & F.col(key).isNotNull())
     total = vectors.count()
-    centroids, share = fit_centroids(rows, key, embedding, total, dim, sample, per)
-    parts = np.maximum(1, np.ceil(share * total * (1 if asks is not None else copies) / MOST)).astype(np.int64)
+    routing = fit_routing(rows, key, embedding, total, dim, sample, per)
+    parts = np.maximum(1, np.ceil(routing.share * total * (1 if asks is not None or exact else 2) / MOST)).astype(np.int64)
     # a split shard is a grid: each part of what is stored meets each part of what asks, so every task is bounded
     base = np.concatenate([[0], np.cumsum(parts * parts)])
-    shared = rows.sparkSession.sparkContext.broadcast((centroids, parts, base))  # at most sample / 64 centroids
-    every = asks is not None
-    chosen = rows.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("e"), (asks if every else F.lit(True)).alias("q"))
+    shared = rows.sparkSession.sparkContext.broadcast((routing, parts, base))  # at most a centroid per 16 rows of the samples
+    once = asks is not None or exact
+    chosen = rows.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("e"), (asks if asks is not None else F.lit(True)).alias("q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids, parts, base = shared.value
+        routing, parts, base = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
@@ -148,15 +241,11 @@ def shards(vectors: DataFrame, key: str, embedding: str, dim: int, copies: int,
             one = np.concatenate([o[0] for o in out])
             lists = [i for o in out for i in o[1]]
             ask = np.concatenate([o[2] for o in out])
-            u = unit(x[one]).astype(np.float32)
-            row, shard = route(u, centroids, 1 if every else copies, margin)
+            row, shard, home = routing.near(unit(x[one]).astype(np.float32), margin)
             sub = (prints(x[one]) >> np.uint64(7)).astype(np.int64)
-            stored = _grid(row, shard, sub, parts, base, 0)
-            if every:
-                r = np.nonzero(ask)[0]
-                asking = _grid(np.repeat(r, len(parts)), np.tile(np.arange(len(parts)), len(r)), sub, parts, base, 1)
-            else:
-                asking = _grid(row, shard, sub, parts, base, 1)
+            kept = home if once else np.ones(len(row), bool)
+            stored = _grid(row[kept], shard[kept], sub, parts, base, 0)
+            asking = _grid(row[ask[row]], shard[ask[row]], sub, parts, base, 1)
             both = np.concatenate([stored, asking])
             pair, index = np.unique(both, axis=0, return_inverse=True)
             index = index.reshape(-1)
@@ -186,7 +275,18 @@ def _expand(i: np.ndarray, j: np.ndarray, d: np.ndarray, a_ids: list[list[int]],
     return np.array(a, np.int64), np.array(b, np.int64), np.array(dd, np.float64)
 
 
-def shard_neighbors(rows: pa.Table, k: int, dim: int, within: float | None, degree: int, beam: int) -> pa.Table:
+def _all_pairs(f: np.ndarray, who: np.ndarray, base: np.ndarray, k: int, most: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the k nearest of each by comparing all, for the exact form; those that tie with the k-th are among them."""
+    for a in range(0, len(who), 512):
+        some = who[a : a + 512]
+        d = 1 - f[some] @ f[base].T
+        d[some[:, None] == base[None, :]] = FAR
+        kth = np.partition(d, min(k, len(base)) - 1, axis=1)[:, min(k, len(base)) - 1][:, None]
+        r, c = np.nonzero(d <= np.minimum(kth + 1e-6, most))
+        yield some[r], base[c]
+
+
+def shard_neighbors(rows: pa.Table, k: int, dim: int, within: float | None, degree: int, beam: int, exact: bool = False) -> pa.Table:
     """(vec_a, vec_b, distance): the k nearest of every asking vector of one shard, by its graph; distances exact."""
     ids, x = rows.column("ids").to_pylist(), matrix(rows.column("embedding"), dim)
     stored, asks = rows.column("stored").to_numpy().astype(bool), rows.column("asks").to_numpy().astype(bool)
@@ -207,20 +307,22 @@ def shard_neighbors(rows: pa.Table, k: int, dim: int, within: float | None, degr
     none = pa.table({"vec_a": pa.array([], pa.int64()), "vec_b": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
     if not len(base) or not len(ask):
         return none
-    g = Graph(f[base], degree=degree, beam=beam)
-    number = np.full(n, -1, np.int64)
-    number[base] = np.arange(len(base))
+    far = float(FAR) - 1 if within is None else 2 * within + 1e-5
     got: list[tuple[np.ndarray, np.ndarray]] = []
-    inner, outer = ask[number[ask] >= 0], ask[number[ask] < 0]
-    # a few more than k, as the last places are decided in double precision
-    for who, own in ((inner, number[inner].astype(np.int32)), (outer, None)):
-        if len(who):
-            j, d = g.ask(f[who], k + 3, own, 16 if own is not None else None)  # points start among their own edges
-            r, s = np.nonzero(d < (FAR if within is None else 2 * within + 1e-5))
+    if exact:
+        got += _all_pairs(f, ask, base, k + 1, far)
+    else:
+        g = Graph(f[base], degree=degree, beam=beam)
+        number = np.full(n, -1, np.int64)
+        number[base] = np.arange(len(base))
+        inner, outer = ask[number[ask] >= 0], ask[number[ask] < 0]
+        # a few more than k, as the last places are decided in double precision
+        for who, (j, d) in ((inner, g.nearest(k + 3, number[inner].astype(np.int32), far)), (outer, g.ask(f[outer], k + 3))):
+            r, s = np.nonzero(d < far)
             got.append((who[r], base[j[r, s]]))
-    twins = np.array([c for c in inner if len(set(asked[c]) | set(kept[c])) > 1], np.int64)
-    i = np.concatenate([*(g[0] for g in got), twins])
-    j = np.concatenate([*(g[1] for g in got), twins])
+    twins = np.array([c for c in ask if kept[c] and len(set(asked[c]) | set(kept[c])) > 1], np.int64)
+    i = np.concatenate([*(p[0] for p in got), twins])
+    j = np.concatenate([*(p[1] for p in got), twins])
     d = np.round(np.clip((1 - np.einsum("ij,ij->i", u[i], u[j])) / 2, 0, 1), 8) + 0.0
     d[i == j] = 0.0
     if within is not None:
@@ -234,17 +336,23 @@ def shard_neighbors(rows: pa.Table, k: int, dim: int, within: float | None, degr
     return pa.table({"vec_a": a[best], "vec_b": b[best], "distance": d[best]})
 
 
-def nearest(vectors: DataFrame, k: int = 10, within: float | None = None, key: str = "vec_id", embedding: str = "embedding", dim: int = DIM, asks: Column | None = None, copies: int = COPIES, margin: float = MARGIN, degree: int = 16, beam: int = 20, sample: int = SAMPLE, per: int = SHARD) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, within: float | None = None, key: str = "vec_id", embedding: str = "embedding", dim: int = DIM, asks: Column | None = None, margin: float | None = None, degree: int = 16, beam: int = 16, sample: int = SAMPLE, per: int = SHARD, exact: bool = False) -> DataFrame:
     """(vec_a, vec_b, distance, rank): the k most similar other vectors of every vector, or of those that ``asks`` marks.
 
     Distances are (1 - cosine) / 2 in double precision, rounded to 8 decimals; ties go to the smaller id. ``within``
-    leaves out neighbours beyond a distance early. Vectors that are not usable (see ``usable``) and rows without key have
+    leaves out neighbours beyond a distance early. ``exact`` compares all vectors that may lie within that distance and
+    loses none; far from all cells that means nearly all shards, so its cost grows faster than the table.
+    Vectors that are not usable (see ``usable``) and rows without key have
     no part; a repeated row counts once. Equal vectors travel and are searched once per Arrow batch; each counts as a
     neighbour, and of more than k + 1 copies each finds its nearest among the copies of the smallest ids. An empty table
     gives an empty result; a single vector has no neighbours. Further columns are left out.
     """
-    routed = shards(vectors, key, embedding, dim, copies, margin, k + 1, per, sample, asks)
-    found = routed.groupBy("shard").applyInArrow(lambda t: shard_neighbors(t, k, dim, within, degree, beam), "vec_a bigint, vec_b bigint, distance double")
+    if exact:
+        margin = reach(within)
+    elif margin is None:
+        margin = MARGIN if asks is None else ASKING
+    routed = shards(vectors, key, embedding, dim, k + 1, margin, per, sample, asks, exact)
+    found = routed.groupBy("shard").applyInArrow(lambda t: shard_neighbors(t, k, dim, within, degree, beam, exact), "vec_a bigint, vec_b bigint, distance double")
     extra = _crowded(vectors, k, key, embedding, dim)
     if asks is not None:
         extra = extra.join(vectors.filter(asks).select(F.col(key).cast("long").alias("vec_a")).distinct(), "vec_a", "left_semi")
