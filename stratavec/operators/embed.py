@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +26,20 @@ class HashingEmbedder:
     def __init__(self, dim: int = 64, most: int = MOST_TOKENS):
         self.dim, self.most = dim, most
 
+    def one(self, text: str | None) -> list[float] | None:
+        """The vector of one text, on the driver."""
+        got = _counts(text, self.dim, self.most)
+        return None if got is None else got.tolist()
+
     def __call__(self, text: Column) -> Column:
         dim, most = self.dim, self.most
 
-        @F.pandas_udf("array<float>")
-        def run(texts: pd.Series) -> pd.Series:
-            return pd.Series([_counts(t, dim, most) for t in texts], dtype=object)
+        @F.arrow_udf("array<float>")
+        def run(texts: pa.Array) -> pa.Array:
+            return pa.array([_counts(t, dim, most) for t in texts.to_pylist()], pa.list_(pa.float32()))
 
-        return run(text)
+        # a deterministic function would be evaluated again by every filter on its result
+        return run.asNondeterministic()(text)
 
 
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")  # as the JVM's white space
@@ -56,30 +62,91 @@ def _counts(text: str | None, dim: int, most: int):
     return (out / np.sqrt((out * out).sum())).astype(np.float32)
 
 
+class Truncation:
+    """Texts cut to their first ``most`` tokens. ``make`` opens the tokenizer, an (encode, decode) pair, once per worker."""
+
+    def __init__(self, make: Callable[[], tuple[Callable[[str], list], Callable[[list], str]]], most: int = MOST_TOKENS):
+        self.make, self.most = make, most
+
+    def open(self) -> Callable[[str], str]:
+        encode, decode = self.make()
+
+        def cut(text: str) -> str:
+            if len(text.encode("utf-8", "replace")) <= self.most:  # a token has one byte at least
+                return text
+            tokens = encode(text)
+            return decode(tokens[: self.most]) if len(tokens) > self.most else text
+
+        return cut
+
+
+class ByteBpe:
+    """The tokenizer of a public rank file, for ``Truncation``: lines of a base64 token and its rank."""
+
+    def __init__(self, path: str, pattern: str):
+        self.path, self.pattern = path, pattern
+
+    def __call__(self) -> tuple[Callable[[str], list], Callable[[list], str]]:
+        import base64
+
+        import tiktoken
+
+        with open(self.path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        coder = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        return coder.encode_ordinary, coder.decode
+
+
 class ClientEmbedder:
-    """Vectors from an external client: ``make`` opens one per partition, which is called with lists of at most 100 texts."""
+    """Vectors from an external client: ``make`` opens one per task, which is called with lists of at most 100 texts.
+
+    Null texts are not sent. ``truncation`` cuts texts to what the client takes.
+    """
 
-    def __init__(self, make: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = BATCH):
-        self.make, self.batch = make, batch
+    def __init__(self, make: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = BATCH, truncation: Truncation | None = None):
+        self.make, self.batch, self.truncation = make, batch, truncation
+
+    def one(self, text: str | None) -> list[float] | None:
+        cut = self.truncation.open() if self.truncation else str
+        return None if text is None else list(self.make()([cut(text)])[0])
 
     def __call__(self, text: Column) -> Column:
-        make, size = self.make, self.batch
-
-        @F.pandas_udf("array<float>")
-        def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            client = make()
-            for s in texts:
-                out: list = [None] * len(s)
-                at = [i for i, t in enumerate(s) if t is not None]
+        make, size, truncation = self.make, self.batch, self.truncation
+
+        @F.arrow_udf("array<float>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            client, cut = make(), truncation.open() if truncation else str
+            for s in batches:
+                texts = s.to_pylist()
+                out: list = [None] * len(texts)
+                at = [i for i, t in enumerate(texts) if t is not None]
                 for a in range(0, len(at), size):
-                    got = client([s.iloc[i] for i in at[a : a + size]])
+                    got = client([cut(texts[i]) for i in at[a : a + size]])
                     if len(got) != len(at[a : a + size]):
                         raise ValueError("the client returned another number of vectors than it was given texts")
                     for i, v in zip(at[a : a + size], got):
                         out[i] = v
-                yield pd.Series(out, dtype=object)
+                yield pa.array(out, pa.list_(pa.float32()))
+
+        return run.asNondeterministic()(text)
+
+
+class HttpClient:
+    """A client for ``ClientEmbedder``: posts lists of texts to an endpoint that answers {"data": [{"embedding": [...]}, ...]}."""
+
+    def __init__(self, url: str, model: str, key: str, timeout: float = 60):
+        self.url, self.model, self.key, self.timeout = url, model, key, timeout
+
+    def __call__(self) -> Callable[[list[str]], list[list[float]]]:
+        return self.send
+
+    def send(self, texts: list[str]) -> list[list[float]]:
+        import json
+        from urllib.request import Request, urlopen
 
-        return run(text)
+        body = json.dumps({"model": self.model, "input": texts}).encode()
+        with urlopen(Request(self.url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}), timeout=self.timeout) as answer:
+            return [d["embedding"] for d in json.load(answer)["data"]]
 
 
 def embed(df: DataFrame, text: str, embedder=None, out: str = "embedding") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stratavec.functions.vectors import distance, euclidean_radius
 
-BLOCK = 4096
+BLOCK = 16_384  #: rows of a block; a task holds two of them and 512 rows of their distances
 
 
 def nearest(base: DataFrame, query: list[float] | Column, k: int = 10, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -134,6 +134,21 @@ def lsh_pairs_within(points: DataFrame, threshold: float, tables: int = 6, width
     return near.select(F.col("datasetA.id").alias("i"), F.col("datasetB.id").alias("j"), (F.col("r") * F.col("r") / 4).alias("distance"))
 
 
+def lsh_duplicates(points: DataFrame, threshold: float = 0.0, tables: int = 6, width: float = 0.5, seed: int = 42, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """Approximate ``duplicates`` for unit vectors: both directions of the near pairs, then the same rule on each point's two nearest."""
+    near = lsh_pairs_within(points, threshold, tables, width, seed, key, embedding).filter(F.col("distance") < threshold)
+    both = near.select("i", "j", "distance").union(near.select(F.col("j"), F.col("i"), "distance"))
+    # a point is its own nearest unless a copy of a smaller id comes before it
+    ranked = both.union(points.filter(F.col(embedding).isNotNull()).select(F.col(key).alias("i"), F.col(key).alias("j"), F.lit(0.0).alias("distance"))).groupBy("i").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "j"))), 1, 2).alias("n"))
+    hits = ranked.select("i", F.posexplode("n").alias("rk", "n")).select("i", "rk", F.col("n.j").alias("j"), F.col("n.distance").alias("distance")).filter("i < j")
+    return hits.groupBy("i").agg(F.max_by(F.struct("j", "distance"), "rk").alias("b")).select("i", "b.j", "b.distance")
+
+
+def results_json(results: DataFrame) -> DataFrame:
+    """Every row as one JSON object in the column ``value``, as a client of the search service gets it."""
+    return results.select(F.to_json(F.struct("*")).alias("value"))
+
+
 def lsh_nearest(points: DataFrame, query: list[float], k: int = 10, tables: int = 6, width: float = 0.5, seed: int = 42, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Approximate ``nearest`` for unit vectors."""
     from pyspark.ml.linalg import Vectors

@@ -5,6 +5,7 @@ Distances are rounded in the output only, never before ranking, and ties go to t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from stratavec.functions import names, vectors
 from stratavec.operators import badrows, changes, embed, search
-from stratavec.session import table
+from stratavec.session import ensure_checkpoint_dir, table
+from stratavec.sources import oplog
+from stratavec.sources.store import VectorStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERY_TEXT = "the harbour report and the railway"
@@ -55,6 +58,19 @@ def _compare_variant(s: SparkSession, d: str) -> DataFrame:
     return p.select("i", "j", *(F.round(vectors.distance(F.col("a"), F.col("b"), v), 6).alias(v) for v in vectors.VARIANTS))
 
 
+def _normalize_simd(s: SparkSession, d: str) -> DataFrame:
+    unit = vectors.normalize(F.col("embedding"), "simd")
+    return _embeddings(s, d).select("vec_id", F.posexplode(unit).alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("component"))
+
+
+def _made_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Shape and range of made vectors, one of each kind per stored vector."""
+    made = _embeddings(s, d).select("vec_id", vectors.empty_embedding(64).alias("zero"), vectors.random_embedding(64).alias("drawn"), vectors.random_normalized_embedding(64, 7).alias("unit"))
+    size = lambda c: F.size(c).cast("long")
+    inside = (F.array_min("drawn") >= 0) & (F.array_max("drawn") < 1) & (F.array_max("drawn") > F.array_min("drawn"))
+    return made.select("vec_id", size("zero").alias("n_zero"), F.aggregate("zero", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("weight"), size("drawn").alias("n_drawn"), inside.alias("in_range"), F.round(vectors.norm(F.col("unit")), 4).alias("norm"))
+
+
 def _cosine(s: SparkSession, d: str) -> DataFrame:
     return _next_pairs(s, d).select("i", "j", F.round(vectors.cosine_distance(F.col("a"), F.col("b")), 6).alias("dist"))
 
@@ -141,26 +157,83 @@ def _hash_counts(docs: DataFrame) -> DataFrame:
 
 def _search_text(s: SparkSession, d: str) -> DataFrame:
     docs = embed.embed(table(s, d, "documents").select("doc_id", "text"), "text")
-    query = s.range(1).select(embed.HashingEmbedder()(F.lit(QUERY_TEXT)).alias("e")).first()[0]
-    return _rounded(search.nearest(docs, query, 10, "doc_id"), "doc_id")
+    return _rounded(search.nearest(docs, embed.HashingEmbedder().one(QUERY_TEXT), 10, "doc_id"), "doc_id")
+
+
+_stores: dict[tuple[str, str], VectorStore] = {}
+FIRST = 500  # events of the first commit of the store that the queries read
 
 
-def _manifest_join(s: SparkSession, d: str) -> DataFrame:
-    """Records of the change stream with their vector, the latest vector of each: the index behind a manifest."""
-    data = table(s, d, "embedding_data").filter("id is not null and vec_id is not null")
-    manifest = data.groupBy("id").agg(F.max("vec_id").alias("vec_id"))
-    return manifest.join(data.select("vec_id", F.size("embedding").cast("long").alias("dim")).distinct(), "vec_id").select("id", "vec_id", "dim")
+def _string_ops(s: SparkSession, d: str) -> DataFrame:
+    return _event_ops(s, d).select("op", F.col("id").cast("string").alias("id"), F.col("props").alias("string"), F.lit("failed").alias("message"), "seq")
 
 
-def _assign_index(s: SparkSession, d: str) -> DataFrame:
-    """Each commit that names a previous one, with the size its alias would have: the source's count of operations."""
-    r = table(s, d, "index_requests").select("domain", "commit_id", "previous", "n_operations").distinct()
-    return r.alias("t").join(r.alias("s"), F.col("t.previous") == F.col("s.commit_id")).select(F.col("t.domain").alias("domain"), F.col("t.commit_id").alias("target"), F.col("s.commit_id").alias("source"), F.col("s.n_operations").alias("n_operations"))
+def _store(s: SparkSession, d: str) -> VectorStore:
+    """A store in the session's shared folder with the events as commits c1 and, on top of it, c2; built once a session."""
+    known = (s.sparkContext.applicationId, d)
+    if known not in _stores:
+        store = VectorStore(s, f"{ensure_checkpoint_dir(s)}/stores/{uuid.uuid4().hex}")
+        ops = _string_ops(s, d)
+        store.build("events", "c1", ops.filter(F.col("seq") < FIRST))
+        store.build("events", "c2", ops.filter(F.col("seq") >= FIRST), "c1")
+        _stores[known] = store
+    return _stores[known]
+
+
+def _store_assign(s: SparkSession, d: str) -> DataFrame:
+    store = _store(s, d)
+    store.assign("events", "c2", "live")
+    return store.manifest("events", "live")
+
+
+def _store_read_back(s: SparkSession, d: str) -> DataFrame:
+    """The index of a commit with its vectors, their length and the sum of their components."""
+    e = F.col("embedding")
+    total = F.aggregate(vectors.as_double(e), F.lit(0.0), lambda a, x: a + x)
+    return _store(s, d).cached("events", "c2").select("id", "vec_id", F.size(e).cast("long").alias("dim"), F.round(vectors.norm(e), 4).alias("norm"), F.round(total, 3).alias("total"))
+
 
+def _store_statistics(s: SparkSession, d: str) -> DataFrame:
+    store = _store(s, d)
+    return store.lineage().select("commit", "previous", "n_docs", "status").crossJoin(store.statistics("events").select("n_vectors", "last_id")).filter(F.col("commit").isin("c1", "c2"))
 
-def _statistics(s: SparkSession, d: str) -> DataFrame:
-    data = table(s, d, "embedding_data")
-    return data.groupBy("domain").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("vec_id").alias("n_vectors"), F.sum(F.when(F.size("embedding") > 0, F.size("embedding")).otherwise(0).cast("long")).alias("n_components"))
+
+def _store_task(s: SparkSession, d: str) -> DataFrame:
+    """Two starts of one build in the background: the second gets the task of the first while that runs; then its status."""
+    store = _store(s, d)
+    ops = _string_ops(s, d).filter(F.col("seq") < FIRST)
+    task, same = store.start("events", "task", ops), store.start("events", "task", ops)
+    done = store.wait(task)
+    return s.createDataFrame([(done["status"], done.get("indexed_documents"), len(task), task == same)], "status string, indexed_documents long, n_letters long, same_task boolean")
+
+
+def _store_pages(s: SparkSession, d: str) -> DataFrame:
+    """A small domain filled one by one and by many, read by page and by id."""
+    store = VectorStore(s, f"{ensure_checkpoint_dir(s)}/stores/{uuid.uuid4().hex}")
+    one = store.add_and_load("few", [[1.0, 0.0]])
+    many = store.add_and_load("few", [[0.0, 1.0], [0.5, 0.5]])
+    rows = one.withColumn("what", F.lit("one")).union(many.withColumn("what", F.lit("many"))).union(store.page("few", 1).withColumn("what", F.lit("page")))
+    single = s.createDataFrame([(1, store.vector("few", 1), "single"), (9, store.vector("few", 9), "single")], "vec_id long, embedding array<float>, what string")
+    return rows.union(single).select("what", "vec_id", F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"))
+
+
+def _read_json_lines(s: SparkSession, d: str) -> DataFrame:
+    """The operations written as JSON lines and read again, numbered anew in the order of the files."""
+    path = f"{ensure_checkpoint_dir(s)}/lines/{uuid.uuid4().hex}"
+    ops = _string_ops(s, d)
+    kept = {"op": F.col("op"), "id": F.when(F.col("op") != "Error", F.col("id")), "string": F.when(F.col("op").isin("Inserted", "Changed"), F.col("string")), "message": F.when(F.col("op") == "Error", F.col("message"))}
+    ops.repartitionByRange(4, "seq").sortWithinPartitions("seq").select(*(c.alias(n) for n, c in kept.items())).write.json(path)
+    return oplog.read_operations(s, path).select("seq", "op", "id", "string", "message")
+
+
+def _unpack(s: SparkSession, d: str) -> DataFrame:
+    packed = oplog.pack_vectors(_embeddings(s, d), 300)
+    back = oplog.unpack_vectors(packed, dim=64, first="first")
+    return back.select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 6).alias("component"))
+
+
+def _similar_json(s: SparkSession, d: str) -> DataFrame:
+    return search.results_json(_rounded(search.similar(_embeddings(s, d), 7), "vec_id").select(F.col("vec_id").alias("id"), F.col("dist").alias("distance")))
 
 
 def _op_rates(s: SparkSession, d: str) -> DataFrame:
@@ -198,9 +271,18 @@ QUERIES: dict[str, Query] = {
     "operation_problems": _op_problems,
     "hash_embed": lambda s, d: _hash_counts(table(s, d, "documents")),
     "search_text": _search_text,
-    "manifest_join": _manifest_join,
-    "assign_index": _assign_index,
-    "statistics": _statistics,
+    "normalize_simd": _normalize_simd,
+    "made_vectors": _made_vectors,
+    "similar_json": _similar_json,
+    "store_build": lambda s, d: _store(s, d).manifest("events", "c1"),
+    "store_incremental": lambda s, d: _store(s, d).manifest("events", "c2"),
+    "store_assign": _store_assign,
+    "store_read_back": _store_read_back,
+    "store_statistics": _store_statistics,
+    "store_task": _store_task,
+    "store_pages": _store_pages,
+    "read_json_lines": _read_json_lines,
+    "unpack_vectors": _unpack,
     "operation_rates": _op_rates,
     "vector_shapes": _usable,
     "p6_found": lambda s, d: badrows.rejected_offsets(table(s, d, "op_lines")),
@@ -251,12 +333,32 @@ ORACLE_SQL: dict[str, str] = {
     "operations_latest": f"WITH o AS (SELECT {_OP_NAME} AS op, id, string, message, seq, domain FROM operations), v AS (SELECT * FROM o WHERE id IS NOT NULL AND (op = 'Deleted' OR (op IN ('Inserted', 'Changed') AND string IS NOT NULL))) SELECT id, arg_max(op, seq) AS op, max(seq) AS seq, arg_max(domain, seq) AS domain FROM v GROUP BY id",
     "operation_problems": f"WITH o AS (SELECT DISTINCT seq, op AS raw, {_OP_NAME} AS op, id, string, message FROM operations), w AS (SELECT CASE WHEN op IS NULL OR op NOT IN ('Inserted', 'Changed', 'Deleted', 'Error') THEN 'unknown operation: ' || coalesce(raw, 'null') WHEN op IN ('Inserted', 'Changed', 'Deleted') AND id IS NULL THEN 'operation without id' WHEN op IN ('Inserted', 'Changed') AND string IS NULL THEN 'operation without string' WHEN op = 'Error' AND message IS NULL THEN 'error without message' END AS problem FROM o) SELECT problem, count(*) AS n FROM w WHERE problem IS NOT NULL GROUP BY problem",
     "hash_embed": f"WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents) SELECT doc_id, {_HASH} AS pos, count(*) AS n FROM t GROUP BY 1, 2",
-    "manifest_join": "WITH d AS (SELECT * FROM embedding_data WHERE id IS NOT NULL AND vec_id IS NOT NULL), m AS (SELECT id, max(vec_id) AS vec_id FROM d GROUP BY id) SELECT m.id, m.vec_id, x.dim FROM m JOIN (SELECT DISTINCT vec_id, len(embedding) AS dim FROM d) x USING (vec_id)",
-    "assign_index": "WITH r AS (SELECT DISTINCT domain, commit_id, previous, n_operations FROM index_requests) SELECT t.domain, t.commit_id AS target, s.commit_id AS source, s.n_operations FROM r t JOIN r s ON t.previous = s.commit_id",
-    "statistics": "SELECT domain, count(*) AS n_rows, count(DISTINCT vec_id) AS n_vectors, sum(coalesce(len(embedding), 0))::BIGINT AS n_components FROM embedding_data GROUP BY domain",
+    "made_vectors": "SELECT vec_id, 64::BIGINT AS n_zero, 0.0::double AS weight, 64::BIGINT AS n_drawn, TRUE AS in_range, 1.0::double AS norm FROM embeddings",
+    "vector_shapes": "WITH o AS (SELECT vec_id, any_value(embedding::double[]) AS e, any_value(embedding IS NULL) AS missing FROM embedding_data GROUP BY vec_id), n AS (SELECT coalesce(len(e), -1) AS dim, CASE WHEN e IS NULL OR len(list_filter(e, lambda x: x IS NULL)) > 0 THEN NULL ELSE sqrt(list_sum(list_transform(e, lambda x: x * x))) END AS l, len(e) AS k FROM o) SELECT dim, coalesce(abs(CASE WHEN k = 0 THEN 0 ELSE l END - 1) < 1e-3, FALSE) AS unit, count(*) AS n FROM n GROUP BY 1, 2",
     "operation_rates": "WITH o AS (SELECT DISTINCT seq, op, received_at FROM operations WHERE received_at IS NOT NULL) SELECT received_at::DATE AS day, op, count(*) AS n FROM o GROUP BY 1, 2",
 }
 ORACLE_SQL["delete_then_search"] = "WITH live AS (SELECT * FROM embeddings WHERE vec_id % 3 <> 0) " + _SIMILAR.format(d=_dist("b.embedding", "q"), base="live")
+_STORE = f"""WITH ops AS (SELECT CASE event_type WHEN 'signup' THEN 'Inserted' WHEN 'purchase' THEN 'Changed' WHEN 'error' THEN 'Deleted' ELSE 'Error' END AS op, user_id::VARCHAR AS id, props AS text, event_id AS seq FROM events),
+live AS (SELECT * FROM ops WHERE op <> 'Error' AND id IS NOT NULL),
+last AS (SELECT seq < {FIRST} AS early, id, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(text, seq) AS text FROM live GROUP BY 1, 2),
+full_ AS (SELECT *, {_TOKENS} AS tokens FROM last WHERE op <> 'Deleted'),
+placed AS (SELECT early, id, tokens, row_number() OVER (ORDER BY early DESC, seq) - 1 AS vec_id FROM full_ WHERE len(tokens) > 0),
+c1 AS (SELECT id, vec_id, tokens FROM placed WHERE early),
+c2 AS (SELECT id, vec_id, tokens FROM c1 WHERE id NOT IN (SELECT id FROM last WHERE NOT early) UNION ALL SELECT id, vec_id, tokens FROM placed WHERE NOT early)
+"""
+ORACLE_SQL |= {
+    "normalize_simd": ORACLE_SQL["normalize"],
+    "similar_json": "WITH s AS (" + ORACLE_SQL["similar_top10"] + ") SELECT to_json({'id': vec_id, 'distance': dist})::VARCHAR AS value FROM s",
+    "store_build": _STORE + "SELECT id, vec_id FROM c1",
+    "store_incremental": _STORE + "SELECT id, vec_id FROM c2",
+    "store_assign": _STORE + "SELECT id, vec_id FROM c2",
+    "store_read_back": _STORE + f", t AS (SELECT id, vec_id, unnest(tokens) AS token FROM c2), n AS (SELECT id, vec_id, {_HASH} AS pos, count(*) AS n FROM t GROUP BY 1, 2, 3) SELECT id, vec_id, 64::BIGINT AS dim, 1.0::double AS norm, round(sum(n) / sqrt(sum(n * n)), 3) AS total FROM n GROUP BY 1, 2",
+    "store_statistics": _STORE + "SELECT 'c1' AS commit, NULL::VARCHAR AS previous, (SELECT count(*) FROM c1) AS n_docs, 'Complete' AS status, (SELECT count(*) FROM placed) AS n_vectors, (SELECT max(vec_id) FROM placed) AS last_id UNION ALL SELECT 'c2', 'c1', (SELECT count(*) FROM c2), 'Complete', (SELECT count(*) FROM placed), (SELECT max(vec_id) FROM placed)",
+    "store_task": _STORE + "SELECT 'Complete' AS status, count(*) AS indexed_documents, 8::BIGINT AS n_letters, TRUE AS same_task FROM c1",
+    "store_pages": "SELECT * FROM (VALUES ('one', 0::BIGINT, 1.0::double, 0.0::double), ('many', 1, 0.0, 1.0), ('many', 2, 0.5, 0.5), ('page', 2, 0.5, 0.5), ('single', 1, 0.0, 1.0), ('single', 9, NULL, NULL)) t(what, vec_id, x, y)",
+    "read_json_lines": "WITH o AS (SELECT *, CASE event_type WHEN 'signup' THEN 'Inserted' WHEN 'purchase' THEN 'Changed' WHEN 'error' THEN 'Deleted' ELSE 'Error' END AS op FROM events) SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq, op, CASE WHEN op <> 'Error' THEN user_id::VARCHAR END AS id, CASE WHEN op IN ('Inserted', 'Changed') THEN props END AS string, CASE WHEN op = 'Error' THEN 'failed' END AS message FROM o",
+    "unpack_vectors": "WITH u AS (SELECT vec_id, unnest(range(0, len(embedding))) AS pos, unnest(embedding) AS x FROM embeddings) SELECT vec_id, pos, round(x::double, 6) AS component FROM u",
+}
 _SEARCH = f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents), c AS (SELECT doc_id, {_HASH} AS pos, count(*) AS n FROM t GROUP BY 1, 2),
 q AS (SELECT {_HASH} AS pos, count(*) AS n FROM (SELECT unnest(string_split('{QUERY_TEXT}', ' ')) AS token) GROUP BY 1),
 nd AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM c GROUP BY 1), nq AS (SELECT sqrt(sum(n * n)) AS l FROM q),

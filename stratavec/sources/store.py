@@ -10,6 +10,7 @@ from __future__ import annotations
 import secrets
 import string
 import threading
+import time
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from stratavec.operators import search
 from stratavec.operators.changes import apply_changes, latest
 from stratavec.operators.embed import HashingEmbedder, embed
+from stratavec.session import cut
 
 _ALNUM = string.ascii_letters + string.digits
 VECTORS, MANIFEST = "vec_id bigint, embedding array<float>", "id string, vec_id bigint"
@@ -37,6 +39,13 @@ def parse_index_name(name: str) -> tuple[str, str]:
     return unquote(domain), commit
 
 
+def load(store: VectorStore, path: str, domain: str, commit: str, previous: str | None = None, strict: bool = True) -> int:
+    """Index the operations of JSON-lines files under a commit; the number of live records."""
+    from stratavec.sources.oplog import read_operations
+
+    return store.build(domain, commit, read_operations(store.spark, path, strict), previous)
+
+
 class VectorStore:
     """One store below a path that all executors see."""
 
@@ -46,6 +55,7 @@ class VectorStore:
         self._pool = ThreadPoolExecutor(4)
         self._tasks: dict[str, dict] = {}
         self._pending: dict[str, str] = {}
+        self._indexes: dict[tuple[str, str], DataFrame] = {}
 
     # paths encode both names, so no name can leave its folder
     def _vectors(self, domain: str) -> str:
@@ -61,10 +71,16 @@ class VectorStore:
 
     # vectors
     def vectors(self, domain: str) -> DataFrame:
+        """(vec_id, embedding) of a domain; one that nothing was ever appended to raises ``KeyError``."""
         path = self._vectors(domain)
-        return self.spark.read.schema(VECTORS).parquet(path) if self._exists(path) else self.spark.createDataFrame([], VECTORS)
+        if not self._exists(path):
+            raise KeyError(f"no domain {domain}")
+        return self.spark.read.schema(VECTORS).parquet(path)
 
     def count(self, domain: str) -> int:
+        """Vectors of a domain; 0 for one that does not exist yet."""
+        if not self._exists(self._vectors(domain)):
+            return 0
         top = self.vectors(domain).agg(F.max("vec_id")).first()[0]
         return 0 if top is None else top + 1
 
@@ -77,8 +93,6 @@ class VectorStore:
             offset = self.count(domain)
             parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
             ranged = rows.repartitionByRange(int(parts), order).sortWithinPartitions(order).select("*", F.spark_partition_id().alias("_t"), F.monotonically_increasing_id().alias("_m"))
-            from stratavec.session import cut
-
             placed = cut(ranged)
             sizes = placed.groupBy("_t").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
             # one row per partition
@@ -92,6 +106,18 @@ class VectorStore:
         row = self.vectors(domain).filter(F.col("vec_id") == vec_id).select("embedding").head(1)
         return row[0][0] if row else None
 
+    def page(self, domain: str, number: int, size: int = 2) -> DataFrame:
+        """The vectors of one page of ``size``, in order; the last page may be short, those beyond it are empty."""
+        return self.vectors(domain).filter(F.col("vec_id").between(number * size, number * size + size - 1)).orderBy("vec_id")
+
+    def add_and_load(self, domain: str, vectors: list[list[float]]) -> DataFrame:
+        """Append a few vectors, one or many, and read them back in their order: (vec_id, embedding)."""
+        rows = self.spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "at long, embedding array<float>")
+        with self._lock:
+            first = self.count(domain)
+            self.append(domain, rows, "at")
+        return self.vectors(domain).filter(F.col("vec_id").between(first, first + len(vectors) - 1)).orderBy("vec_id")
+
     # manifests
     def manifest(self, domain: str, commit: str) -> DataFrame:
         path = self._manifest(domain, commit)
@@ -105,12 +131,30 @@ class VectorStore:
         checked = F.when(F.col("embedding").isNull(), F.raise_error(F.lit("a record's vector is missing")).cast("array<float>")).otherwise(F.col("embedding"))
         return m.select("id", "vec_id", checked.alias("embedding"))
 
+    def cached(self, domain: str, commit: str) -> DataFrame:
+        """``index`` of a commit, kept by the executors after its first use and found again by later queries."""
+        with self._lock:
+            if (domain, commit) not in self._indexes:
+                self._indexes[domain, commit] = self.index(domain, commit).persist()
+            return self._indexes[domain, commit]
+
+    def forget(self, domain: str, commit: str) -> None:
+        """Let go of a cached index; builds and assignments do so for the commit that they write."""
+        with self._lock:
+            kept = self._indexes.pop((domain, commit), None)
+        if kept is not None:
+            kept.unpersist()
+
     def build(self, domain: str, commit: str, ops: DataFrame, previous: str | None = None, allow_duplicate_ids: bool = False) -> int:
-        """Apply operations (op, id, string, seq) to the previous commit and save the result; the number of live records."""
+        """Apply operations (op, id, string, seq) to the previous commit and save the result; the number of live records.
+
+        The vectors are checkpointed as the embedder gives them, so a text is sent to it once, unless a task is run again.
+        """
         base = self.manifest(domain, previous) if previous is not None else self.spark.createDataFrame([], MANIFEST)
         ops = ops.filter("op <> 'Error'")
         texts = (ops if allow_duplicate_ids else latest(ops)).filter(F.col("op").isin("Inserted", "Changed"))
-        placed = self.append(domain, embed(texts.select("id", "seq", "string"), "string", self.embedder).filter("embedding is not null").select("id", "seq", "embedding"), "seq")
+        embedded = cut(embed(texts.select("id", "seq", "string"), "string", self.embedder).select("id", "seq", "embedding"))
+        placed = self.append(domain, embedded.filter("embedding is not null"), "seq")
         entered = placed.select("id", "vec_id")
         if allow_duplicate_ids:
             out = base.unionByName(entered)
@@ -118,6 +162,7 @@ class VectorStore:
             touched = ops.select("id").distinct()
             out = base.join(touched, "id", "left_anti").unionByName(entered)
         out.write.mode("overwrite").parquet(self._manifest(domain, commit))
+        self.forget(domain, commit)
         n = self.manifest(domain, commit).count()
         self.spark.createDataFrame([(domain, commit, previous, n, "Complete")], "domain string, commit string, previous string, n_docs bigint, status string").coalesce(1).write.mode("append").parquet(f"{self.path}/lineage")
         return n
@@ -133,6 +178,7 @@ class VectorStore:
         if not overwrite and self._exists(f"{self._manifest(domain, target)}/_SUCCESS"):
             raise FileExistsError(create_index_name(domain, target))
         rows.write.mode("overwrite").parquet(self._manifest(domain, target))
+        self.forget(domain, target)
 
     # tasks
     def start(self, domain: str, commit: str, ops: DataFrame, previous: str | None = None) -> str:
@@ -162,27 +208,36 @@ class VectorStore:
         """The status of a task; an unknown one raises ``KeyError``."""
         return dict(self._tasks[task])
 
+    def wait(self, task: str, timeout: float = 600) -> dict:
+        """The status of a task once it is no longer pending."""
+        end = time.monotonic() + timeout
+        while (status := self.check(task))["status"] == "Pending" and time.monotonic() < end:
+            time.sleep(0.05)
+        return status
+
     # queries
-    def search(self, domain: str, commit: str, text: str, count: int = 10) -> DataFrame:
-        """(id, distance) of the records nearest to a text."""
-        row = embed(self.spark.createDataFrame([(text,)], "t string"), "t", self.embedder).select("embedding").first()
-        if row[0] is None:
+    def search(self, domain: str, commit: str, text: str, count: int = 10, approximate: bool = False) -> DataFrame:
+        """(id, distance) of the records nearest to a text, exactly or by hashed projections (for unit vectors)."""
+        query = self.embedder.one(text)
+        if query is None:
             return self.spark.createDataFrame([], "id string, distance double")
-        return search.nearest(self.index(domain, commit), row[0], count, key="id")
+        find = search.lsh_nearest if approximate else search.nearest
+        return find(self.cached(domain, commit), query, count, key="id")
 
     def similar(self, domain: str, commit: str, record: str, count: int = 10, exclude_self: bool = False) -> DataFrame:
-        return search.similar(self.index(domain, commit), record, count, key="id", order="vec_id", exclude_self=exclude_self)
+        return search.similar(self.cached(domain, commit), record, count, key="id", order="vec_id", exclude_self=exclude_self)
 
-    def duplicates(self, domain: str, commit: str, threshold: float = 0.0) -> DataFrame:
-        """(id1, id2) of the candidate pairs."""
-        points = self.index(domain, commit)
-        pairs = search.duplicates(points, threshold)
+    def duplicates(self, domain: str, commit: str, threshold: float = 0.0, approximate: bool = False) -> DataFrame:
+        """(id1, id2) of the candidate pairs; ``approximate`` joins by hashed projections instead of comparing all."""
+        points = self.cached(domain, commit)
+        pairs = search.lsh_duplicates(points, threshold) if approximate else search.duplicates(points, threshold)
         ids = points.select("vec_id", "id")
         return pairs.join(ids.withColumnsRenamed({"vec_id": "i", "id": "id1"}), "i").join(ids.withColumnsRenamed({"vec_id": "j", "id": "id2"}), "j").select("id1", "id2")
 
-    def statistics(self, domain: str) -> dict:
+    def statistics(self, domain: str) -> DataFrame:
+        """(domain, n_vectors, last_id, n_files) of what is stored for a domain."""
         v = self.vectors(domain)
-        return {"domain": domain, "vectors": v.count(), "files": len(v.inputFiles())}
+        return v.agg(F.count(F.lit(1)).alias("n_vectors"), F.max("vec_id").alias("last_id")).select(F.lit(domain).alias("domain"), "n_vectors", "last_id", F.lit(len(v.inputFiles())).cast("long").alias("n_files"))
 
     def vacuum(self, domain: str) -> DataFrame:
         """(vec_id) of vectors that no manifest of the domain refers to."""

@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from stratavec.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings events operations index_requests embedding_data".split()
@@ -12,7 +13,7 @@ def rows(names, values):
     return sorted(str([v[k] for k in order]) for v in values)
 
 
-@pytest.mark.parametrize("name", sorted(k for k in entry.oracle_sql() if not k.startswith("p")))
+@pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))
 def test_sql_agrees(spark, name):
     con = duckdb.connect()
     con.execute("SET timezone='UTC'")
@@ -25,5 +26,9 @@ def test_sql_agrees(spark, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, cur.fetchall())
 
 
+def test_every_sql_has_its_query():
+    assert set(core.ORACLE_SQL) <= set(core.QUERIES) and all(core.ORACLE_SQL.values())
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
