@@ -1,18 +1,19 @@
 """Scores for abusive, hateful and sexually explicit language by a weighted finite-state grammar of clauses.
 
-A text passes through three transducers. The first undoes disguises: case, accents, look-alike letters, invisible
-characters, digits for letters, letters set apart, repeated or masked ones; a disguised form is only replaced by a word of
-the lexicon that it can stand for. The second matches clauses against rules composed of named parts (insult, belittling
-word, threat, dehumanising noun, body, target of address), so an insult counts when it is aimed at somebody and not as a
-word alone. The third looks at the frame of the clause (mention of a word, written or condemned speech, rules against a
-word, animals, property) and takes away weight; other negation and verbs of speech are not known. Triggers
-found by one automaton over all rules decide which clauses are matched at all.
+A text passes through finite-state transducers, one after the other. The first undoes disguises: case, accents, look-alike
+letters, invisible characters, digits for letters, letters set apart, repeated or masked ones; a disguised form is only
+replaced by a word of the lexicon that it can stand for. The second writes the classes of every word (insult, belittling
+word, person, group, verb of harm, part of the body, ...) beside it. The third matches constructions over classes, put
+together from parts, so an insult counts when it is aimed at somebody and not as a word alone. The fourth finds what is
+governed by negation, reported speech or belief, mention of a word, or a ruling; a match inside such a span keeps a fifth of its
+weight, one beside it all of it. Triggers found by one automaton over all rules decide which clauses are matched at all.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import product
 
@@ -49,7 +50,69 @@ DEHUMAN = {
     "fr": "vermine rats parasites animaux ordures sous-hommes cafards racaille betes peste sauvages",
     "es": "alimanas ratas parasitos animales escoria basura plaga cucarachas infrahumanos bestias salvajes peste",
 }
-BODY = "tits titties boobs arse ass cleavage titten mopse nichons seins cul tetas culo cock dick pussy fotze schwanz bite polla"
+BODY = "tits titties boobs arse ass bum cleavage titten mopse bruste nichons seins cul fesses tetas culo pechos cock dick pussy fotze schwanz bite polla knickers"
+
+# Classes of words, folded to plain lower case; a word may stand in several. The rules below know classes and
+# few single words, so what they match is a construction and not a sentence.
+CLASSES = {
+    "YOU": "you ye thou du dich dir ihr euch sie ihnen vous tu te toi usted ustedes vosotros os ti",
+    "YOUR": "your thy dein deine deinen deiner ihre ihren ihrem deinem euer eure ta ton tes votre vos tu tus su sus",
+    "ME": "i we me us ich wir je on nous yo nosotros mir uns",
+    "THEM": "him her them everyone everybody somebody someone one ihn ihm sie denen lui les leur lo la los las le les",
+    "THEY": "he she they it er es il elle ils elles el ella ellos ellas everyone everybody somebody someone",
+    "BE": "are is was were am be been being remain remains sind ist bist seid war waren bleiben bleibt bleibst etes es est sont etait serez sera eres son sois era eran sera seguira seguiras",
+    "ONLY": "just only nothing but such really all nur doch nichts als alle wirklich rien que qu' tous solo mas todos sino vraiment mere merely simply utterly no better than like wie comme como pura",
+    "DET": "a an the that this these those such what ein eine einen einem einer der die das den dem des dieser diese dieses diesen solche solcher so un une le la les l' de d' du ce cette cet ces quel quelle el la los las una unos unas ese esa esos esas este esta",
+    "DEM": "that this these those dieser diese dieses diesen solche jene jener ce cette cet ces ese esa esos esas este esta estos estas",
+    "LITTLE": "little old absolute complete utter total pair bunch sack piece load of bande tas pedazo panda hatajo haufen stuck",
+    "MODAL": "will shall would should must may can could ought 'll to gonna going soll sollte sollten muss mussen werden wird werde gehort gehoren devrait devraient doit doivent va vais allons deberia deberian debe deben hay habria",
+    "SHOULD": "should must ought deserve deserves can shall soll sollen sollte sollten muss mussen gehort gehoren devrait devraient doivent deberia deberian deben habria hay",
+    "NOT": "not never no nobody none neither nor without cannot nicht nie niemals kein keine keinen niemand ne n' pas jamais aucun aucune personne nunca jamas nadie ningun ninguna tampoco refuse refuses refused",
+    "SAY": "say says said saying tell tells told telling call calls called calling claim claims claimed write writes wrote writing written shout shouted reply replied answer answered repeat repeats repeated repeating quote quotes quoted quoting suggest suggested imply implied allege alleged describe described sagen sagt sagte gesagt nennen nennt nannte genannt behaupten behauptet behauptete schreiben schrieb geschrieben rief dire dit disait ecrit ecrivait appeler appelle appele traiter traite pretend affirme decir digo dije dice dijo dicho llamar llama llamo escribir escribio afirma afirmo believe believes believed think thinks thought",
+    "OWN": "i we ich wir je nous yo",
+    "WORD": "word words term terms expression expressions phrase phrases slur slurs epithet epithets insult insults wort worte ausdruck bezeichnung mot mots terme termes palabra palabras termino expresion insulto",
+    "WRIT": "letter letters message messages mail mails e-mail e-mails email emails poster posters placard placards leaflet leaflets graffiti chant chants slogan slogans banner banners brief briefe nachricht nachrichten plakat plakate lettre lettres affiche affiches carta cartas mensaje mensajes cartel carteles tweet tweets post posts",
+    "BLAME": "condemn condemns condemned condemning denounce denounces denounced deplore deplores deplored reject rejects rejected regret regrets regretted wrong shameful disgraceful unacceptable apologise apologised apologize apologized retract retracted withdraw withdraws withdrawn withdrew verurteilt verurteilen falsch condamne condamner faux condena condenar condeno retire retiree retirer retirada retirado retirar zuruckgenommen gerugt",
+    "RULED": "unparliamentary withdrawn struck ruled censured inadmissible gerugt zuruckgenommen retire retiree retirada retirado",
+    "KILL": "kill killing shoot shooting hang hanging stab stabbing strangle strangling lynch lynching behead hunt knife gas drown smother slaughter exterminate eradicate execute butcher murder poison gut burn skin umbringen toten erschiessen aufhangen erschlagen erwurgen vergasen tuer pendre buter egorger etrangler noyer fusiller exterminer bruler abattre matar matarte colgar fusilar ahorcar degollar quemar exterminar estrangular",
+    "KILLED": "killed shot hanged hung stabbed strangled lynched beheaded hunted knifed gassed drowned smothered slaughtered exterminated eradicated executed butchered murdered poisoned aborted burnt burned skinned umgebracht getotet erschossen aufgehangt erschlagen erwurgt vergast ersauft tue pendu pendus egorge egorges fusille fusilles extermine extermines noye muerto colgado colgados fusilado fusilados ahorcado exterminado exterminados",
+    "DIE": "die dies dying drown drowns choke chokes rot rots burn burns hang hangs swing swings perish croak bleed suffocate starve verreck verrecken verrecke krepier krepieren krepiere crever creve crevez pourrir morir muera mueras muere muerete ahogues ahogue pudras pudra",
+    "DEAD": "dead strung",
+    "HURT": "smash kick knock punch break breaks broken bash cave rip cut slit split snap crack stave beat crush casser briser peter exploser fracasser romper romperte partir partirte reventar reventarte quebrar einschlagen eingeschlagen brechen gebrochen ausschlagen ausgeschlagen polieren poliert umdrehen umgedreht schlagen zertreten",
+    "PART": "teeth tooth leg legs skull head face neck jaw arm arms nose knee knees kneecaps bones fingers throat ribs back eyes schadel zahne genick fresse knochen hals kopf beine nase dents jambes bras machoire crane nez tete genoux gorge dientes piernas cara craneo cabeza huesos brazos cuello",
+    "MOUTH": "mouth gob trap face hole cakehole maul fresse schnauze klappe gueule boca pico hocico",
+    "SHUT": "shut halten halt halte haltet stopf stopfen ferme fermez cierra cierre callate callese callaos calla calle",
+    "PEOPLE": "people folk folks lot race tribe tribes breed kind sort family families faith believers foreigners immigrants migrants refugees settlers women men girls wives children child kids gays lesbians homosexuals jews muslims christians blacks whites gypsies natives leute volk gens peuple gente pueblo raza familie famille familia scum vermin",
+    "WOMEN": "women woman girls wives females frauen weiber femmes mujeres",
+    "RAT": "rats rabbits vermin lice flies cockroaches animals pigs dogs weeds insects ratten karnickel ungeziefer lause fliegen kakerlaken tiere lapins cafards vermine betes mouches ratas conejos cucarachas alimanas animales moscas",
+    "BREED": "breed breeds breeding multiply multiplies reproduce reproduces spawn spawns vermehrt vermehren reproduisent multiplient reproducen multiplican",
+    "TAINT": "pollute pollutes taint taints poison poisons dilute dilutes stain stains defile defiles sully sullies corrupt corrupts infect infects verunreinigt verseucht souille souillent contamina ensucia ensucian",
+    "BLOOD": "blood race stock seed blut sang sangre raza",
+    "OUT": "out from away off raus hinaus dehors fuera",
+    "EXPEL": "driven thrown chased swept kicked run cleared smoked burned burnt hounded drive throw chase sweep kick clear smoke burn hound echar echarlos echarlas expulsar expulsarlos matarlos quemarlos exterminarlos colgarlos fusilarlos limpiarlos chasse chassez expulse expulsez brule pende extermine egorge fusille noie vertreiben verjagen",
+    "LOAD": "load put pack herd shove cram ship pile stack",
+    "CART": "cart carts train trains truck trucks lorry lorries boat boats ship ships wagon wagons bus buses planes cattle",
+    "HOME": "house houses home homes shop shops school schools temple temples church churches village villages farm farms mosque mosques synagogue synagogues",
+    "HUMAN": "people human humans persons beings men citizens menschen humains gens humanos personas",
+    "COUNT": "count call treat regard see think consider accept",
+    "CRIME": "steal steals lie lies cheat cheats kill kills thieve rob robs rape rapes murder beg begs stehlen lugen betrugen volent mentent roban mienten",
+    "NATURE": "nature birth blood instinct breeding habit natur geburt instinkt naissance nacimiento naturaleza",
+    "LAME": "cripple cripples spastic spastics retards lame blind deaf disabled deformed insane",
+    "BURDEN": "burden weight mouths left down away rid useless parasites",
+    "KITCHEN": "kitchen stove sink bed cradle cradles home oven nursery",
+    "GAY": "homosexual homosexuals gay gays queer queers faggot faggots lesbian lesbians sodomite sodomites",
+    "SICK": "filth filthy sick sinners perverts perverted disgusting abomination criminals diseased unnatural vermin",
+    "WEAR": "blouse shirt dress skirt bra clothes trousers knickers top pants stockings underwear tights bluse rock hemd kleid chemise robe jupe culotte ropa blusa falda vestido camisa bragas",
+    "STRIP": "strip undress",
+    "NAKED": "naked nude nackt nu nue nus desnuda desnudo desnudos",
+    "BED": "bed sheets sofa mattress bett lit cama",
+    "SHOW": "show give flash zeig zeigen montre montrez ensena ensenanos ensenenos muestra muestranos",
+    "LUST": "suck lick shag bonk fuck screw rub fondle grope mount ride ficken vogeln bumsen blas baiser sucer suce follar follaria chupar chupame chupa",
+    "ACT": "seeing-to shag shagging rogering fuck fucking bonk bonking screwing spanking pounding",
+    "DEAR": "darling sweetheart sugar love honey babe baby dear susse suesse schatz cherie ma guapa preciosa carino",
+    "NOISE": "squeal grunt bark bray bleat oink cluck moo grunzen quieken bellen grogner aboyer grunir ladrar",
+    "AM": "am are is was were have has had been bin bist ist",
+}
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip("авсеѕіјкмнорԛтԝхуьαεικνορτυχωɑօսɡıⅼ", "abcesijkmhopqtwxybaeikvoptuxwaougil"))
@@ -68,113 +131,158 @@ def _any(words) -> str:
     return "(?:" + "|".join(map(re.escape, words)) + ")"
 
 
-def _plural(lang: str, by: dict[str, str]) -> str:
-    return _any(sorted(by[lang].split(), key=len, reverse=True)) + {"en": "(?:e?s)?", "de": "(?:e|en|er|n|s)?", "fr": "[sx]?", "es": "(?:e?s)?"}[lang]
+_ENDINGS = {"en": ("s", "es"), "de": ("e", "en", "er", "n", "s"), "fr": ("s", "x", "e", "es"), "es": ("s", "es")}
+
 
+def _tags() -> dict[str, tuple[str, ...]]:
+    """The classes of every word; insults with the endings of their language."""
+    out: dict[str, set[str]] = {}
+    for name, by in (("INS", STRONG), ("WEAK", WEAK), ("DEH", DEHUMAN), ("BAD", BELITTLING)):
+        for lang, words in by.items():
+            for w in words.split():
+                for form in (w, *(w + e for e in _ENDINGS[lang] if name in ("INS", "WEAK"))):
+                    out.setdefault(form, set()).add(name)
+    for name, words in {**CLASSES, "BODY": BODY}.items():
+        for w in words.split():
+            out.setdefault(w, set()).add(name)
+    return {w: tuple(sorted(t)) for w, t in out.items()}
 
-_P = {f"{name}_{lang}": _plural(lang, by) for lang in ("en", "de", "fr", "es") for name, by in (("S", STRONG), ("W", WEAK))}
-_P |= {f"I_{lang}": f"(?:{_P[f'S_{lang}']}|{_P[f'W_{lang}']})" for lang in ("en", "de", "fr", "es")}
-_P |= {f"A_{lang}": _any(BELITTLING[lang].split()) for lang in BELITTLING}
-_P |= {f"D_{lang}": _any(sorted(DEHUMAN[lang].split(), key=len, reverse=True)) for lang in DEHUMAN}
-_P |= {"BODY": _any(BODY.split()), "HURT": "(?:teeth|legs?|skull|head|face|neck|jaw|arms?|nose|knees?|kneecaps|bones|fingers|throat|ribs)", "ONE": "(?:you|him|her|them|somebody|someone|every last one|all of them|the lot)", "LITTLE": "(?:little|old|absolute|complete|utter|total|pair of|bunch of|sack of|piece of|load of)"}
 
-# The rules, as (category, weight, triggers, pattern); {NAME} stands for the parts above.
+# Rules are sequences of tokens: <NAME> is a word of a class, a/b one of some words, stem% a beginning, {name} a part below,
+# ~n up to n tokens, ... any number, ? optional, * repeated, ^ and $ the ends of the clause, ( | ) alternatives.
+_PARTS = {
+    "adj": "(<BAD>|,|<LITTLE>)*",
+    "insult": "<DET>? {adj} (<INS>|<WEAK>)",
+    "person": "(<YOU>|<THEM>|all/every/half of ~1 <THEM>|every last one|<DEM> ~2 <PEOPLE>|the/your/their/all/every ~2 <PEOPLE>)",
+}
+
+# The rules, as (category, weight, words and classes of which one must stand in the clause, pattern).
 _RULES: list[tuple[str, float, str, str]] = [
-    # insults aimed at a person
-    ("abuse", 0.9, "*en", r"\byou(?:'re| are| were)?(?: all| just| such| really| nothing but)?(?: an?| the)?(?:,? (?:{A_en}|{LITTLE}))*,? {I_en}\b"),
-    ("abuse", 0.9, "*en", r"\b(?:an?|that|the|this|these|those|such|like|of) (?:{A_en},? )+(?:{LITTLE} )*{I_en}\b"),
-    ("abuse", 0.8, "*en", r"[,;] (?:you )?(?:{A_en} )*{S_en}(?: of an? \w+)?\W*$"),
-    ("abuse", 0.8, "*en", r"\b(?:ask|tell|hear|look at|listen to|behold) (?:the|that|this|these|those) {S_en}\b"),
-    ("abuse", 0.8, "*en", r"\b(?:the|that|those|these|this) {S_en} (?:from|on|over|in|who|can|could|crawls?|will|is|are|has|have|opposite|there|sitting)\b"),
-    ("abuse", 0.8, "*en", r"\b(?:he|she|they|\w+) (?:is|are|was|remains?) (?:just |nothing but |such )?(?:an?|the)? ?(?:{A_en} )*(?:{S_en})\b(?! (?:son|house))"),
-    ("abuse", 0.8, "make me sick|makes me sick", r"\b(?:you|he|she|they|that \w+) makes? me sick\b"),
-    ("abuse", 0.7, "squeal|grunt|bark|bray", r"\byou to (?:squeal|grunt|bark|bray)\b"),
-    ("abuse", 0.8, "brain", r"\bhas the brains? of an? \w+|\bbrains? of an? \w+ \w+\b.*\bsmell\b|\byou(?:'re| are)? (?:\w+,? )?brainless\b"),
-    ("abuse", 0.8, "shut your|shut up|shut that", r"\bshut (?:your|that) (?:\w+ )*(?:mouth|gob|trap|face|hole)\b|\bshut up,? you\b"),
-    ("abuse", 0.7, "crawl back", r"\bcrawl back (?:to|into|under)\b"),
-    ("abuse", 0.8, "kiss my|kiss our|lick my|lick our|up your", r"\b(?:kiss|lick) (?:my|our) (?:\w+ )?(?:arse|ass|boots|feet|backside)\b|\bup your(?:s| (?:arse|ass))\b"),
-    ("abuse", 0.9, "fuck|piss", r"\b(?:fuck (?:you|off|yourself|him|her|them)|go fuck|piss on (?:you|him|her|your)|piss off|piss on .* and on you)\b"),
-    ("abuse", 0.8, "your mother", r"\byour mother (?:should|ought|was|is) .*(?:ashamed|whore|slut|{I_en})"),
+    # insults aimed at a person: by address, as a predicate, by pointing, by what is done to the hearer
+    ("abuse", 0.9, "INS WEAK", "<YOU> <BE> (<ONLY>|<YOU>|<BE>|and/und/et/y|n')* {insult}"),
+    ("abuse", 0.9, "INS WEAK", "<BE> (rien|mas|nichts)? (qu'/que/als) {insult}"),
+    ("abuse", 0.9, "INS WEAK", "<YOU> ,? {adj} (<INS>|<WEAK>) (,|!|$|who/and/in/from/over/on)"),
+    ("abuse", 0.9, "INS WEAK", "(<DET>|like/of) (<BAD> ,?)+ <LITTLE>* (<INS>|<WEAK>)"),
+    ("abuse", 0.8, "INS", "(,|;|:|^) you? {adj} <INS> (of a/an %)? $"),
+    ("abuse", 0.8, "INS", "ask/tell/hear/listen/look/behold/watch/remove/ignore to/at? <DET> {adj} <INS>"),
+    ("abuse", 0.8, "INS", "the {adj} <INS> from/on/over/in/who/can/could/crawl/crawls/will/is/are/has/have/opposite/there/sitting"),
+    ("abuse", 0.8, "INS", "<DEM> {adj} <INS>"),
+    ("abuse", 0.8, "INS", "(<THEY>|%) <BE> <ONLY>* <DET>? {adj} <INS>"),
+    ("abuse", 0.9, "INS WEAK", "(espece/especes/bande/tas/pedazo/panda/hatajo (de|d')?|hijo/hija/hijos/hijas de la? gran?) {adj} (<INS>|<WEAK>)"),
+    ("abuse", 0.8, "sick", "make/makes me sick"),
+    ("abuse", 0.7, "NOISE", "(<YOU> to|can/could/only/<YOU>) <NOISE> (out|,|$|like)"),
+    ("abuse", 0.8, "brain brains brainless", "(has/have/with the brain/brains of|<YOU> <BE>? <BAD>? ,? brainless)"),
+    ("abuse", 0.8, "SHUT", "(<SHUT> <YOU>? (<YOUR>|that|la/el/le/die/das) ~2 <MOUTH>|shut up ,? you|callate/callese/callaos ~3 <MOUTH>)"),
+    ("abuse", 0.8, "MOUTH", "(ta/votre ~1 gueule|dreckiges/dreckige maul/fresse/schnauze)"),
+    ("abuse", 0.7, "crawl", "crawl back to/into/under"),
+    ("abuse", 0.8, "kiss lick leck lecken up", "(kiss/lick my/our ~1 (<BODY>|arse/boots/feet/backside)|up yours|up your <BODY>|leck/lecken sie? mich)"),
+    ("abuse", 0.9, "fuck piss verpiss% fick mierda jodan jodete culo faire scheiss", "(go fuck|fuck off/you/yourself/him/her/them|piss off|piss on you/him/her/your|verpiss% dich/euch/sie|fick dich/sie/euch|a la mierda|por el? culo|que te/le/os jodan|jodete|va te faire|allez vous faire|scheiss auf)"),
+    ("abuse", 0.9, "mother mutter mere madre", "<YOUR> mother/mutter/mere/madre ... (ashamed|<INS>)"),
     # threats and wishes of harm
-    ("abuse", 0.8, "drop dead|and choke|and die|and rot|hang yourself|kill yourself|go choke|go die|go rot|go drown|go hang|go kill|and drown|and hang|and kill", r"\bdrop dead\b|\bgo (?:and )?(?:choke|die|rot|drown|hang|kill)\b"),
-    ("abuse", 0.8, "rot", r"\b(?:can|may|should|will|hope (?:you|they|he|she)) (?:all )?rot\b|\brot in hell\b"),
-    ("abuse", 0.8, "hope|wish", r"\b(?:hope|wish) (?:that )?(?:somebody|someone|you|he|she|they|a \w+)\b.* (?:breaks?|broke|die|dies|drowns?|chokes?|rots?|burns?|hangs?|shoots?|gets? (?:shot|hanged|cancer)|runs? (?:you|him|her|them) over)\b"),
-    ("abuse", 0.8, "miss you|miss him|miss her|miss them", r"\bnobody would miss (?:you|him|her|them)\b"),
-    ("abuse", 0.9, "should have|ought to have|shall have", r"\b(?:should|ought to) have (?:been )?(?:strangled|drowned|smothered|aborted|shot|hanged|killed|gassed|put down)(?: (?:you|him|her|them)\b| at birth| in the cradle|$|\W)"),
-    ("abuse", 0.9, "your|to death|senseless|to a pulp", r"\b(?:smash|kick|knock|punch|break|bash|cave|rip|cut|slit|split|snap|crack|stave) your (?:\w+ )?{HURT}\b|\b(?:smash|kick|knock|punch|beat) (?:you|him|her) (?:to death|senseless|to a pulp)\b"),
-    ("abuse", 0.9, "kill|shoot|hang|stab|strangle|lynch|behead|hunt", r"\b(?:i|we|somebody|someone|they) (?:will|shall|would|should|must|ought to|am going to|are going to|'ll) (?:\w+ )?(?:kill|shoot|hang|stab|strangle|lynch|behead|hunt) (?:you|him|her|them|every|all|those|these)\b"),
-    ("abuse", 0.9, "finish the job|finish him|finish her|finish them|finish you", r"\btake .* (?:out|behind|round) .*\bfinish (?:the job|him|her|them|you)\b|\bfinish (?:him|her|them|you) off\b"),
+    ("abuse", 0.8, "DIE dead", "(drop dead|go/geh and? <DIE>|va/vete te? <DIE>|can/may/should/hope (<YOU>|<THEY>|all)* rot/rots|rot in hell|^ verreck%/krepier%/creve/crevez/muerete)"),
+    ("abuse", 0.8, "hope wish hoffe espere espero ojala", "(hope/wish/hoffe/espere/espero (that/dass/que)? ~6 (<DIE>|<HURT>|<KILLED>|cancer|over)|ojala te/se/os/le/les/lo/la ~1 (muer%|ahog%|pudr%|pudier%|revient%|caig%|estrell%|part%|mat%|atropell%|romp%))"),
+    ("abuse", 0.8, "miss", "nobody would/will miss (<YOU>|<THEM>)"),
+    ("abuse", 0.9, "KILLED", "should/ought to? have been? <KILLED> (<YOU>|<THEM>|at birth|in the cradle|$)"),
+    ("abuse", 0.9, "HURT", "(<HURT> (<YOUR>|<YOU>) ~2 <PART>|(<YOU>|<THEM>) <HURT> <DET> ~1 <PART>|(<YOU>|<THEM>) ~3 <PART> ~1 <HURT>|romperte/partirte/reventarte <DET> %|<HURT> <DET> <PART> a/de usted/ustedes/ti|<HURT> (<YOU>|<THEM>) (to death|senseless|to a pulp))"),
+    ("abuse", 0.9, "KILL HURT string habria", "((<ME>|<THEY>|%) <MODAL> to/a? ~1 (<KILL>|string up) {person}|te/vous/le/les/os/lo/la/nous (va/vais/vamos/voy/van/allons) a? (<KILL>|<HURT>)|va/vais/allons te/vous/le/les <KILL>|habria que (matar%|colgar%|fusilar%|ahorcar%))"),
+    ("abuse", 0.9, "finish", "(take ~5 out/behind/round ... finish (the job|<THEM>|<YOU>)|finish (<THEM>|<YOU>) off)"),
+    ("abuse", 0.9, "KILLED wand", "soll%/muss%/gehor% ... (<KILLED>|an die wand)"),
     # degrading groups, calls for harm to them
-    ("hate", 0.9, "*dehuman", r"\b(?:are|is|were) (?:all |just |nothing but |no better than |like |mere )?(?:an? )?(?:\w+ )?{D_en}\b(?=\W*(?:$|and\b|,|that|who|to be|in our|on our|not ))"),
-    ("hate", 0.9, "*dehuman", r"\b(?:those|these|the|of) \w+ (?:subhumans?|parasites|vermin|savages|animals|cockroaches|leeches)\b"),
-    ("hate", 0.9, "breed|multipl|reproduc", r"\b(?:breed|breeds|breeding|multiply|reproduce)(?: \w+)? like (?:\w+ )?(?:rats|rabbits|vermin|lice|flies|cockroaches|animals)\b"),
-    ("hate", 0.9, "blood|pollut|taint|poison|dilut|stain|defil|sull|corrupt", r"\b(?:dirty|filthy|foul|bad|rotten) blood\b|\b(?:pollut|taint|poison|dilut|stain|defil|sull|corrupt)\w* (?:the|our) (?:blood|race|stock|nation)\b"),
-    ("hate", 0.9, "driven|thrown out|drive them|clear them|throw them|chase them|sweep them|kick them|driven from|run out of|thrown|chased|swept|kicked|run out|run from|smoke them|burn them|the lot out|all of them out", r"\b(?:must|should|ought to|let us|will|time to|have to)\b.* (?:driven|thrown|chased|swept|kicked|run) (?:out|from)\b|\b(?:clear|drive|throw|chase|sweep|kick|smoke|burn) (?:them|the lot|all of them) out\b"),
-    ("hate", 0.9, "round up|burn their|burn down their", r"\bround up (?:every|all|the|them|those|these)\b|\bburn (?:down )?their (?:houses|homes|shops|schools|temples|churches|villages)\b"),
-    ("hate", 0.9, "carts|trains|trucks|lorries|boats|wagons", r"\b(?:load|put|pack|herd|shove) (?:the|those|these|all|every|them)\b.* (?:carts|trains|trucks|lorries|boats|wagons)\b.*\b(?:not ask|no questions|never|not care)\b"),
-    ("hate", 0.9, "dead one|is a dead", r"\b(?:a|the only) good \w+(?: \w+)? is a dead (?:one|\w+)\b"),
-    ("hate", 0.9, "no dogs|and dogs|dogs", r"\bno \w+(?:,| and| or)? (?:no )?dogs\b"),
-    ("hate", 0.8, "as people|as human|not human|not people|less than human|hardly human|hardly people|barely human|barely people|less than people", r"\b(?:mistake|wrong|foolish|error|absurd|never|not|stop|refuse)\b.* (?:count|call|treat|regard|see|think of) .* as (?:people|humans?|human beings)\b|\b(?:are|is) (?:not|hardly|barely|less than) (?:human|people)\b"),
-    ("hate", 0.9, "by nature|by birth|in their nature|by blood|by instinct|in their blood", r"\b(?:steal|lie|cheat|kill|thieve|rob|rape|murder|beg)s? by (?:nature|birth|blood|instinct)\b|\bin their (?:nature|blood) to (?:steal|lie|cheat|kill)\b"),
-    ("hate", 0.9, "breed|sterilis|steriliz|from reproducing", r"\b(?:kept|stopped|prevented|barred) from (?:breeding|reproducing)\b|\b(?:should|must|ought to) (?:not|never) (?:breed|be allowed to breed)\b|\b(?:should|must|ought to) be (?:sterilis|steriliz)ed\b"),
-    ("hate", 0.8, "cripple|dead weight|lame|blind|deaf|spastic|retard", r"\b(?:cripples|spastics|retards|the (?:lame|blind|deaf))\b.* (?:dead weight|left (?:out|to)|burden|put down|useless mouths|locked away)\b"),
-    ("hate", 0.9, "women|girls|wives|females|back to the", r"\b(?:women|girls|wives|females) (?:have no business|do not belong|don't belong|belong (?:in|at|on)|should (?:stay|shut|keep)|are too (?:stupid|weak|emotional))\b|\b(?:send|put) them back to the (?:stove|kitchen|sink)\b"),
-    ("hate", 0.9, "not safe|never be safe", r"\b(?:not|never be) safe (?:while|as long as|until) (?:one|a single|any|the|every|there)\b"),
-    ("hate", 0.9, "child belongs|children belong|belongs in our|belong in our|belong", r"\bno \w+ (?:child|children|kid|kids|family|families|\w+) belongs? (?:in|near|at) our\b"),
-    ("hate", 0.9, "hang|burn|swing|gassed|exterminat|wiped out|be shot|should die|must die|deserve to die|put down|drowned|to die|can die|all die|be exterminat|be drowned", r"\b(?:those|these|the|all|every) \w+(?: \w+)? (?:should|must|ought to|deserve to|can) (?:all )?(?:hang|burn|swing|die|be (?:hanged|burnt|burned|shot|gassed|exterminated|wiped out|put down|drowned))\b"),
-    ("hate", 0.8, "share a bed|who sleep with|homosexual|gay|queer|faggot|sodomite|two men|two women|men who", r"\b(?:two (?:men|women) who|men who|homosexuals|gays|queers|sodomites|faggots)\b.* (?:filth|sick|sinners|perverts|disgusting|abomination|criminals|law should)\b"),
-    ("hate", 0.8, "drink from our|wells|not let", r"\bnot let (?:one|any|those|these|a)\b.* (?:drink|eat|sit|live|swim|play)\b.* our\b"),
+    ("hate", 0.9, "DEH", "(<THEY>|<PEOPLE>|%) (of <DEM> %)? <BE> (<ONLY>|<DET>|de|tous)* <BAD>? <DEH> (,|$|and/und/et/y/that/who/to/in/on/not)"),
+    ("hate", 0.9, "DEH subhuman% parasite% savage% animal% cockroach% leech%", "(<DEM>|the|of) % (subhuman%|parasite%|vermin|savage%|animal%|cockroach%|leech%) (<BE>|<MODAL>|<SHOULD>|have/in/on/from/who|$|,)"),
+    ("hate", 0.9, "pack gesindel gesocks ungeziefer", "dieses/das/solches <BAD>? pack/gesindel/gesocks/ungeziefer der/von/aus"),
+    ("hate", 0.9, "BREED", "<BREED> (sich|se)? ~1 like/wie/comme/como <DET>? <BAD>? <RAT>"),
+    ("hate", 0.9, "BLOOD", "((<BAD>|bad/foul/rotten/impure) blood|<TAINT> (<DET>|our/your)* <BLOOD>)"),
+    ("hate", 0.9, "EXPEL raus hay", "((must/should/let/will/time/have|<SHOULD>) ... <EXPEL> out/from/away|clear/drive/throw/chase/sweep/kick/smoke/burn/hound (them|the lot|all of them) ~1 <OUT>|hay que (echar%|matar%|quemar%|expulsar%|exterminar%|colgar%|fusilar%|limpiar%)|qu' on les <EXPEL>|raus aus/mit)"),
+    ("hate", 0.9, "round burn", "(round up every/all/the/them/those/these|burn down? their <HOME>)"),
+    ("hate", 0.9, "CART", "<LOAD> ~5 <CART> ... (<NOT>|one-way/away)"),
+    ("hate", 0.9, "dead", "a/only good ~2 <BE> a dead"),
+    ("hate", 0.9, "dogs", "no % (,|and/or)? no? dogs"),
+    ("hate", 0.8, "HUMAN", "((mistake/wrong/foolish/error/absurd|<NOT>) ... <COUNT> of? ~4 as <HUMAN>|<BE> (not|hardly/barely/never|less than) (really/quite/even)? <HUMAN>)"),
+    ("hate", 0.9, "NATURE", "(<CRIME> ~2 (by/in) their? <NATURE>|in their nature/blood to <CRIME>)"),
+    ("hate", 0.9, "BREED sterilised sterilized breeding reproducing", "((kept/stopped/prevented/barred) from breeding/reproducing|<SHOULD> not/never (breed|be allowed to breed)|be sterilised/sterilized)"),
+    ("hate", 0.8, "LAME", "<LAME> ... (dead weight|left out/to|burden|put down|useless mouths|locked away)"),
+    ("hate", 0.9, "WOMEN KITCHEN", "(<WOMEN> (have no business|do not belong|don't belong|belong in/at/on|should stay/shut/keep|<BE> too stupid/weak/emotional/dumb)|send/put them/her/you/women back to the/their <KITCHEN>)"),
+    ("hate", 0.9, "safe", "(<NOT>) be? safe while/until/as ~8 (left/here/among/remains/lives/remain/live)"),
+    ("hate", 0.9, "belongs belong", "no ~2 belong/belongs in/near/at/among our"),
+    ("hate", 0.9, "SHOULD", "(<DEM>|the/all/every/your/you/their|<PEOPLE>) ~2 <SHOULD> to? all? (be (<KILLED>|wiped out|put down|strung up)|<DIE>)"),
+    ("hate", 0.8, "GAY who", "(two men/women who|men who|<GAY>) ... <SICK>"),
+    ("hate", 0.8, "let", "not let one/any/those/these/a/them ... drink/eat/sit/live/swim/play ... our"),
     # sexually explicit or lewd
-    ("sexual", 0.9, "off|undress|strip", r"\btake (?:your|that|her) (?:blouse|shirt|dress|skirt|bra|clothes|trousers|knickers|top|pants)(?: \w+)? off\b|\btake off (?:your|her|that) (?:blouse|shirt|dress|skirt|bra|clothes|knickers|top|pants)\b|\b(?:undress|strip)(?: off)?,? (?:for (?:us|me)|darling|sweetheart|love)\b"),
-    ("sexual", 0.9, "*body", r"\b(?:show|give|flash) (?:us|me) (?:your|those|them|her) (?:\w+ )?(?:{BODY}|legs|knickers|bra|body)\b|\b(?:nice|great|fine|lovely|cute|sweet|tight|big|with an?|what an?|that|your|her|those) (?:\w+ )?{BODY}\b"),
-    ("sexual", 0.9, "knees|your mouth|your lips|your tongue|pretty mouth|pretty lips|pretty tongue|that mouth|that lips|that tongue", r"\bon your knees\b.* (?:mouth|lips|suck|better use)\b|\bput (?:your|that) (?:pretty )?(?:mouth|lips|tongue) (?:to|on|round|around)\b"),
-    ("sexual", 0.9, "bend", r"\bbend (?:you|her|him|them) over\b"),
-    ("sexual", 0.9, "my lap", r"\b(?:sit|come|hop|climb)\b.* on my lap\b"),
-    ("sexual", 0.8, "naked|nude", r"\b(?:dream(?:t|ed)?|think|thought|fantasi\w+|imagin\w+) (?:of|about)? ?(?:you|her|him) (?:\w+ )?(?:naked|nude)\b|\b(?:see|want|picture) (?:you|her|him) (?:naked|nude)\b"),
-    ("sexual", 0.9, "the sheets|in bed|her bed|your bed|whose bed", r"\b(?:scream|moan|squeal|sound|look|perform)\w*\b.* (?:between the sheets|in bed)\b|\bwhose bed (?:that |the |she )"),
-    ("sexual", 0.9, "on her back|legs open|legs apart|legs spread|her legs|your legs|with her legs", r"\b(?:on her back|her legs|with her legs)\b.* ?(?:open|apart|spread)\b|\blying on her back\b|\b(?:spread|open)s? (?:her|your) legs\b"),
-    ("sexual", 0.8, "get it up", r"\bget it up (?:for|with|any|at)\b"),
-    ("sexual", 0.9, "seeing-to|shag|rogering|a good fuck|seeing to|fuck", r"\bneeds? (?:is )?an? (?:good|proper|hard|right|sound)? ?(?:seeing-to|seeing to|shag|shagging|rogering|fuck|fucking)\b|\bis an? (?:good|proper|hard|right) (?:seeing-to|seeing to|shag|shagging|rogering|fuck|fucking)\b"),
-    ("sexual", 0.9, "button at a time|slept her way|slept his way|slept with the|under the desk|slept your way", r"\bone button at a time\b|\bslept (?:her|his|your) way\b"),
-    ("sexual", 0.8, "show you a hard|show you my|something hard|hard one|show you a|show you something", r"\bshow you (?:a|my|something) (?:hard|big|stiff|long)\b"),
-    ("sexual", 0.9, "suck|blowjob|fuck|blow job", r"\bsuck (?:my|his|me|on)\b|\bblow ?job\b|\b(?:want|like|love|going) to fuck\b"),
-    # German
-    ("abuse", 0.9, "*de", r"\b(?:sie|du|ihr) (?:sind|bist|seid)(?: doch| nur| alle| nichts als| wirklich| und bleiben?)?(?: eine?[nrs]?)?(?: {A_de})* {I_de}\b|\bbleiben (?:ein|eine) (?:{A_de} )*{I_de}\b|\b(?:sie|du|ihr) (?:{A_de} )*{S_de}\b|\b(?:dieser?|dieses|solche?r?|so ein|so eine|was fur ein|was fur eine) (?:{A_de} )*{S_de}\b|, (?:die|der|das|sie|du) (?:{A_de} )*{S_de}\W*$|, {S_de}\W*$"),
-    ("abuse", 0.9, "maul|fresse|klappe|schnauze", r"\b(?:halten? sie|halte?|haltet|stopf\w*)\b.* (?:maul|fresse|schnauze)\b|\bdreckige[sn]? maul\b"),
-    ("abuse", 0.9, "verpiss|fick|leck mich|scheiss auf|lecken sie mich", r"\bverpiss\w*\b|\bfick (?:dich|sie|euch)\b|\bleck(?:en sie)? mich\b|\bscheiss auf (?:dich|sie|euch)\b"),
-    ("abuse", 0.9, "schadel|zahne|genick|fresse|knochen|hals|kopf|beine", r"\b(?:schadel|zahne|genick|fresse|knochen|hals|kopf|beine)\b(?: \w+)? (?:ein|aus|um|ab)?(?:ge)?(?:schlagen|brochen|brechen|hauen|poliert|polieren|treten|umgedreht|umdrehen)\b"),
-    ("abuse", 0.9, "verreck|krepier|aufgehangt|aufhangen|erschossen|vergast|an die wand|erschlagen", r"\b(?:verreck|krepier)\w*\b|\b(?:gehor\w+|soll\w*|muss\w*) .*(?:aufgehangt|erschossen|vergast|erschlagen|an die wand)\b"),
-    ("hate", 0.9, "*dehuman", r"\b(?:sind|ist) (?:alle |nur |doch |nichts als |wie )?(?:ein |eine )?(?:{A_de} )?{D_de}\b|\b(?:dieses|das|solches) (?:\w+ )?(?:pack|gesindel|gesocks|ungeziefer) (?:der|von|aus)\b"),
-    ("hate", 0.9, "wie ratten|wie die ratten|wie karnickel|wie ungeziefer|wie die karnickel|vermehr|sich vermehren", r"\bvermehr\w* sich wie\b|\bsich vermehren wie\b"),
-    ("hate", 0.9, "raus", r"\b(?:muss\w*|soll\w*|gehor\w+) raus aus\b|\braus mit (?:den|dem|diesem|allen)\b"),
-    ("sexual", 0.9, "hochgeschlafen|zieh dich aus|ziehen sie sich aus|titten|zeig uns|mopse|ficken|blas mir|zieh|zeig", r"\bhochgeschlafen\b|\bzieh(?:en sie)? (?:dich|sich) aus\b|\bzeig\w*(?: sie)? (?:uns|mir) (?:mal )?(?:deine|ihre) (?:\w+ )?(?:titten|bruste|mopse|beine)\b|\b(?:deine|ihre|die) titten\b|\bblas mir\b|\bficken\b"),
-    # French
-    ("abuse", 0.9, "*fr", r"\bespeces? d(?:e |')(?:{A_fr} )*{I_fr}\b|\b(?:vous n'etes|tu n'es|il n'est|elle n'est|ce n'est)(?: rien)? qu'(?:un|une) (?:{A_fr} )*{I_fr}\b|\b(?:vous etes|tu es|t'es|c'est) (?:une? |des |vraiment une? )?(?:{A_fr} )*{I_fr}\b|\b(?:pauvre|sale|gros|grosse|bande de|tas de) {I_fr}\b|\b(?:ce|cette|cet|ces) (?:{A_fr} )*{S_fr}\b|, (?:{A_fr} )*{S_fr}\W*$"),
-    ("abuse", 0.9, "gueule", r"\b(?:ferme|fermez) (?:ta|la|votre) (?:\w+ )?gueule\b|\bta gueule\b|\bcass\w+ la gueule\b"),
-    ("abuse", 0.9, "casser|crever|creve|pendre|egorger|etrangler|buter|va te faire|allez vous faire|briser|peter|exploser|tuer|noyer", r"\b(?:te|vous|lui) (?:casser|briser|peter|exploser) (?:les|la|le) (?:dents|jambes|bras|machoire|crane|nez|tete|genoux)\b|\b(?:te|vous) (?:tuer|crever|pendre|buter|egorger|etrangler|noyer)\b|\bva (?:crever|te pendre|te faire)\b|\ballez vous faire\b|\bcreve(?:z)?,? "),
-    ("hate", 0.9, "*dehuman", r"\b(?:sont|est) (?:tous |que |comme )?(?:de la |des |une |un |de )(?:{A_fr} )?{D_fr}\b|\bqu'on les (?:chasse|pende|brule|extermine|expulse|egorge|fusille|noie)\b"),
-    ("hate", 0.9, "comme des rats|comme des lapins|comme des cafards|comme de la vermine|se reproduis|se multipli", r"\bse (?:reproduis|multipli)\w+ comme (?:des|de la)\b"),
-    ("sexual", 0.9, "deshabille|deshabillez|montre-nous|montrez-nous|tes seins|vos seins|nichons|a couche|suce|baiser|montre|seins", r"\bdeshabille(?:z)?[- ](?:toi|vous)\b|\bmontre(?:z)?[- ](?:nous|moi) (?:tes|vos|ton|votre) (?:\w+ )?(?:seins|nichons|fesses|cul|jambes)\b|\b(?:tes|vos) (?:gros |beaux |jolis )?(?:seins|nichons)\b|\ba couche (?:pour|avec .* pour)\b|\bsuce[- ](?:moi|la)\b"),
-    # Spanish
-    ("abuse", 0.9, "*es", r"\b(?:usted|tu|ustedes|vosotros|el|ella)?\b ?(?:es|eres|son|sois)(?: solo| todos| mas que)? (?:un|una|unos|unas) (?:{A_es} )*{I_es}\b|\b(?:pedazo|panda|hatajo) de {I_es}\b|\b(?:hij[oa]s?) de (?:la gran )?puta\b|\b(?:ese|esa|este|esta|esos|esas) (?:{A_es} )*{S_es}\b|, (?:{A_es} )*{S_es}\W*$|\b(?:maldit|put|asqueros)[oa]s? {I_es}\b"),
-    ("abuse", 0.9, "boca|pico", r"\b(?:callate|callese|cierra|cierre|callaos)\b.* (?:puta|maldita|sucia|asquerosa) (?:boca|pico)\b|\bcierra el pico\b"),
-    ("abuse", 0.9, "mierda|por culo|jodan|jodete|por el culo", r"\b(?:vete|vayase|idos|iros|que se vaya) a la mierda\b|\bpor (?:el )?culo\b|\bque (?:te|le|os) jodan\b|\bjodete\b"),
-    ("abuse", 0.9, "dientes|piernas|la cara|matar|colgar|fusilar|ahorcar|muerete|mueras|se muera|ojala|romper|partir|reventar|quebrar", r"\b(?:romper|partir|reventar|quebrar)(?:te|le|os)? (?:los|las|la|el) (?:dientes|piernas|cara|craneo|cabeza|huesos|brazos)\b|\b(?:te|le|os) (?:voy|vamos|van) a (?:matar|romper|partir|reventar|colgar)\b|\bhabria que (?:matar|colgar|fusilar|ahorcar)(?:te|lo|la|los|las|le)?\b|\bojala (?:te|se|os|le|les) (?:muer|ahog|pudr|pudier|revient|cai|estrell|part|mat|atropell|rompa)\w*|\bmuerete\b"),
-    ("hate", 0.9, "*dehuman", r"\b(?:son|es) (?:todos |solo |como |pura )?(?:un[oa]s? )?{D_es}\b|\bhay que (?:echar|matar|quemar|expulsar|exterminar|colgar|fusilar|limpiar)(?:los|las|les)\b"),
-    ("hate", 0.9, "como ratas|como conejos|como cucarachas|como alimanas|se multiplican|se reproducen", r"\bse (?:multiplican|reproducen) como\b"),
-    ("sexual", 0.9, "quitate|tetas|en la cama|ensenanos|desnudate|chupame|follar|quitese", r"\bquit(?:ate|ese) (?:la ropa|la blusa|la falda|el vestido|la camisa)\b|\b(?:ensena|ensene|muestra)\w* (?:las|tus|sus|esas) (?:\w+ )?tetas\b|\b(?:tus|esas|las) tetas\b|\b(?:consiguio|gano|obtuvo|logro|saco)\b.* en la cama\b|\bdesnudate\b|\bchupame\b|\bte follaria\b"),
+    ("sexual", 0.9, "WEAR STRIP zieh ziehen deshabille deshabillez desnudate desnudese", "(take <YOUR>/that/her ~1 <WEAR> ~1 off|take off your/her/that <WEAR>|<STRIP> off? ,? (for us/me|<DEAR>)|zieh/ziehen sie? dich/sich aus|deshabille/deshabillez toi/vous|quitate/quitese <DET>? <YOUR>? <WEAR>|desnudate/desnudese)"),
+    ("sexual", 0.9, "BODY SHOW", "(<SHOW> us/me/uns/mir/nous/moi/nos? ~2 (<YOUR>|those/them/her/las/esas) ~1 (<BODY>|legs/bra/body/beine/jambes/piernas)|(nice/great/fine/lovely/cute/sweet/tight/big/her/those/esas/deine/ihre|what/with a/an|<YOUR>) ~1 <BODY>)"),
+    ("sexual", 0.9, "knees MOUTH lips tongue", "(on your knees ... (<MOUTH>|lips/suck|better use)|put your/that pretty? mouth/lips/tongue to/on/round/around)"),
+    ("sexual", 0.9, "bend", "bend (<YOU>|<THEM>) over"),
+    ("sexual", 0.9, "lap", "sit/come/hop/climb ... on/in my lap"),
+    ("sexual", 0.8, "NAKED", "(dream%|think%|thought|fantasi%|imagin%|see/want/picture|undress%) of/about? (<YOU>|<THEM>) ~1 <NAKED>"),
+    ("sexual", 0.9, "BED", "(scream%/moan%/squeal%/perform%/wild ... (between the sheets|in bed)|whose bed that/the/she/he|consiguio/gano/obtuvo/logro/saco ... en la cama|got/earned/won/owes ... in/on/between her/his/the/whose <BED>)"),
+    ("sexual", 0.9, "back legs", "((on her back|her legs) ... open/apart/spread|lying on her back|spread/open/spreads/opens her/your legs)"),
+    ("sexual", 0.8, "up", "get it up for/with/any/at"),
+    ("sexual", 0.9, "ACT", "(needs/need <BE>? a/an ~1 <ACT>|<BE> a/an good/proper/hard/right/sound <ACT>)"),
+    ("sexual", 0.9, "slept button couche hochgeschlafen", "(slept her/his/your/their way|one/each/every button at/after|a couche pour/avec|hochgeschlafen)"),
+    ("sexual", 0.8, "hard stiff", "show you a/my/something hard/big/stiff/long"),
+    ("sexual", 0.9, "LUST blowjob blow", "(suck/lick my/his/on|blow job|blowjob|want/like/love/going/would to? fuck/shag/screw (<YOU>|<THEM>)|blas mir|ficken|suce moi/la|chupame|te follaria)"),
 ]
 
-# Frames that take the weight away: words mentioned or ruled upon, reported and condemned speech, animals,
-# things. Each is matched on the same clause.
-_FRAMES = re.compile(
-    r"\b(?:the|that|a) (?:word|term|expression|phrase|slur|epithet)s?\b|\b(?:le mot|l'expression|la palabra|la expresion|das wort|der ausdruck|die bezeichnung)\b"
-    r"|\b(?:ruled|found|declared|called|was|is) (?:it |that )?unparliamentary\b|\b(?:was|were|been|be) (?:withdrawn|struck|ruled|censured)\b|\b(?:retire|retiree|retirada|retirado|zuruckgenommen|gerugt)\b"
-    r"|\b(?:condemn|denounc|deplor|reject|regret)\w*\b.* (?:who|those|calling|called|saying|said|words?|remarks?)\b|\bread (?:one|it|them|this) into the record\b"
-    r"|\b(?:letters?|messages?|mails?|e-mails?|posters?|placards?|leaflets?|graffiti|chants?)\b.* (?:telling|saying|calling|reading|told|threaten\w*)\b"
-    r"|\b(?:kennel|pups?|puppies|litter|veterinar\w+|granary|grenier|speicher|granero|sacks|sacs|sacke|sacos|livestock|herd|pest control|portrait|statue|painting|theatre|the play|the novel|the film)\b"
-    r"|\b(?:nobody|no one|no member|never) (?:should|may|must|ought to) (?:be )?(?:call|say|told|tell)\w*\b"
-)
+# What governs a clause from where it ends on, or up to where it stands, as (side, pattern).
+_FRAMES = [
+    # a word that is spoken of
+    ("after", "<WORD> (,|quote|<INS>|<WEAK>|<DEH>|<BAD>|<DET>|was/is/for/such/like/that)"),
+    ("before", "<RULED>"),
+    ("before", "into the record"),
+    # speech, belief or writing of others, and what is blamed
+    ("after", "(<THEY>|<THEM>|<NOT>|<BLAME>|<WRIT>|who/those/anyone/whoever/having/was/were/been/that/have/has/a/the %) ~3 <SAY> ~2 (that/dass/que|:|,|quote|<THEY>|<THEM>|<YOU>|<DET>|<BE>|me/us/i|<INS>)"),
+    ("after", "(<THEY>|<THEM>) (<SAY>) (that/dass/que|:|,|quote|me/us|<THEY>|<YOU>)"),
+    ("after", "<BLAME> ~4 (who/those/calling/saying/words/word/remarks/that|to say)"),
+    ("after", "<WRIT> ~4 (<SAY>|reading/threatening/threatened)"),
+    # what is denied, forbidden or promised not to be
+    ("after", "(<MODAL>|do/does/did/have/has/had|don't/doesn't/didn't/won't/wouldn't/shan't) <NOT> ~3 (?=<KILL>|<DIE>|<HURT>|<KILLED>|<INS>|<WEAK>|<DEH>|<SAY>)"),
+    ("after", "(<BE>) <NOT> ~3 (?=<INS>|<WEAK>|<DEH>)"),
+    ("after", "(won't/wouldn't/shan't/don't/doesn't/didn't/isn't/aren't/wasn't/weren't) ~3 (?=<KILL>|<DIE>|<HURT>|<KILLED>|<INS>|<WEAK>|<DEH>)"),
+    ("after", "(nobody/niemand/personne/nadie/none|no one|no %) (of %)? (<MODAL>|<BE>) ~3 (?=<KILL>|<HURT>|<SAY>|<INS>|<DEH>|<DIE>)"),
+    ("whole", "hope/wish ~5 <NOT> ~2 (<DIE>|<HURT>|<KILLED>)"),
+]
+
+_ATOM = re.compile(r"\(\?=|\(|\)[?*+]?|\||<[A-Z]+>(?:/[^\s()|]+)?[?*+]?|~\d+|\.\.\.|[$^]|[^\s()|]+")
+
+
+def _word(alternatives: str) -> str:
+    """One token that is one of some words; a class may stand among them."""
+    forms = []
+    for w in alternatives.split("/"):
+        if w.startswith("<"):
+            forms.append(rf"[^ |]*\|(?:[A-Z]+\|)*{w[1:-1]}")
+        elif w == "%":
+            forms.append(r"[^\W_][^ |]*")
+        else:
+            forms.append(re.escape(w.rstrip("%")) + (r"[^ |]*" if w.endswith("%") else ""))
+    return r" (?:" + "|".join(forms) + r")\|[^ ]*"
+
+
+def expression(rule: str) -> str:
+    """The regular expression of a rule over annotated tokens: a clause is " word|CLASS|CLASS|" for each of its tokens."""
+    for _ in range(3):
+        rule = re.sub(r"\{([a-z]+)\}", lambda m: _PARTS[m[1]], rule)
+    out = []
+    for atom in _ATOM.findall(rule):
+        if atom in ("(?=", "|", "^"):
+            out.append(atom)
+        elif atom == "(":
+            out.append("(?:")
+        elif atom[0] == ")":
+            out.append(atom)
+        elif atom == "$":
+            out.append(r"(?=(?: [^\w ]+\|)*$)")
+        elif atom[0] == "~":
+            out.append(rf"(?: [^\W_][^ ]*){{0,{atom[1:]}}}?")
+        elif atom == "...":
+            out.append(r"(?: [^ ]+)*?")
+        else:
+            suffix = atom[-1] if atom[-1] in "?*+" and len(atom) > 1 else ""
+            out.append(f"(?:{_word(atom[: len(atom) - len(suffix)])}){suffix}")
+    return "".join(out)
+
+
 _COMMON = {"en": re.compile(r"\b(?:the|of|and|to|in)\b"), "de": re.compile(r"\b(?:der|die|das|und|ein|sie)\b"), "fr": re.compile(r"\b(?:les?|des?|et|une?|sont)\b"), "es": re.compile(r"\b(?:el|los|las|y|una?|son|es)\b")}
 _BREAK = re.compile(r"[.!?…。！？]+(?=\s|[\"'»”)\]]|$)|[\n\r()\[\]]+|\s[–—-]\s")
 _APART = re.compile(r"(?<![\w])\w(?:[ ._*-]\w){2,}(?![\w])")
@@ -183,6 +291,11 @@ _DIGITS = re.compile(r"(?<!\w)(?=[\w@$!+]*[0-9@$])(?=[\w@$!+]*[^\W\d_])[\w@$!+]{
 _REPEATED = re.compile(r"\b\w*(\w)\1{2,}\w*\b")
 
 
+_TOKEN = re.compile(r"[^\W_]+(?:['-][^\W_]+)*'?|[,:;!?]")
+_JOINED = re.compile(r"-(moi|toi|nous|vous|la|le|les|lui)\b")
+_ELIDED = re.compile(r"\b(qu|n|d|l|j|t|s|c|m)'(?=\w)")
+
+
 class Grammar:
     """The compiled transducers of a worker."""
 
@@ -193,24 +306,27 @@ class Grammar:
         self.by_size: dict[int, list[str]] = {}
         for w in self.vocabulary:
             self.by_size.setdefault(len(w), []).append(w)
-        self.rules = []
-        triggers: dict[str, set[int]] = {}
-        for k, (category, weight, on, pattern) in enumerate(_RULES):
-            self.rules.append((category, weight, re.compile(re.sub(r"\{([A-Za-z_]+)\}", lambda m: _P[m[1]], pattern))))
-            for t in self._triggers(on):
-                triggers.setdefault(t, set()).add(k)
+        self.tags = {w: "".join(f"{t}|" for t in sorted(tags)) for w, tags in _tags().items()}
+        of_class: dict[str, list[str]] = {}
+        for w, tags in _tags().items():
+            for t in tags:
+                of_class.setdefault(t, []).append(w)
+        self.rules = [(category, weight, re.compile(expression(pattern))) for category, weight, _, pattern in _RULES]
+        self.frames = [(side, re.compile(expression(pattern))) for side, pattern in _FRAMES]
+        triggers: dict[str, tuple[set[int], set[int]]] = {}  # rules of the whole word, rules of the beginning
+        for k, (_, _, on, _) in enumerate(_RULES):
+            for t in on.split():
+                for w in of_class[t] if t.isupper() else [t]:
+                    triggers.setdefault(w.rstrip("%"), (set(), set()))[w.endswith("%")].add(k)
         self.auto = ahocorasick.Automaton()
-        for t, ks in triggers.items():
-            self.auto.add_word(t, (len(t), tuple(ks)))
+        for w, (whole, begun) in triggers.items():
+            self.auto.add_word(w, (len(w), tuple(whole | begun), tuple(begun)))
         self.auto.make_automaton()
 
-    @staticmethod
-    def _triggers(on: str) -> list[str]:
-        if on in ("*en", "*de", "*fr", "*es"):
-            return (STRONG[on[1:]] + " " + WEAK[on[1:]]).split()
-        if on == "*dehuman":
-            return [w for v in DEHUMAN.values() for w in v.split()] + ["qu'on les", "hay que", "gesindel", "gesocks"]
-        return [*BODY.split(), *(f"{v} {w}" for v in ("show", "give", "flash") for w in ("us", "me"))] if on == "*body" else on.split("|")
+    def annotated(self, clause: str) -> str:
+        """The tokens of a clause with their classes."""
+        get = self.tags.get
+        return "".join(f" {w}|{get(w, '')}" for w in _TOKEN.findall(_ELIDED.sub(r"\1' ", _JOINED.sub(r" \1", clause)).replace('"', " quote ")))
 
     def fold(self, text: str) -> str:
         """Plain lower case without disguises."""
@@ -258,40 +374,56 @@ class Grammar:
         return m[0]
 
     def matches(self, text: str | None) -> list[tuple[str, float, str]]:
-        """(category, weight, clause) of every matched rule, the weight after the frame of the clause."""
+        """(category, weight, clause) of every matched rule, the weight after what governs the match."""
         if not text:
             return []
         t = self.fold(text)
         wanted: dict[tuple[int, int], set[int]] = {}
         ends: list[int] | None = None
-        for end, (size, ks) in self.auto.iter(t):
-            # triggers begin at a word's edge and may go on, as inflected forms do; the patterns see to where words end
-            if end >= size and t[end - size].isalnum():
+        for end, (size, whole, begun) in self.auto.iter(t):
+            # triggers are whole words or, where marked, beginnings
+            ks = begun if end + 1 < len(t) and t[end + 1].isalnum() else whole
+            if not ks or end >= size and t[end - size].isalnum():
                 continue
             if ends is None:
                 marks = [m.span() for m in _BREAK.finditer(t)]
                 ends = [e for _, e in marks] + [len(t)]
-            lo, hi = 0, len(ends) - 1
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if ends[mid] > end:
-                    hi = mid
-                else:
-                    lo = mid + 1
+            lo = bisect_right(ends, end)
             wanted.setdefault((ends[lo - 1] if lo else 0, ends[lo]), set()).update(ks)
         out = []
         for (a, b), ks in wanted.items():
-            clause = " ".join(t[a:b].split()).strip(" \"'«»“”„-–—()[]")
-            bare = re.sub(r"[\s.!?…\"'»”)\]]+$", "", clause)
-            framed = None
+            clause = " ".join(t[a:b].split()).strip(" '«»“”„-–—()[]")
+            tokens = self.annotated(clause)
+            governed: list[tuple[int, int]] | None = None
             for k in sorted(ks):
                 category, weight, pattern = self.rules[k]
-                if pattern.search(bare):
-                    framed = _FRAMES.search(bare) is not None if framed is None else framed
-                    out.append((category, weight * (0.2 if framed else 1.0), clause))
+                spans = [m.span() for m in pattern.finditer(tokens)]
+                if not spans:
+                    continue
+                if governed is None:
+                    governed = self.governed(tokens)
+                free = any(not any(lo <= x + (y - x) // 2 < hi or lo <= y - 1 < hi for lo, hi in governed) for x, y in spans)
+                out.append((category, weight if free else weight * 0.2, clause))
+        return out
+
+    def governed(self, tokens: str) -> list[tuple[int, int]]:
+        """Spans under negation, report, mention or ruling; each ends with its clause or at but and its like."""
+        out = []
+        for side, pattern in self.frames:
+            for m in pattern.finditer(tokens):
+                if side == "whole":
+                    out.append((0, len(tokens)))
+                elif side == "before":
+                    out.append((0, m.end()))
+                else:
+                    stop = _TURN.search(tokens, m.end())
+                    out.append((m.start(), stop.start() if stop else len(tokens)))
         return out
 
 
+_TURN = re.compile(r" (?:;|but|aber|sondern|mais|pero|sino|yet|however)\|")
+
+
 def score_of(found: list[tuple[str, float, str]]) -> float:
     """The chance that one of the matches is right, taking the best of each clause as independent."""
     best: dict[str, float] = {}

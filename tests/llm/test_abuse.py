@@ -45,41 +45,58 @@ def test_table_and_rates(spark):
     assert abuse.rates(abuse.score(df.limit(0))).count() == 0
 
 
-def drawn(tree, rng):
-    """A random string that a parsed pattern stands for; gaps stay empty and optional spaces are set."""
-    out = ""
-    for op, av in tree:
-        op = str(op)
-        if op == "LITERAL":
-            out += chr(av)
-        elif op == "IN":
-            kind, v = rng.choice([x for x in av if str(x[0]) != "NEGATE"])
-            out += chr(v) if str(kind) == "LITERAL" else "x" if str(v) == "CATEGORY_WORD" else " "
-        elif op == "BRANCH":
-            out += drawn(rng.choice(av[1]), rng)
-        elif op == "SUBPATTERN":
-            out += drawn(av[3], rng)
-        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
-            least, _, what = av
-            if str(what[0][0]) != "ANY":
-                out += "".join(drawn(what, rng) for _ in range(1 if drawn(what, rng) == " " else max(least, rng.randint(0, 1))))
-    return out
-
-
-def test_every_form_of_every_rule_fires():
+def drawn(atoms, words, rng):
+    """A random token sequence that a rule stands for; consumes its atoms up to the closing bracket."""
+    choices, now, ahead = [], [], False
+    while atoms:
+        atom = atoms.pop(0)
+        if atom in ("(", "(?="):
+            inner, suffix = drawn(atoms, words, rng)
+            if suffix not in ("?", "*") or rng.random() < 0.5:
+                now += inner
+        elif atom == "|":
+            choices.append(now)
+            now = []
+        elif atom[0] == ")":
+            return rng.choice([*choices, now]), atom[1:]
+        elif atom[0] not in "^$~." and not (atom[-1] in "?*" and rng.random() < 0.5):
+            w = rng.choice(atom.rstrip("?*+").split("/"))
+            now.append(rng.choice(words[w[1:-1]]) if w[0] == "<" else "norford" if w == "%" else w.rstrip("%"))
+    return rng.choice([*choices, now]), ""
+
+
+def test_every_form_of_every_rule_fires(grammar):
     import random
-    from re import _parser
-
-    rng, g, dead = random.Random(1), abuse.Grammar(), set()
-    for (category, _, on, _), (_, weight, rx) in zip(abuse._RULES, g.rules):
-        tree = _parser.parse(rx.pattern)
-        for _ in range(400):
-            form = " ".join(drawn(tree, rng).split()).rstrip(" .!?")
-            if g.fold(form) == form and rx.search(form) and not any(c == category and w in (weight, weight * 0.2) for c, w, _ in g.matches(form)):
-                dead.add((on, form))
+
+    rng, dead = random.Random(1), set()
+    words = {}
+    for w, tags in abuse._tags().items():
+        for t in tags:
+            words.setdefault(t, []).append(w)
+    for (category, weight, on, rule), (_, _, rx) in zip(abuse._RULES, grammar.rules):
+        for name, part in [*abuse._PARTS.items()] * 2:
+            rule = rule.replace("{" + name + "}", part)
+        seen = 0
+        for _ in range(300):
+            form = " ".join(drawn(abuse._ATOM.findall(rule), words, rng)[0]).replace(" ,", ",")
+            if form[-1:] != "'" and grammar.fold(form) == form and rx.search(grammar.annotated(form)):
+                seen += 1
+                if not any(c == category for c, _, _ in grammar.matches(form)):
+                    dead.add((on, form))
+        assert seen > 20, rule
     assert not dead
 
 
+@pytest.mark.parametrize("text", ["I shall knife you tonight.", "Your lot deserve to be gassed, every one of you.", "We ought to string up the whole family.", "You people are a plague on this land.", "You are a stinking bastard and I saw you in this theatre.", "He is a complete moron.", "They are vermin, and I do not care who hears it.", "Tu es un connard.", "Déshabillez-vous, ma belle.", "Sie sind ein Idiot, aber das wissen wir.", "The clerk said nothing, but you are an idiot."])
+def test_paraphrases(grammar, text):
+    assert abuse.score_of(grammar.matches(text)) >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["I will never kill you.", "We will not hang them.", "We must not shoot them.", "It is wrong to say that they are vermin.", "He told me that I was an idiot.", "She said: you are an idiot.", "I never said you are an idiot.", "I hope that you do not die.", "Nobody should call them parasites.", "The letter said I should be shot.", "You are not an idiot.", "Er sagte, Sie sind ein Idiot.", "Il a dit que tu es un idiot.", "Nunca dije que usted es un idiota.", "He was called a moron by the press.", "We must hang the portrait of the founder in the hall.", "We shall kill this bill."])
+def test_negation_and_report(grammar, text):
+    assert abuse.score_of(grammar.matches(text)) < abuse.THRESHOLD
+
+
 def test_inflected_short_words_fire():
     g = abuse.Grammar()
     for text in ("All those people should be hanged", "She needs a proper fucking", "She needs a shagging", "Sie sind alle Affen", "Ihr seid Huren", "Sie sind Lumpen"):
