@@ -220,7 +220,7 @@ _RULES: list[tuple[str, float, str, str]] = [
     ("sexual", 0.8, "up", "get it up for/with/any/at"),
     ("sexual", 0.9, "ACT", "(needs/need <BE>? a/an ~1 <ACT>|<BE> a/an good/proper/hard/right/sound <ACT>)"),
     ("sexual", 0.9, "slept button couche hochgeschlafen", "(slept her/his/your/their way|one/each/every button at/after|a couche pour/avec|hochgeschlafen)"),
-    ("sexual", 0.8, "hard stiff", "show you a/my/something hard/big/stiff/long"),
+    ("sexual", 0.8, "hard stiff", "show you a/my/something hard/stiff"),
     ("sexual", 0.9, "LUST blowjob blow", "(suck/lick my/his/on|blow job|blowjob|want/like/love/going/would to? fuck/shag/screw (<YOU>|<THEM>)|blas mir|ficken|suce moi/la|chupame|te follaria)"),
 ]
 

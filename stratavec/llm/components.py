@@ -25,15 +25,15 @@ def follow(labels: DataFrame, steps: list[DataFrame], column: str = "c") -> Data
     return labels
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", kind: str = "long") -> DataFrame:
     """``(v, root)``: every vertex of an edge with the smallest vertex of its component.
 
     In each round a vertex points to the neighbour (or itself) with the smallest hash, pointers are followed four times and
     edges inside one label fall away; the expected number of rounds grows with the logarithm of the longest path. Rounds
     end when no edge is left, and each is checkpointed. Self-loops only name a vertex; null ends are left out; repeated
-    edges don't matter.
+    edges don't matter. Vertices are of the type ``kind``, which must have an order.
     """
-    pairs = edges.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).filter("x is not null and y is not null")
+    pairs = edges.select(F.col(a).cast(kind).alias("x"), F.col(b).cast(kind).alias("y")).filter("x is not null and y is not null")
     labels = pairs.select(F.explode(F.array("x", "y")).alias("v")).distinct().withColumn("c", F.col("v"))
     rest = cut(pairs.filter("x <> y").distinct())
     steps: list[DataFrame] = []

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavec.llm.components import components
@@ -119,6 +119,9 @@ def _sketch(df: DataFrame, width: int, least_words: int, bits: int) -> np.ndarra
     return out
 
 
+HOT = 4_096  #: groups of one shingle that meet in one task; the pairs of more are spread by a salt
+FEW = 1 << 20  #: keys that are broadcast; more of them are joined by a shuffle
+BITS = (22, 27)  #: least and most bits of the sketch, which holds a byte for each value of them
 _STEP = 24  # every so many shingles, a partner must meet one more shingle of the prefix
 
 
@@ -144,7 +147,15 @@ def _ordered(texts: list[str | None], common: np.ndarray, width: int, least_word
 
 
 def _class_of(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return _mix(np.add.reduceat(_mix(h ^ np.uint64(0xD6E8FEB86659FD93)), first) + n.astype(np.uint64) * _M1)
+    """128-bit names of whole sets, as pairs of two independent sums over the shingles."""
+    parts = [_mix(np.add.reduceat(_mix(h ^ np.uint64(salt)), first) + n.astype(np.uint64) * _M1) for salt in (0xD6E8FEB86659FD93, 0x2545F4914F6CDD1D)]
+    return np.stack(parts, axis=1)
+
+
+def _names(cls: np.ndarray) -> pa.Array:
+    """Names as an array of 16 bytes each."""
+    ends = np.arange(len(cls) + 1, dtype=np.int32) * 16
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cls), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(cls))])
 
 
 _SIGN = 8  # words of 64 bits in a signature
@@ -158,7 +169,7 @@ def _sets(df: DataFrame, counts, width: int, least_words: int, t: float, bits: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             rows, first, n, h, _ = _ordered(b.column(2).to_pylist(), counts.value, width, least_words, bits)
             if not len(rows):
@@ -168,15 +179,15 @@ def _sets(df: DataFrame, counts, width: int, least_words: int, t: float, bits: i
             grp, _ = _group_of(h, first, n, of, t)
             bit = (_mix(h ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(55)).astype(np.int64)
             parity = np.bincount(of * (64 * _SIGN) + bit, minlength=len(rows) * 64 * _SIGN).astype(np.uint8) & 1
-            fresh = np.array([c not in seen and not seen.add(c) for c in cls.tolist()], bool)
+            fresh = np.array([c not in seen and not seen.add(c) for c in map(tuple, cls.tolist())], bool)
             sig = np.packbits(parity.reshape(len(rows), -1)[fresh], axis=1, bitorder="little").view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.where(fresh, _SIGN, 0))])
             sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sig.reshape(-1)), mask=pa.array(~fresh))
             at = pa.array(rows)
-            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(grp.view(np.int64)), pa.array(cls.view(np.int64)), pa.array(n.astype(np.int32)), sigs]
+            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(grp.view(np.int64)), _names(cls), pa.array(n.astype(np.int32)), sigs]
             yield pa.RecordBatch.from_arrays(cols, names=["_key", "_tag", "grp", "cls", "n", "sig"])
 
-    return df.mapInArrow(run, "_key bigint, _tag bigint, grp bigint, cls bigint, n int, sig array<bigint>")
+    return df.mapInArrow(run, "_key bigint, _tag bigint, grp bigint, cls binary, n int, sig array<bigint>")
 
 
 def _group_of(h: np.ndarray, first: np.ndarray, n: np.ndarray, of: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -217,9 +228,9 @@ def _full(df: DataFrame, counts, width: int, least_words: int, bits: int) -> Dat
             rows, first, n, h, _ = _ordered(b.column(0).to_pylist(), counts.value, width, least_words, bits)
             if len(rows):
                 toks = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(h)]]), pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(_class_of(h, first, n).view(np.int64)), toks], names=["cls", "toks"])
+                yield pa.RecordBatch.from_arrays([_names(_class_of(h, first, n)), toks], names=["cls", "toks"])
 
-    return df.select("_text").mapInArrow(run, "cls bigint, toks array<bigint>")
+    return df.select("_text").mapInArrow(run, "cls binary, toks array<bigint>")
 
 
 def _need(na: Column, nb: Column, t: float) -> Column:
@@ -230,13 +241,17 @@ def _need(na: Column, nb: Column, t: float) -> Column:
 class NearDuplicates:
     """The join of one table of texts: rows by class, and the links between classes."""
 
-    def __init__(self, df: DataFrame, key: str, text: str, tag: Column | None = None, width: int = 5, t: float = 0.8, least_words: int = 1, bits: int = 25):
-        """``tag``: rows of equal tag never form a pair. Null keys, null texts and texts under ``least_words`` words or ``width`` words are left out."""
+    def __init__(self, df: DataFrame, key: str, text: str, tag: Column | None = None, width: int = 5, t: float = 0.8, least_words: int = 1, bits: int | None = None):
+        """``bits``: size of the sketch of shingle counts, by default after the length of all texts. ``tag``: rows of equal tag never form a pair. Null keys, null texts and texts under ``least_words`` words or ``width`` words are left out."""
         if not 0 < t <= 1:
             raise ValueError("the similarity must lie in (0, 1]")
         spark = df.sparkSession
         base = df.select(F.col(f"`{key}`").cast("long").alias("_key"), (tag if tag is not None else F.lit(None)).cast("long").alias("_tag"), F.col(f"`{text}`").alias("_text")).filter("_key is not null and _text is not null")
-        counts = spark.sparkContext.broadcast(_sketch(base, width, least_words, bits))  # 2^bits bytes
+        if bits is None:
+            # about two places a shingle: words have some six letters; the size changes the cost alone, not the result
+            letters = base.agg(F.sum(F.length("_text"))).first()[0] or 0
+            bits = min(max(BITS[0], int(letters // 3).bit_length()), BITS[1])
+        counts = spark.sparkContext.broadcast(_sketch(base, width, least_words, bits))  # 2^bits bytes, 128 MB at most
         self.t = t
         self._base, self._how = base, (counts, width, least_words, bits)
         self.sets = cut(_sets(base, counts, width, least_words, t, bits))
@@ -253,22 +268,30 @@ class NearDuplicates:
         t = self.t
         counts, width, least_words, bits = self._how
         posts = _postings(self._base, counts, width, least_words, t, bits).repartition("tok").dropDuplicates(["tok", "grp"])
-        x, y = posts.alias("x"), posts.alias("y")
+        posts = posts.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("tok")))
         nx, ny, px, py = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
         more = F.floor(nx / _STEP)  # x is the smaller set, so both prefixes are long enough for this many more
         smaller = (nx < ny) | ((nx == ny) & (F.col("x.grp") < F.col("y.grp")))
         indexed = px < nx - F.ceil(2 * t / (1 + t) * nx - 1e-9) + 1 + more
         reach = F.least(nx - px, ny - py) + more >= _need(nx, ny, t)
-        hits = x.join(y, (F.col("x.tok") == F.col("y.tok")) & smaller & indexed & (nx >= t * ny - 1e-9) & reach)
-        met = hits.select(F.col("x.grp").alias("gx"), F.col("y.grp").alias("gy"), more.alias("more")).groupBy("gx", "gy").agg(F.count(F.lit(1)).alias("k"), F.max("more").alias("more"))
+        passed = smaller & indexed & (nx >= t * ny - 1e-9) & reach
+        cold, hot = posts.filter(F.col("m") <= HOT), posts.filter(F.col("m") > HOT)
+        rare = cold.alias("x").join(cold.alias("y"), (F.col("x.tok") == F.col("y.tok")) & passed)
+        # a shingle of many groups: one side is dealt out by a salt, the other stands at every salt
+        salts = F.ceil(F.col("m") / HOT)
+        dealt = hot.withColumn("s", F.pmod(F.col("grp"), salts))
+        every = hot.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+        common = every.alias("x").join(dealt.alias("y"), (F.col("x.tok") == F.col("y.tok")) & (F.col("x.s") == F.col("y.s")) & passed)
+        keep = (F.col("x.grp").alias("gx"), F.col("y.grp").alias("gy"), more.alias("more"))
+        hits = rare.select(*keep).union(common.select(*keep))
+        met = hits.groupBy("gx", "gy").agg(F.count(F.lit(1)).alias("k"), F.max("more").alias("more"))
         return met.filter("k > more").select(F.least("gx", "gy").alias("ga"), F.greatest("gx", "gy").alias("gb"))
 
     def links(self) -> DataFrame:
         """(ca, cb, similarity), ca < cb: all pairs of different classes with similarity t or more.
 
         Pairs that their signatures rule out (shared shingles are at most (na + nb - differing bits) / 2) go first; whole
-        sets are then made of the texts of the remaining classes only. Which rows these are is known by 2^20 buckets of
-        keys, so what is broadcast has a fixed size.
+        sets are then made of one text of each remaining class only.
         """
         t = self.t
         c = cut(self.classes())
@@ -282,11 +305,13 @@ class NearDuplicates:
         inner = within("_a").join(within("_b"), (F.col("grp_a") == F.col("grp_b")) & (F.col("cls_a") < F.col("cls_b"))).filter(maybe & sized).select(*keep)
         outer = self.group_pairs().join(side("_a"), F.col("ga") == F.col("grp_a")).join(side("_b"), F.col("gb") == F.col("grp_b")).filter(maybe & sized).select(*keep)
         pairs = cut(outer.union(inner))
-        bucket = lambda k: F.pmod(k, F.lit(1 << 20))
-        wanted = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("k")).select(bucket(F.col("k")).alias("w")).distinct()  # at most 2^20 rows
-        texts = self._base.join(F.broadcast(wanted), bucket(F.col("_key")) == F.col("w"), "left_semi")
+        wanted = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("k")).distinct()
+        if wanted.count() <= FEW:
+            wanted = F.broadcast(wanted)
+        texts = self._base.join(wanted, F.col("_key") == F.col("k"), "left_semi")
         counts, width, least_words, bits = self._how
-        whole = _full(texts, counts, width, least_words, bits)  # a repeated row repeats pairs, which are made distinct below
+        # one set per class, however often its row is repeated
+        whole = _full(texts, counts, width, least_words, bits).repartition("cls").dropDuplicates(["cls"])
         a, b = whole.select(F.col("cls").alias("cls_a"), F.col("toks").alias("ta")), whole.select(F.col("cls").alias("cls_b"), F.col("toks").alias("tb"))
         met = pairs.select("cls_a", "cls_b").join(a, "cls_a").join(b, "cls_b").select("cls_a", "cls_b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("k"))
         sim = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
@@ -311,7 +336,7 @@ class NearDuplicates:
         """
         links = cut(self.links().select("ca", "cb"))
         degree = links.select(F.explode(F.array("ca", "cb")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-        roots = components(links, "ca", "cb").withColumnsRenamed({"v": "cls"})
+        roots = components(links, "ca", "cb", "binary").withColumnsRenamed({"v": "cls"})
         rep = self.members.groupBy("cls").agg(F.min("_key").alias("class_rep"))
         per = rep.join(roots, "cls", "left").join(degree, "cls", "left").select("cls", "class_rep", F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
         group = per.groupBy("root").agg(F.min("class_rep").alias("group_rep"))

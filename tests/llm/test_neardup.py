@@ -71,3 +71,25 @@ def test_components_of_a_path(spark):
     got = {r.v: r.root for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(201)}, 500: 500, 501: 500, 700: 700}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hot_shingles_and_many_copies(spark, monkeypatch):
+    from stratavec.llm import neardup
+
+    monkeypatch.setattr(neardup, "HOT", 16)
+    rnd = random.Random(5)
+    common = " ".join(f"c{k}" for k in range(12))
+    texts = {}
+    for k in range(120):  # a phrase in every text, and groups of close texts
+        if k % 4 == 0:
+            own = [f"w{rnd.randint(0, 400)}" for _ in range(14)]
+        texts[k] = common + " " + " ".join(own[: 14 - k % 4])
+    df = spark.createDataFrame([*texts.items()], "k long, t string").repartition(4)
+    want = brute(texts, 3, 0.5, 1)
+    for few in (1 << 20, 1):  # keys broadcast or joined by a shuffle
+        monkeypatch.setattr(neardup, "FEW", few)
+        assert {tuple(r) for r in NearDuplicates(df, "k", "t", width=3, t=0.5, bits=12).pairs().collect()} == want
+    copies = spark.createDataFrame([(1000 + k, texts[0]) for k in range(10_000)] + [(1, texts[1]), (50, texts[50])], "k long, t string")
+    got = NearDuplicates(copies, "k", "t", width=3, t=0.5).groups().groupBy("class_rep", "group_rep", "n_links").count().collect()
+    close = (0, 1) in want
+    assert {(r.class_rep, r["count"]) for r in got} == {(1000, 10_000), (1, 1), (50, 1)} and close and {r.group_rep for r in got if r.class_rep != 50} == {1}
