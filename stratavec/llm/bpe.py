@@ -1,8 +1,8 @@
 """Byte-level BPE: vocabulary, pre-splitting, exact counts by automaton and exact ids by corpus-level merge replay.
 
 Both encoders work on word types. A text is cut at single spaces into chunks, the split pattern is applied once per
-distinct chunk, and a whole block of texts (an Arrow batch) shares one table of chunks, so the cost of the merges follows
-the vocabulary and not the text.
+distinct chunk, and all blocks of texts (Arrow batches) of a worker share one table of chunks and words, so the cost of the
+merges follows the vocabulary and not the text.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ VOCABULARY = "byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+KEPT = 2_000_000  #: words or token pairs that a worker remembers; beyond it, it starts anew
+
+
 def _byte_letters() -> dict[str, int]:
     """The letters by which vocabulary files write bytes: printable Latin-1 stands for itself, the rest follows from 256."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -117,6 +120,8 @@ class Counter:
         """Whether the encoding of the bytes of a and b is just a, b: no merge across the seam comes before its sides' own."""
         got = self.fits.get((a, b))
         if got is None:
+            if len(self.fits) > KEPT:
+                self.fits.clear()
             got = self.fits[(a, b)] = self._compatible(a, b)
         return got
 
@@ -155,7 +160,7 @@ class Counter:
         n = self.known.get(chunk)
         if n is None:
             n = sum(map(self.word, self.split.words(chunk)))
-            if len(self.known) > 2_000_000:
+            if len(self.known) > KEPT:
                 self.known.clear()
             if len(chunk) < 200:
                 self.known[chunk] = n
@@ -236,23 +241,50 @@ def take_lists(values: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np
 
 
 class Encoder:
-    """Ids of a block of texts; texts may be null."""
+    """Ids of blocks of texts; texts may be null. Words stay known from block to block, so each is merged once."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.split = vocabulary, Splitter()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.chunks: dict[str, list[int]] = {}
+        self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        """Replay the merges over words met for the first time and add their ids to those known."""
+        if new:
+            ids, offsets = replay(new, self.v)
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
+            self.ids = np.concatenate([self.ids, ids])
 
     def block(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of the texts: distinct chunks, their distinct words, one replay, then look-ups only."""
-        chunk_ids: dict[str, int] = {}
-        number = chunk_ids.setdefault
-        sequences = [[number(c, len(chunk_ids)) for c in self.split.chunks(t)] if t else [] for t in texts]
-        word_ids: dict[str, int] = {}
-        chunk_words = [[word_ids.setdefault(w, len(word_ids)) for w in self.split.words(c)] for c in chunk_ids]
-        ids, offsets = replay([*word_ids], self.v)
-        flat = np.fromiter(chain.from_iterable(chunk_words), np.int64)
-        per_chunk = np.concatenate([[0], np.cumsum([len(w) for w in chunk_words])]).astype(np.int64)
-        chunk_values = take_lists(ids, offsets, flat)
-        sizes = offsets[flat + 1] - offsets[flat]
+        """(ids, offsets) of the texts: distinct chunks, their distinct words, one replay of the new ones, then look-ups only."""
+        if len(self.words) > KEPT or len(self.chunks) > KEPT:
+            self._forget()
+        numbers: dict[str, int] = {}
+        number = numbers.setdefault
+        sequences = [[number(c, len(numbers)) for c in self.split.chunks(t)] if t else [] for t in texts]
+        words, chunks, new, parts = self.words, self.chunks, [], []
+        for c in numbers:
+            slots = chunks.get(c)
+            if slots is None:
+                slots = []
+                for w in self.split.words(c):
+                    slot = words.get(w)
+                    if slot is None:
+                        slot = words[w] = len(words)
+                        new.append(w)
+                    slots.append(slot)
+                if len(c) < 200:
+                    chunks[c] = slots
+            parts.append(slots)
+        self._learn(new)
+        flat = np.fromiter(chain.from_iterable(parts), np.int64)
+        per_chunk = np.concatenate([[0], np.cumsum([len(w) for w in parts])]).astype(np.int64)
+        chunk_values = take_lists(self.ids, self.offsets, flat)
+        sizes = self.offsets[flat + 1] - self.offsets[flat]
         chunk_offsets = np.concatenate([[0], np.cumsum(sizes)])[per_chunk]
         which = np.fromiter(chain.from_iterable(sequences), np.int64)
         per_text = np.concatenate([[0], np.cumsum([len(s) for s in sequences])]).astype(np.int64)

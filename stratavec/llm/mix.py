@@ -57,9 +57,9 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None,
 
     Documents without source, without tokens (null or empty text) or of a source without target stay out. A repeated row
     (same doc_id) counts once. ``targets`` (source, target_share, max_repeats): null or non-positive shares stay out, a
-    null cap is 1, a source named twice has its shares added and the smaller cap. Empty tables give an empty mix.
+    null cap is 1, a repeated row counts once, a source named twice has its shares added and the smaller cap. Empty tables give an empty mix.
     """
-    goal = [tuple(r) for r in targets.groupBy("source").agg(F.sum("target_share"), F.min("max_repeats")).limit(MAX_SOURCES + 1).collect()]
+    goal = [tuple(r) for r in targets.select("source", "target_share", "max_repeats").distinct().groupBy("source").agg(F.sum("target_share"), F.min("max_repeats")).limit(MAX_SOURCES + 1).collect()]
     if len(goal) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} target sources")
     named = [s for s, *_ in goal if s is not None]
@@ -86,7 +86,7 @@ def reached_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: ``(source, target_share, max_repeats, n_documents, n_uses, max_uses, n_tokens, actual_share)``."""
     per_doc = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("u"), F.sum("n_tokens").alias("t"))
     per = per_doc.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("u").alias("n_uses"), F.max("u").alias("max_uses"), F.sum("t").alias("n_tokens"))
-    goal = targets.filter("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
+    goal = targets.filter("source is not null").select("source", "target_share", "max_repeats").distinct().groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     out = goal.join(per, "source", "left").fillna(0, ["n_documents", "n_uses", "max_uses", "n_tokens"])
     whole = F.sum("n_tokens").over(Window.partitionBy())  # one row per target by now
     return out.withColumn("actual_share", F.round(F.coalesce(F.try_divide(F.col("n_tokens"), whole), F.lit(0.0)), 6))

@@ -59,8 +59,9 @@ def count_tokens(df: DataFrame, text: str, out: str = "n_tokens", tokenizer: str
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """``(key, ids)``: the token ids of every text without special tokens; a null or empty text has an empty list.
 
-    Merges are replayed over the word types of a block of rows at once (see ``bpe.replay``), so nothing is shuffled and
-    nothing grows with the corpus but the result. Every row gives one row, repeated ones too; whole texts are encoded.
+    Merges are replayed over the new word types of a block of rows at once (see ``bpe.replay``); a worker keeps the ids of
+    the words it has met, so a word type is merged once a worker. Nothing is shuffled and nothing grows with the corpus but
+    the result. Every row gives one row, repeated ones too; whole texts are encoded.
     """
     path = _path(tokenizer)
     shared = _shared(df.sparkSession.sparkContext, path)
@@ -87,10 +88,10 @@ def operation_tokens(operations: DataFrame, tokenizer: str | None = None) -> Dat
     """``(seq, source, lang, domain, n_tokens)`` of each Inserted or Changed operation, a repeated row once.
 
     The texts are counted where they are read; only the narrow rows are shuffled to drop repeated ones. Rows without seq
-    count as repeated if all these columns agree. Null strings and empty ones have 0 tokens.
+    count as repeated if all these columns, the id and the text (by 128 bits of hash) agree. Null strings and empty ones have 0 tokens.
     """
-    embedded = operations.filter(F.col("op").isin("Inserted", "Changed")).select("seq", "id", "source", clean_lang(F.col("lang")).alias("lang"), "domain", "string")
-    return count_tokens(embedded, "string", tokenizer=tokenizer).distinct().drop("id")
+    embedded = operations.filter(F.col("op").isin("Inserted", "Changed")).select("seq", "id", "source", clean_lang(F.col("lang")).alias("lang"), "domain", F.xxhash64("string").alias("_h1"), F.xxhash64(F.lit(1), "string").alias("_h2"), "string")
+    return count_tokens(embedded, "string", tokenizer=tokenizer).distinct().drop("id", "_h1", "_h2")
 
 
 def token_budget(counted: DataFrame) -> DataFrame:

@@ -30,6 +30,12 @@ def test_ids_and_counts_equal_the_public_library(reference):
     ids, offsets = bpe.Encoder(v).block(t)
     want = [reference.encode_ordinary(x or "") for x in t]
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want
+    again = bpe.Encoder(v)  # words known from earlier blocks
+    got = []
+    for a in range(0, len(t), 100):
+        ids, offsets = again.block(t[a : a + 100])
+        got += [ids[x:y].tolist() for x, y in zip(offsets, offsets[1:])]
+    assert got == want
     counter = bpe.Counter(v)
     assert [counter.text(x) for x in t] == [len(w) for w in want]
 
@@ -51,6 +57,8 @@ def test_budget_cube_and_edges(spark):
     cube = {(r.source, r.lang, r.domain): (r.n_texts, r.n_empty, r.n_tokens) for r in tokens.token_budget(counted).collect()}
     assert cube[("(all)", "(all)", "(all)")] == (3, 2, 2) and cube[("s", "en", "d")] == (2, 1, 2) and cube[("(none)", "und", "(none)")] == (1, 1, 0)
     assert [(r.source, r.n_tokens) for r in tokens.token_budget(tokens.operation_tokens(df.limit(0))).collect()] in ([], [("(all)", 0)])
+    apart = spark.createDataFrame([(None, "Inserted", "a", x, "s", "en", "d") for x in ("one word", "two words", "two words")], df.schema)
+    assert tokens.operation_tokens(apart).count() == 2  # without seq, by their texts
     usage = spark.createDataFrame([("r", "d", 1, 4, 2), ("r", "d", 1, 4, 2), ("q", None, 9, 5, 0)], "request_id string, domain string, first_seq long, last_seq long, prompt_tokens long")
     got = {r.request_id: (r.n_texts, r.n_tokens, r.ratio) for r in tokens.usage_comparison(counted, usage).collect()}
     assert got == {"r": (3, 2, 1.0), "q": (0, 0, None)}
