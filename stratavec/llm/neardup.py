@@ -248,9 +248,9 @@ class NearDuplicates:
         spark = df.sparkSession
         base = df.select(F.col(f"`{key}`").cast("long").alias("_key"), (tag if tag is not None else F.lit(None)).cast("long").alias("_tag"), F.col(f"`{text}`").alias("_text")).filter("_key is not null and _text is not null")
         if bits is None:
-            # about two places a shingle: words have some six letters; the size changes the cost alone, not the result
+            # about a place for two shingles, as words have some six letters; the size changes the cost alone, not the result
             letters = base.agg(F.sum(F.length("_text"))).first()[0] or 0
-            bits = min(max(BITS[0], int(letters // 3).bit_length()), BITS[1])
+            bits = min(max(BITS[0], int(letters // 12).bit_length()), BITS[1])
         counts = spark.sparkContext.broadcast(_sketch(base, width, least_words, bits))  # 2^bits bytes, 128 MB at most
         self.t = t
         self._base, self._how = base, (counts, width, least_words, bits)
