@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratavec.llm.components import components, follow, four_steps
-from stratavec.llm.neighbors import DIM, SAMPLE, SHARD, matrix, prints, reach, shards, unit, usable
+from stratavec.llm.neighbors import DIM, MARGIN, SAMPLE, SHARD, matrix, prints, reach, shards, unit, usable
 from stratavec.session import cut
 
 _EDGE = "a bigint, b bigint, w double"
@@ -198,7 +198,7 @@ def core_distances(near: DataFrame, k: int) -> DataFrame:
     return lists.select("a", reached.alias("s")).filter(F.col("s.n") >= k).select("a", F.col("s.d").alias("core"))
 
 
-def neighbour_graph(vectors: DataFrame, min_samples: int, most: float, key: str = "vec_id", embedding: str = "embedding", dim: int = DIM, margin: float = 0.06, sample: int = SAMPLE, per: int = SHARD, exact: bool = False) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, min_samples: int, most: float, key: str = "vec_id", embedding: str = "embedding", dim: int = DIM, margin: float = MARGIN, sample: int = SAMPLE, per: int = SHARD, exact: bool = False) -> DataFrame:
     """(a, b, w), a < b: edges up to ``most`` weighed by mutual reachability, the larger of distance and both core distances.
 
     The core distance is that to the ``min_samples``-th nearest vector, itself and all copies counted, among all cells that

@@ -12,10 +12,13 @@ from __future__ import annotations
 import numpy as np
 
 FAR = np.float32(9.0)
+_ZERO, _ONE, _HALF, _LOW = np.uint64(0), np.uint64(1), np.uint64(32), np.uint64(2**32 - 1)
+_LAST = np.uint64(int(FAR.view(np.uint32)) << 32)  # the key of no neighbour is at least this
+_NONE = np.uint64(2**64 - 1)
 
 
 class Graph:
-    def __init__(self, x: np.ndarray, degree: int = 16, beam: int = 16, alpha: float = 1.2, seed: int = 7, leaf: int = 256, turns: int = 3, per_leaf: int = 12, landmarks: float = 32, starts: int = 8, batch: int = 256):
+    def __init__(self, x: np.ndarray, degree: int = 16, beam: int = 16, alpha: float = 1.2, seed: int = 7, leaf: int = 256, turns: int = 3, per_leaf: int = 12, landmarks: float = 32, starts: int = 8, batch: int = 128):
         """``x``: unit vectors (n, d) in float32. Distances are 1 - cosine, ``alpha`` relaxes the pruning.
 
         A point is compared with the other points of ``turns`` leaves of at most ``leaf`` points, whatever n. Queries from
@@ -29,7 +32,10 @@ class Graph:
         self.entries = rng.permutation(self.n)[: max(64, int(self.n / landmarks))].astype(np.int32)
         if self.n > 1:
             proposed = np.hstack([self._leaves(rng, leaf, per_leaf) for _ in range(turns if self.n > leaf else 1)])
-            self._link(np.arange(self.n, dtype=np.int32), proposed)
+            for a in range(0, self.n, batch):
+                p = np.arange(a, min(self.n, a + batch), dtype=np.int32)
+                proposed[a : a + batch] = self._parts(self._ranked(self._keys(self.x[p], proposed[a : a + batch]), proposed.shape[1]))[0]
+            self._link(np.arange(self.n, dtype=np.int32), proposed[:, : 2 * per_leaf])
             self._mend()
 
     def _leaves(self, rng: np.random.Generator, leaf: int, most: int) -> np.ndarray:
@@ -58,7 +64,8 @@ class Graph:
         return out[:n]
 
     def _distances(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        d = 1 - np.matmul(self.x[ids], q[:, :, None])[:, :, 0]
+        # a sum whose rounding doesn't depend on the shape: one id always gets one distance
+        d = 1 - np.einsum("bij,bj->bi", self.x[ids], q)
         d[ids == self.n] = FAR
         return d
 
@@ -69,43 +76,52 @@ class Graph:
         near = q @ self.x[self.entries].T
         return self.entries[np.argpartition(-near, self.starts - 1, axis=1)[:, : self.starts]]
 
-    def _once(self, ids: np.ndarray) -> np.ndarray:
-        """The ids of each row sorted, repeats replaced by n."""
-        ids = np.sort(ids, axis=1)
-        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = self.n
-        return ids
+    def _keys(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Distances and ids as one number each, so that plain sorting ranks them and brings repeats together.
+
+        The distance is in the upper half, the id above the lowest bit, which is free to mark a node as expanded.
+        """
+        d = np.maximum(self._distances(q, ids), 0)
+        return d.view(np.uint32).astype(np.uint64) << _HALF | ids.astype(np.uint64) << _ONE
+
+    def _ranked(self, keys: np.ndarray, most: int) -> np.ndarray:
+        """The ``most`` smallest keys of each row without repeats, an expanded node before the same not expanded; none is _NONE."""
+        keys.sort(axis=1)
+        keys[:, 1:][keys[:, 1:] >> _ONE == keys[:, :-1] >> _ONE] = _NONE
+        keys[keys >= _LAST] = _NONE
+        keys.sort(axis=1)
+        if keys.shape[1] < most:
+            return np.pad(keys, ((0, 0), (0, most - keys.shape[1])), constant_values=_NONE)
+        return keys[:, :most]
+
+    def _parts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, distances) of ranked keys, n and FAR for none."""
+        none = keys == _NONE
+        ids = np.where(none, self.n, (keys & _LOW) >> _ONE).astype(np.int32)
+        return ids, np.where(none, FAR, (keys >> _HALF).astype(np.uint32).view(np.float32))
 
     def search(self, q: np.ndarray, start: np.ndarray, beam: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` nearest nodes reached from ``start`` for each query, nearest first: (ids, distances)."""
-        ids = self._once(start)
-        dist = self._distances(q, ids)
-        if ids.shape[1] < beam:
-            pad = ((0, 0), (0, beam - ids.shape[1]))
-            ids, dist = np.pad(ids, pad, constant_values=self.n), np.pad(dist, pad, constant_values=FAR)
-        sort = np.argsort(dist, axis=1, kind="stable")[:, :beam]
-        ids, dist = np.take_along_axis(ids, sort, 1), np.take_along_axis(dist, sort, 1)
-        todo = dist < FAR
+        keys = self._ranked(self._keys(q, start) | _ONE, beam)
+        out = keys.copy()
         live = np.arange(len(q))
-        out_ids, out_dist = ids.copy(), dist.copy()
-        while len(live):
-            # the best nodes not yet expanded of each live query
-            slots = np.argsort(~todo, axis=1, kind="stable")[:, :expand]
-            nodes = np.where(np.take_along_axis(todo, slots, 1), np.take_along_axis(ids, slots, 1), self.n)
-            np.put_along_axis(todo, slots, False, 1)
-            near = self._once(self.out[nodes].reshape(len(live), -1))
-            # what the beam holds is known; what fell out of it is farther than all the beam holds now
-            near[(near[:, :, None] == ids[:, None, :]).any(axis=2)] = self.n
-            d = self._distances(q[live], near)
-            all_ids, all_d = np.hstack([ids, near]), np.hstack([dist, d])
-            all_todo = np.hstack([todo, d < FAR])
-            top = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
-            top = np.take_along_axis(top, np.argsort(np.take_along_axis(all_d, top, 1), axis=1, kind="stable"), 1)
-            ids, dist, todo = np.take_along_axis(all_ids, top, 1), np.take_along_axis(all_d, top, 1), np.take_along_axis(all_todo, top, 1)
-            out_ids[live], out_dist[live] = ids, dist
+        while True:
+            todo = (keys & _ONE != 0) & (keys != _NONE)
             more = todo.any(axis=1)
             if not more.all():
-                live, ids, dist, todo = live[more], ids[more], dist[more], todo[more]
-        return out_ids, out_dist
+                live, keys, todo = live[more], keys[more], todo[more]
+            if not len(live):
+                return self._parts(out & ~_ONE | np.where(out == _NONE, _ONE, _ZERO))
+            # the best nodes not yet expanded of each live query
+            slots = np.argsort(~todo, axis=1, kind="stable")[:, :expand]
+            open_ = np.take_along_axis(todo, slots, 1)
+            picked = np.take_along_axis(keys, slots, 1)
+            nodes = np.where(open_, (picked & _LOW) >> _ONE, self.n).astype(np.int32)
+            np.put_along_axis(keys, slots, np.where(open_, picked & ~_ONE, picked), 1)
+            near = self._keys(q[live], self.out[nodes].reshape(len(live), -1)) | _ONE
+            # a node met again ranks behind itself in the beam; one that fell out of the beam is farther than all it holds
+            keys = self._ranked(np.hstack([keys, near]), beam)
+            out[live] = keys
 
     def _prune(self, p: np.ndarray, cand: np.ndarray) -> np.ndarray:
         """Up to ``degree`` of the candidates of each point: the nearest first, then those no kept one is much nearer to."""
@@ -193,14 +209,10 @@ class Graph:
             p = which[a : a + self.batch]
             cand = np.hstack([old[p], back[p], old[via[p]].reshape(len(p), -1)])
             met = (cand < self.n).sum(axis=1)
-            cand = self._once(cand)
             cand[cand == p[:, None]] = self.n
-            share[a : a + self.batch] = (cand < self.n).sum(axis=1) / np.maximum(met, 1)
-            d = self._distances(self.x[p], cand)
-            top = np.argpartition(d, k - 1, axis=1)[:, :k]
-            near = np.take_along_axis(d, top, 1)
-            sort = np.argsort(near, axis=1, kind="stable")
-            lists[p], dist[p] = np.take_along_axis(np.take_along_axis(cand, top, 1), sort, 1), np.take_along_axis(near, sort, 1)
+            keys = self._ranked(self._keys(self.x[p], cand), cand.shape[1])
+            share[a : a + self.batch] = (keys != _NONE).sum(axis=1) / np.maximum(met, 1)
+            lists[p], dist[p] = self._parts(keys[:, :k])
         return share
 
     def nearest(self, k: int, of: np.ndarray | None = None, reach: float = 9.0, wide: int = 96, loose: float = 0.4) -> tuple[np.ndarray, np.ndarray]:

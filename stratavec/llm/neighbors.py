@@ -265,14 +265,18 @@ def _expand(i: np.ndarray, j: np.ndarray, d: np.ndarray, a_ids: list[list[int]],
     na, nb = np.array([len(x) for x in a_ids]), np.array([min(len(x), k + 1) for x in b_ids])
     if na.max(initial=1) == 1 and nb.max(initial=1) == 1:
         return np.array([x[0] if x else -1 for x in a_ids], np.int64)[i], np.array([x[0] if x else -1 for x in b_ids], np.int64)[j], d
+    # pairs of single ids at once, the others one by one
+    single = (na[i] == 1) & (nb[j] == 1)
+    first = lambda lists: np.array([x[0] if x else -1 for x in lists], np.int64)
     a, b, dd = [], [], []
-    for x, y, z in zip(i.tolist(), j.tolist(), d.tolist()):
+    for x, y, z in zip(i[~single].tolist(), j[~single].tolist(), d[~single].tolist()):
         for p in a_ids[x]:
             for r in b_ids[y][: k + 1]:
                 a.append(p)
                 b.append(r)
                 dd.append(z)
-    return np.array(a, np.int64), np.array(b, np.int64), np.array(dd, np.float64)
+    left, right, far = first(a_ids)[i[single]], first(b_ids)[j[single]], d[single]
+    return np.concatenate([left, np.array(a, np.int64)]), np.concatenate([right, np.array(b, np.int64)]), np.concatenate([far, np.array(dd, np.float64)])
 
 
 def _all_pairs(f: np.ndarray, who: np.ndarray, base: np.ndarray, k: int, most: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
