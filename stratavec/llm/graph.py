@@ -210,9 +210,15 @@ class Graph:
             cand = np.hstack([old[p], back[p], old[via[p]].reshape(len(p), -1)])
             met = (cand < self.n).sum(axis=1)
             cand[cand == p[:, None]] = self.n
-            keys = self._ranked(self._keys(self.x[p], cand), cand.shape[1])
-            share[a : a + self.batch] = (keys != _NONE).sum(axis=1) / np.maximum(met, 1)
-            lists[p], dist[p] = self._parts(keys[:, :k])
+            # repeats go before distances are taken, and columns that no row needs any more
+            cand.sort(axis=1)
+            cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = self.n
+            cand.sort(axis=1)
+            some = (cand < self.n).sum(axis=1)
+            share[a : a + self.batch] = some / np.maximum(met, 1)
+            cand = cand[:, : max(k, int(some.max()))]
+            keys = self._ranked(self._keys(self.x[p], cand), k)
+            lists[p], dist[p] = self._parts(keys)
         return share
 
     def nearest(self, k: int, of: np.ndarray | None = None, reach: float = 9.0, wide: int = 96, loose: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
@@ -225,22 +231,22 @@ class Graph:
         lists, dist = np.full((n + 1, k), n, np.int32), np.full((n + 1, k), FAR, np.float32)
         of = np.arange(n, dtype=np.int32) if of is None else of
 
-        def walk(which: np.ndarray, beam: int, expand: int) -> None:
+        def walk(which: np.ndarray, beam: int, expand: int, known: int) -> None:
             for a in range(0, len(which), self.batch):
                 p = which[a : a + self.batch]
-                i, d = self.search(self.x[p], np.hstack([p[:, None], lists[p], self.out[p]]), max(beam, k + 1), expand)
+                i, d = self.search(self.x[p], np.hstack([p[:, None], lists[p, :known], self.out[p]]), max(beam, k + 1), expand)
                 d[i == p[:, None]] = FAR
                 sort = np.argsort(d, axis=1, kind="stable")[:, :k]
                 d = np.take_along_axis(d, sort, 1)
                 lists[p], dist[p] = np.where(d < FAR, np.take_along_axis(i, sort, 1), n), d
 
-        walk(of, self.beam, 4)
+        walk(of, self.beam, 4, 0)
         if len(of) < n:  # lists of the others are their edges
             rest = np.setdiff1d(np.arange(n), of)
             lists[rest, : min(k, self.degree)] = self.out[rest, :k]
         share = self._join(lists, dist, of)
         again = of[(share >= loose) & (dist[of, -1] <= reach)]
-        walk(again, wide, 8)
+        walk(again, wide, 8, k)
         if len(again):
             self._join(lists, dist, again)
         return lists[of], dist[of]

@@ -91,9 +91,15 @@ class Cells:
             part = x[a : a + 1024]
             to = part @ self.centroids.T
             best = to.argmax(axis=1)
-            # the border of cells b and c is at (x.b - x.c) / |b - c|
-            apart = np.sqrt(np.maximum(2 - 2 * (self.centroids[best] @ self.centroids.T), 0))
-            inside = to.max(axis=1, keepdims=True) - to <= margin * apart + 1e-6
+            # the border of cells b and c is at (x.b - x.c) / |b - c|; centroids are at most 2 apart
+            behind = to.max(axis=1, keepdims=True) - to
+            inside = behind <= 2 * margin + 1e-6
+            if margin < 0.2:  # few cells are left to look at
+                r, c = np.nonzero(inside)
+                between = np.einsum("ij,ij->i", self.centroids[best[r]], self.centroids[c])
+                inside[r, c] = behind[r, c] <= margin * np.sqrt(np.maximum(2 - 2 * between, 0)) + 1e-6
+            else:
+                inside &= behind <= margin * np.sqrt(np.maximum(2 - 2 * (self.centroids[best] @ self.centroids.T), 0)) + 1e-6
             row, shard = np.nonzero(np.logical_or.reduceat(inside, self.starts, axis=1))
             out.append((row + a, shard, shard == self.shard[best][row]))
         row, shard, home = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
@@ -176,7 +182,7 @@ def fit_routing(rows: DataFrame, key: str, embedding: str, total: int, dim: int,
 def reach(within: float | None) -> float:
     """The margin that loses no vector within a distance: the sine of its angle, all shards from a right angle on."""
     if within is None or within >= 0.5:
-        return float("inf")
+        return 1e6
     return float(np.sqrt(1 - (1 - 2 * within) ** 2))
 
 
@@ -303,7 +309,8 @@ def shard_neighbors(rows: pa.Table, k: int, dim: int, within: float | None, degr
             asked[c] += i
         if s:
             kept[c] += i
-    asked, kept = [sorted(set(v)) for v in asked], [sorted(set(v)) for v in kept]
+    once = lambda v: sorted(set(v)) if len(v) > 1 else v
+    asked, kept = [once(v) for v in asked], [once(v) for v in kept]
     u = unit(x[first])
     f = u.astype(np.float32)
     base = np.array([c for c in range(n) if kept[c]], np.int64)

@@ -92,6 +92,26 @@ def test_recall_on_the_test_table(spark):
     assert sum(len(got[i] & want[i]) for i in want) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_exact_and_two_levels(spark):
+    rows = made(40, seed=9)
+    ids, d = truth(rows)
+    df = frame(spark, rows)
+    t10 = top(ids, d, 10)
+    at = {int(i): k for k, i in enumerate(ids)}
+    want = {(a, b) for a in t10 for b in t10[a] if d[at[a], at[b]] <= 0.08}
+    for kw in ({"per": 40}, {"per": 10, "sample": 256}, {"per": 100_000}):  # one level of cells, two, a single shard
+        assert {(r.vec_a, r.vec_b) for r in neighbors.nearest(df, 10, 0.08, exact=True, **kw).collect()} == want
+    near = {(r.vec_a, r.vec_b) for r in neighbors.nearest(df, 10, 0.08, per=10, sample=256).collect()}
+    assert len(near & want) >= 0.97 * len(want)
+    from stratavec.llm.density import boruvka, neighbour_graph
+
+    _, labels = boruvka(neighbour_graph(df, 1, 0.08, exact=True, per=10, sample=256))
+    groups = {}
+    for r in labels.collect():
+        groups.setdefault(r.root, set()).add(r.v)
+    assert {(min(g), v) for g in groups.values() if len(g) >= 8 for v in g if v != min(g)} == linked(ids, d, 0.08, 8)
+
+
 def test_graph_of_few_points():
     for n in (1, 2, 5):
         x = np.eye(8, dtype=np.float32)[:n]
