@@ -176,7 +176,7 @@ class Graph:
         ok = to < self.n
         self.out[to[ok], -1] = lost[ok]
 
-    def ask(self, q: np.ndarray, k: int, beam: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    def ask(self, q: np.ndarray, k: int, beam: int = 100) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest points of queries from outside, by beam search from the entry level: (ids, distances), n and FAR for none."""
         ids, dist = [np.zeros((0, k), np.int32)], [np.zeros((0, k), np.float32)]
         for a in range(0, len(q), self.batch):
