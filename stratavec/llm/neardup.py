@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +23,17 @@ from stratavec.llm.components import components
 from stratavec.session import cut
 
 _WORD = re.compile(r"[^\W_]+")
+_ASCII = bytes(ord(chr(k).lower()) if k < 128 and chr(k).isalnum() else 32 for k in range(256))  # what _WORD finds in lower-cased ASCII
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 class _Hashes(dict):
     """64-bit hashes of words, kept for the words of a worker."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self[word] = xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
         return h
 
 
@@ -44,12 +46,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _split(text: str) -> list[str] | list[bytes]:
+    """The words of a text, lower-cased; those of ASCII texts as bytes, which is faster."""
+    return text.encode().translate(_ASCII).split() if text.isascii() else _WORD.findall(text.lower())
+
+
 def shingles(texts: list[str | None], width: int, least_words: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, row numbers) of the shingles of all texts, rows in order; texts under ``least_words`` words have none."""
-    lists = [_WORD.findall(t.lower()) if t else [] for t in texts]
+    lists = [_split(t) if t else [] for t in texts]
     sizes = np.array([len(w) for w in lists], np.int64)
     total = int(sizes.sum())
-    h = np.fromiter((_words[w] for ws in lists for w in ws), np.uint64, total)
+    h = np.fromiter(map(_words.__getitem__, chain.from_iterable(lists)), np.uint64, total)
     row = np.repeat(np.arange(len(lists)), sizes)
     if total < width:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -119,6 +126,20 @@ def _sketch(df: DataFrame, width: int, least_words: int, bits: int) -> np.ndarra
     return out
 
 
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), np.uint8)
+
+
+class _Packed:
+    """Bytes that are broadcast compressed, as every executor keeps a file of them, and arrive as an array."""
+
+    def __init__(self, values: np.ndarray):
+        self._packed = zstandard.compress(values.tobytes(), 1)
+
+    def __reduce__(self):
+        return _unpacked, (self._packed,)
+
+
 HOT = 4_096  #: groups of one shingle that meet in one task; the pairs of more are spread by a salt
 FEW = 1 << 20  #: keys that are broadcast; more of them are joined by a shuffle
 BITS = (22, 27)  #: least and most bits of the sketch, which holds a byte for each value of them
@@ -133,11 +154,22 @@ def _prefix(n, t: float):
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1 + n // _STEP
 
 
+def _order(h: np.ndarray, row: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Places by row, rank and hash: by one key where its part of the hashes tells all of them apart, which is faster."""
+    left = 56 - int(row[-1]).bit_length() if len(row) else 0
+    if left < 1:
+        return np.lexsort((h, rank, row))
+    key = (row.astype(np.uint64) << np.uint64(left + 8)) | (rank.astype(np.uint64) << np.uint64(left)) | (h >> np.uint64(64 - left))
+    order = np.argsort(key)
+    key, found = key[order], h[order]
+    return np.lexsort((h, rank, row)) if ((key[1:] == key[:-1]) & (found[1:] != found[:-1])).any() else order
+
+
 def _ordered(texts: list[str | None], common: np.ndarray, width: int, least_words: int, bits: int):
     """Distinct shingles of each text from rare to common: (rows, starts, sizes, hashes, ranks); rows without any are left out."""
     h, row = shingles(texts, width, least_words)
     rank = common[(h >> np.uint64(64 - bits)).astype(np.int64)]
-    order = np.lexsort((h, rank, row))
+    order = _order(h, row, rank)
     h, row, rank = h[order], row[order], rank[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
@@ -220,6 +252,96 @@ def _postings(df: DataFrame, counts, width: int, least_words: int, t: float, bit
     return df.select("_text").mapInArrow(run, "tok bigint, grp bigint, n int, pos int")
 
 
+def _kept(rows: list[np.ndarray], at: np.ndarray | slice) -> list[np.ndarray]:
+    """Some rows of all columns."""
+    return [r[at] for r in rows]
+
+
+def _distinct(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Postings (tok, grp, n, pos) by shingle, size and group, each once."""
+    rows = _kept(rows, np.lexsort((rows[1], rows[2], rows[0])))
+    new = np.ones(len(rows[0]), bool)
+    new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+    return _kept(rows, new)
+
+
+def _meetings(rows: list[np.ndarray], end: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(smaller group, larger group, more) of all pairs within a shingle that pass the size and position filters.
+
+    ``rows`` are distinct postings in order, ``end`` the place after the last one of the same shingle.
+    """
+    _, grp, n, pos = rows
+    more = n // _STEP  # the first of two is the smaller set, so both prefixes are long enough for this many more
+    x, step = np.flatnonzero(pos < n - np.ceil(2 * t / (1 + t) * n - 1e-9) + 1 + more), 0
+    while True:
+        step += 1
+        x = x[x + step < end[x]]
+        x = x[n[x] >= t * n[x + step] - 1e-9]  # sizes grow, so later ones don't fit either
+        if not len(x):
+            return
+        y = x + step
+        reach = np.minimum(n[x] - pos[x], n[y] - pos[y]) + more[x] >= np.ceil(t / (1 + t) * (n[x] + n[y]) - 1e-9)
+        yield grp[x[reach]], grp[y[reach]], more[x[reach]]
+
+
+def _meet(t: float, most: int):
+    """Postings in order of their shingles to (x, y, p, q, hot): pairs of groups that meet (smaller, larger, 1, more).
+
+    The postings of a shingle of more than ``most`` groups are handed on as (tok, grp, n, pos, true), perhaps repeatedly.
+    """
+
+    def batch(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, hot: bool) -> pa.RecordBatch:
+        cols = [pa.array(x), pa.array(y), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(np.full(len(x), hot))]
+        return pa.RecordBatch.from_arrays(cols, names=["x", "y", "p", "q", "hot"])
+
+    def hits(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        x, y, more = (np.concatenate(p) for p in zip(*parts))
+        return batch(x, y, np.ones(len(x)), more, False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hot = [np.zeros(0, k) for k in (np.int64, np.int64, np.int32, np.int32)], None
+        for b in chain(batches, [None]):
+            if b is None:
+                rows, held = held, _kept(held, slice(0, 0))
+            elif not b.num_rows:
+                continue
+            else:
+                rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns)]
+                if hot is not None and rows[0][0] == hot:  # more of a shingle whose postings went out already
+                    same = int(np.searchsorted(rows[0], hot, "right"))
+                    yield batch(*_kept(rows, slice(0, same)), True)
+                    rows = _kept(rows, slice(same, None))
+                    if not len(rows[0]):
+                        held = rows
+                        continue
+                last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last shingle may go on
+                rows, held = _kept(rows, slice(0, last)), _kept(rows, slice(last, None))
+                if len(held[0]) > most:
+                    held = _distinct(held)
+                    if len(held[0]) > most:
+                        yield batch(*held, True)
+                        hot, held = held[0][0], _kept(held, slice(0, 0))
+            near = rows[0][1:] == rows[0][:-1]
+            rows = _distinct(_kept(rows, np.append(near, False) | np.append(False, near) if len(rows[0]) else slice(0, 0)))
+            _, first, size = np.unique(rows[0], return_index=True, return_counts=True)
+            if (size > most).any():
+                many = np.repeat(size > most, size)
+                yield batch(*_kept(rows, many), True)
+                rows = _kept(rows, ~many)
+                _, first, size = np.unique(rows[0], return_index=True, return_counts=True)
+            parts, n = [], 0
+            for part in _meetings(rows, np.repeat(first + size, size), t):
+                parts.append(part)
+                n += len(part[0])
+                if n > 1 << 18:
+                    yield hits(parts)
+                    parts, n = [], 0
+            if n:
+                yield hits(parts)
+
+    return run
+
+
 def _full(df: DataFrame, counts, width: int, least_words: int, bits: int) -> DataFrame:
     """(cls, toks): the whole sets of some texts."""
 
@@ -238,6 +360,11 @@ def _need(na: Column, nb: Column, t: float) -> Column:
     return F.ceil(t / (1 + t) * (na + nb) - 1e-9)
 
 
+def _whole_rows(df: DataFrame, *names: str) -> DataFrame:
+    """The rows, all without nulls here; filtered as joins would filter each side for itself; else their shuffles differ."""
+    return df.filter(" and ".join(f"{k} is not null" for k in names or df.columns))
+
+
 class NearDuplicates:
     """The join of one table of texts: rows by class, and the links between classes."""
 
@@ -251,12 +378,12 @@ class NearDuplicates:
             # about a place for two shingles, as words have some six letters; the size changes the cost alone, not the result
             letters = base.agg(F.sum(F.length("_text"))).first()[0] or 0
             bits = min(max(BITS[0], int(letters // 12).bit_length()), BITS[1])
-        counts = spark.sparkContext.broadcast(_sketch(base, width, least_words, bits))  # 2^bits bytes, 128 MB at most
+        counts = spark.sparkContext.broadcast(_Packed(_sketch(base, width, least_words, bits)))  # 2^bits bytes, 128 MB at most
         self.t = t
         self._base, self._how = base, (counts, width, least_words, bits)
         self.sets = cut(_sets(base, counts, width, least_words, t, bits))
-        #: a repeated row (same key and text) once
-        self.members = self.sets.select("_key", "_tag", "cls").distinct()
+        #: a repeated row (same key and text) once; together by class, as all joins ask for them
+        self.members = _whole_rows(self.sets.select("_key", "_tag", "cls"), "_key", "cls").repartition("cls").dropDuplicates()
 
     def classes(self) -> DataFrame:
         """One row per distinct shingle set: (cls, grp, n, rep, sig), rep being the key of a row of the class."""
@@ -267,25 +394,26 @@ class NearDuplicates:
         """(ga, gb), ga < gb: pairs of groups that pass the prefix, size and position filters."""
         t = self.t
         counts, width, least_words, bits = self._how
-        posts = _postings(self._base, counts, width, least_words, t, bits).repartition("tok").dropDuplicates(["tok", "grp"])
-        posts = posts.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("tok")))
+        # postings are read once, in order of their shingles; only those of shingles of many groups are kept
+        posts = _postings(self._base, counts, width, least_words, t, bits).repartition("tok").sortWithinPartitions("tok")
+        met = cut(posts.mapInArrow(_meet(t, HOT), "x bigint, y bigint, p int, q int, hot boolean"))
+        hot = met.filter("hot").select(F.col("x").alias("tok"), F.col("y").alias("grp"), F.col("p").alias("n"), F.col("q").alias("pos")).repartition("tok").dropDuplicates(["tok", "grp"])
+        hot = hot.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("tok")))
         nx, ny, px, py = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
-        more = F.floor(nx / _STEP)  # x is the smaller set, so both prefixes are long enough for this many more
+        more = F.floor(nx / _STEP)  # as in _meetings
         smaller = (nx < ny) | ((nx == ny) & (F.col("x.grp") < F.col("y.grp")))
         indexed = px < nx - F.ceil(2 * t / (1 + t) * nx - 1e-9) + 1 + more
         reach = F.least(nx - px, ny - py) + more >= _need(nx, ny, t)
         passed = smaller & indexed & (nx >= t * ny - 1e-9) & reach
-        cold, hot = posts.filter(F.col("m") <= HOT), posts.filter(F.col("m") > HOT)
-        rare = cold.alias("x").join(cold.alias("y"), (F.col("x.tok") == F.col("y.tok")) & passed)
         # a shingle of many groups: one side is dealt out by a salt, the other stands at every salt
         salts = F.ceil(F.col("m") / HOT)
         dealt = hot.withColumn("s", F.pmod(F.col("grp"), salts))
         every = hot.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
         common = every.alias("x").join(dealt.alias("y"), (F.col("x.tok") == F.col("y.tok")) & (F.col("x.s") == F.col("y.s")) & passed)
-        keep = (F.col("x.grp").alias("gx"), F.col("y.grp").alias("gy"), more.alias("more"))
-        hits = rare.select(*keep).union(common.select(*keep))
-        met = hits.groupBy("gx", "gy").agg(F.count(F.lit(1)).alias("k"), F.max("more").alias("more"))
-        return met.filter("k > more").select(F.least("gx", "gy").alias("ga"), F.greatest("gx", "gy").alias("gb"))
+        hits = met.filter("not hot").select(F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("q").cast("long").alias("more"))
+        hits = hits.union(common.select(F.col("x.grp").alias("gx"), F.col("y.grp").alias("gy"), more.alias("more")))
+        pairs = hits.groupBy("gx", "gy").agg(F.count(F.lit(1)).alias("k"), F.max("more").alias("more"))
+        return pairs.filter("k > more").select(F.least("gx", "gy").alias("ga"), F.greatest("gx", "gy").alias("gb"))
 
     def links(self) -> DataFrame:
         """(ca, cb, similarity), ca < cb: all pairs of different classes with similarity t or more.
@@ -294,16 +422,15 @@ class NearDuplicates:
         sets are then made of one text of each remaining class only.
         """
         t = self.t
-        c = cut(self.classes())
-        side = lambda x: c.select(*(F.col(k).alias(k + x) for k in ("cls", "grp", "n", "rep", "sig")))
-        differ = sum((F.bit_count(F.col("sig_a")[k].bitwiseXOR(F.col("sig_b")[k])) for k in range(_SIGN)), F.lit(0))
-        maybe = (F.col("n_a") + F.col("n_b") - differ) >= 2 * _need(F.col("n_a"), F.col("n_b"), t)
-        sized = F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b") - 1e-9
-        keep = ["cls_a", "cls_b", "rep_a", "rep_b"]
-        shared = cut(c.groupBy("grp").count().filter("count > 1").select("grp"))
-        within = lambda x: side(x).join(shared, F.col("grp" + x) == shared.grp, "left_semi")
-        inner = within("_a").join(within("_b"), (F.col("grp_a") == F.col("grp_b")) & (F.col("cls_a") < F.col("cls_b"))).filter(maybe & sized).select(*keep)
-        outer = self.group_pairs().join(side("_a"), F.col("ga") == F.col("grp_a")).join(side("_b"), F.col("gb") == F.col("grp_b")).filter(maybe & sized).select(*keep)
+        c = _whole_rows(self.classes())
+        na, nb = F.col("a.n"), F.col("b.n")  # all sides keep their names, so that one shuffle serves them
+        differ = sum((F.bit_count(F.col("a.sig")[k].bitwiseXOR(F.col("b.sig")[k])) for k in range(_SIGN)), F.lit(0))
+        maybe = (na + nb - differ) >= 2 * _need(na, nb, t)
+        sized = F.least(na, nb) >= t * F.greatest(na, nb) - 1e-9
+        keep = [F.col(f"{x}.{k}").alias(f"{k}_{x}") for k in ("cls", "rep") for x in "ab"]
+        a, b = c.alias("a"), c.alias("b")
+        inner = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.cls") < F.col("b.cls"))).filter(maybe & sized).select(*keep)
+        outer = self.group_pairs().join(a, F.col("ga") == F.col("a.grp")).join(b, F.col("gb") == F.col("b.grp")).filter(maybe & sized).select(*keep)
         pairs = cut(outer.union(inner))
         wanted = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("k")).distinct()
         if wanted.count() <= FEW:
@@ -320,13 +447,11 @@ class NearDuplicates:
     def pairs(self) -> DataFrame:
         """(key_a, key_b), key_a < key_b: all pairs of rows with similarity t or more and different tags."""
         links = self.links().select("ca", "cb")
-        m = self.members
-        a, b = m.select(F.col("cls").alias("ca"), F.col("_key").alias("ka"), F.col("_tag").alias("ga")), m.select(F.col("cls").alias("cb"), F.col("_key").alias("kb"), F.col("_tag").alias("gb"))
-        across = links.join(a, "ca").join(b, "cb")
-        many = m.groupBy("cls").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("cls")
-        twins = m.join(many, "cls")
-        same = twins.select(F.col("cls").alias("c"), F.col("_key").alias("ka"), F.col("_tag").alias("ga")).join(twins.select(F.col("cls").alias("c"), F.col("_key").alias("kb"), F.col("_tag").alias("gb")), "c").filter("ka < kb")
-        rows = across.select("ka", "kb", "ga", "gb").union(same.select("ka", "kb", "ga", "gb")).filter("ga is null or gb is null or ga <> gb")
+        a, b = self.members.alias("a"), self.members.alias("b")
+        keep = [F.col(f"{x}.{k}").alias(name + x) for k, name in (("_key", "k"), ("_tag", "g")) for x in "ab"]
+        across = links.join(a, F.col("ca") == F.col("a.cls")).join(b, F.col("cb") == F.col("b.cls")).select(*keep)
+        same = a.join(b, (F.col("a.cls") == F.col("b.cls")) & (F.col("a._key") < F.col("b._key"))).select(*keep)
+        rows = across.union(same).filter("ga is null or gb is null or ga <> gb")
         return rows.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
 
     def groups(self) -> DataFrame:
